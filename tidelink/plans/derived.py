@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Event time splitting the log into "already loaded" and "new" halves.
-SPLIT_TS = "2024-01-16 00:00:00"
+# Event time splitting the log into "already loaded" (first days) and "new".
+SPLIT_TS = "2024-01-04 00:00:00"
 
 # Port each event's connection used.
 PORT_EXPR = """CASE
