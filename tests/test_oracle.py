@@ -26,6 +26,7 @@ def test_query_matches_oracle(spark, con, key):
 def test_every_query_has_oracle_or_is_streaming():
     missing = set(entry.queries()) - set(SQL)
     assert missing == {"session_stream"}
+    assert all(k in entry.queries() for k in SQL)
 
 
 def test_entry_smoke(spark):
