@@ -22,19 +22,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelink.session import ensure_checkpoint_dir
 
 
-def _keycols(keys):
-    return [F.col(k) if isinstance(k, str) else k for k in keys]
-
 
 def first_per_key(batch: DataFrame, keys, order_col: str) -> DataFrame:
-    """Row with the smallest ``order_col`` per key (``min_by`` - partial agg)."""
-    names = [k for k in keys]
-    payload = [c for c in batch.columns if c not in names]
-    best = batch.groupBy(*names).agg(
-        F.min_by(F.struct(*payload), F.col(order_col)).alias("_row"))
-    return best.select(*names, "_row.*")
+    """Row with the smallest ``order_col`` per key (``order_col`` unique per key).
+
+    ``min(order_col)`` per key is a hash aggregation with map-side partial
+    results; the winning rows are then picked with a semi join on the
+    (key, order) pair, which is unique - no key holds more than one row there.
+    """
+    keys = list(keys)
+    best = batch.groupBy(*keys).agg(F.min(order_col).alias(order_col))
+    return batch.join(best, [*keys, order_col], "left_semi")
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys, order_col: str) -> DataFrame:
@@ -68,6 +69,7 @@ def dense_index(df: DataFrame, order_cols, out: str = "idx", start: Column | int
     cannot renumber rows.
     """
     order_cols = list(order_cols)
+    ensure_checkpoint_dir(df.sparkSession)
     d = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))

@@ -14,6 +14,9 @@ buckets and work in two levels:
 3. the carry joins back on ``(key, bucket)`` - the same keys the local
    window was partitioned by, so the large side is not shuffled again.
 
+The summary is aggregated from the windowed frame itself, whose shuffle is
+reused, so the input is scanned and shuffled once.
+
 Results are exact and independent of the bucket width, which only tunes the
 work split (smaller for denser keys).
 """
@@ -40,9 +43,9 @@ def with_prev(df: DataFrame, keys, ts: str, out: str = "prev_ts",
     """Add the previous ``ts`` of the same key (null for the first row)."""
     keys = list(keys)
     base = _with_bucket(df, ts, bucket)
-    summary = base.groupBy(*keys, _B).agg(F.max(ts).alias("_bmax"))
     local = F.lag(ts).over(Window.partitionBy(*keys, _B).orderBy(*_order(ts, tiebreak)))
     d = base.withColumn("_lp", local)
+    summary = d.groupBy(*keys, _B).agg(F.max(ts).alias("_bmax"))
     carry = summary.withColumn(
         "_carry", F.lag("_bmax").over(Window.partitionBy(*keys).orderBy(_B))).drop("_bmax")
     d = d.join(carry, [*keys, _B], "left")
@@ -58,10 +61,10 @@ def with_running_sum(df: DataFrame, keys, ts: str, value, out: str, inclusive: b
     keys = list(keys)
     val = F.col(value) if isinstance(value, str) else value
     base = _with_bucket(df, ts, bucket).withColumn("_v", F.coalesce(val.cast("long"), F.lit(0)))
-    summary = base.groupBy(*keys, _B).agg(F.sum("_v").alias("_bs"))
     frame = (Window.partitionBy(*keys, _B).orderBy(*_order(ts, tiebreak))
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     d = base.withColumn("_ls", F.coalesce(F.sum("_v").over(frame), F.lit(0)))
+    summary = d.groupBy(*keys, _B).agg(F.sum("_v").alias("_bs"))
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.withColumn("_carry", F.coalesce(F.sum("_bs").over(before), F.lit(0))).drop("_bs")
     d = d.join(carry, [*keys, _B], "left")
@@ -78,10 +81,12 @@ def with_next(df: DataFrame, keys, ts: str, value, out: str, tiebreak=None,
     keys = list(keys)
     val = F.col(value) if isinstance(value, str) else value
     base = _with_bucket(df, ts, bucket).withColumn("_v", val)
-    summary = base.groupBy(*keys, _B).agg(F.min("_v").alias("_bmin"))
     after = (Window.partitionBy(*keys, _B).orderBy(*_order(ts, tiebreak))
              .rowsBetween(1, Window.unboundedFollowing))
     d = base.withColumn("_ln", F.first("_v", ignorenulls=True).over(after))
+    # From the windowed frame: already partitioned and sorted by (key,
+    # bucket), so this aggregation adds no shuffle and no sort.
+    summary = d.groupBy(*keys, _B).agg(F.min("_v").alias("_bmin"))
     later = Window.partitionBy(*keys).orderBy(_B).rowsBetween(1, Window.unboundedFollowing)
     carry = summary.withColumn("_carry", F.first("_bmin", ignorenulls=True).over(later)).drop("_bmin")
     d = d.join(carry, [*keys, _B], "left")

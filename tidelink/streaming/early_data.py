@@ -29,9 +29,14 @@ def early_data(df: DataFrame, key: str, ts: str, type_col: str, create: str, clo
     is_marker = F.col(type_col).isin(create, close)
     d = with_running_sum(df.withColumn("_m", is_marker), [key], ts, "_m", out="segment",
                          inclusive=False, tiebreak=list(tiebreak), bucket=bucket)
+    # Marker as a small int so the aggregation buffer is fixed-width (hash
+    # aggregation with partial results, no sort).
+    code = F.when(F.col(type_col) == F.lit(create), 1).when(F.col(type_col) == F.lit(close), 2)
     seg = d.groupBy(key, "segment").agg(
         F.sum(F.when(F.col("_m"), 0).otherwise(1)).cast("long").alias("n_early"),
-        F.max(F.when(F.col("_m"), F.col(type_col))).alias("closing_marker"))
+        F.max(code).alias("_mc"))
+    seg = seg.withColumn("closing_marker", F.when(F.col("_mc") == 1, F.lit(create))
+                         .when(F.col("_mc") == 2, F.lit(close))).drop("_mc")
     prev = seg.select(key, (F.col("segment") + 1).alias("segment"),
                       F.col("closing_marker").alias("prev_marker"))
     j = seg.join(prev, [key, "segment"], "left")
