@@ -23,9 +23,9 @@ def test_query_matches_oracle(spark, con, key):
     assert frame_rows(s_pdf) == frame_rows(d_pdf)
 
 
-def test_every_query_has_oracle_or_is_streaming():
+def test_every_query_has_oracle():
     missing = set(entry.queries()) - set(SQL)
-    assert missing == {"session_stream"}
+    assert missing == set()
     assert all(k in entry.queries() for k in SQL)
 
 

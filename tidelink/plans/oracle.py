@@ -246,6 +246,24 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS sessio
        CAST(count(*) AS BIGINT) AS n_events
 FROM s GROUP BY user_id, sid""",
 
+    # Append mode emits a session once the final watermark (latest event
+    # time at millisecond precision minus the 10-minute delay) reaches its end.
+    "session_stream": """
+WITH l AS (
+  SELECT user_id, ts, event_id,
+         lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_ts
+  FROM events),
+s AS (
+  SELECT *, sum(CASE WHEN prev_ts IS NULL OR ts >= prev_ts + INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
+              OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid
+  FROM l),
+w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS wm FROM events),
+g AS (
+  SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
+         CAST(count(*) AS BIGINT) AS n_events
+  FROM s GROUP BY user_id, sid)
+SELECT g.* FROM g WHERE g.session_end <= (SELECT wm FROM w)""",
+
     "session_bytes": """
 SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n_messages,
        CAST(sum(length(hex(props)) / 2) AS BIGINT) AS n_bytes
@@ -275,6 +293,30 @@ SELECT user_id, segment, n_early, closing_marker,
        CAST(CASE WHEN closing_marker IS NULL THEN n_early % 6 ELSE 0 END AS BIGINT) AS held
 FROM j WHERE (prev_marker IS NULL OR prev_marker = 'error') AND n_early > 0""",
 
+    "early_data_stream": """
+WITH x AS (
+  SELECT user_id, ts, event_id, event_type,
+         event_type IN ('signup', 'error') AS is_marker,
+         coalesce(sum(CASE WHEN event_type IN ('signup', 'error') THEN 1 ELSE 0 END)
+           OVER (PARTITION BY user_id ORDER BY ts, event_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment
+  FROM events),
+seg AS (
+  SELECT user_id, CAST(segment AS BIGINT) AS segment,
+         CAST(sum(CASE WHEN is_marker THEN 0 ELSE 1 END) AS BIGINT) AS n_early,
+         max(CASE WHEN is_marker THEN event_type END) AS closing_marker
+  FROM x GROUP BY user_id, segment),
+j AS (
+  SELECT s.*, p.closing_marker AS prev_marker
+  FROM seg s LEFT JOIN seg p ON p.user_id = s.user_id AND p.segment + 1 = s.segment)
+SELECT user_id, segment, n_early, closing_marker,
+       CAST(CASE WHEN closing_marker = 'signup' THEN n_early % 6 ELSE 0 END AS BIGINT) AS replayed,
+       CAST(n_early - n_early % 6 AS BIGINT) AS dropped,
+       CAST(n_early // 6 AS BIGINT) AS resets,
+       CAST(CASE WHEN closing_marker = 'error' THEN n_early % 6 ELSE 0 END AS BIGINT) AS cleared
+FROM j WHERE (prev_marker IS NULL OR prev_marker = 'error') AND n_early > 0
+  AND closing_marker IS NOT NULL""",
+
     "request_response": """
 WITH v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'),
 p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),

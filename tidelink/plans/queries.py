@@ -288,6 +288,14 @@ def q_early_data(spark, sf_dir):
                                  create="signup", close="error", tiebreak=("event_id",))
 
 
+def q_early_data_stream(spark, sf_dir):
+    schema = _t(spark, sf_dir, "events").schema
+    out = shared_dir(spark, "early_data_stream")
+    return early_data.early_data_stream(spark, sf_dir, "events.parquet", schema, "user_id", "ts",
+                                        "event_id", "event_type", "signup", "error",
+                                        f"{out}/data", f"{out}/checkpoint")
+
+
 def q_request_response(spark, sf_dir):
     ev = _t(spark, sf_dir, "events")
     return correlate.first_response(ev.filter(F.col("event_type") == "view"),
@@ -335,6 +343,7 @@ QUERIES = {
     "session_stream": q_session_stream,
     "session_bytes": q_session_bytes,
     "early_data": q_early_data,
+    "early_data_stream": q_early_data_stream,
     "request_response": q_request_response,
     "log_parse": q_log_parse,
     "log_rate": q_log_rate,

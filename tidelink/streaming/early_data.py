@@ -52,3 +52,79 @@ def early_data(df: DataFrame, key: str, ts: str, type_col: str, create: str, clo
         F.when(F.col("closing_marker") == F.lit(close), rem).otherwise(0).cast("long").alias("cleared"),
         F.when(F.col("closing_marker").isNull(), rem).otherwise(0).cast("long").alias("held"),
     )
+
+
+def _segment_step(create: str, close: str, key: str, ts: str, order_col: str, type_col: str):
+    """State transition for one key over one micro-batch (vectorized pandas).
+
+    State: (next segment number, data messages held in the open segment,
+    marker that closed the previous segment).  Emits closed segments that
+    held early data.
+    """
+    import pandas as pd
+
+    cycle = BUFFER_LIMIT + 1
+    cols = [key, "segment", "n_early", "closing_marker", "replayed", "dropped", "resets", "cleared"]
+
+    def step(k, batches, state):
+        seg0, held0, prev0 = state.get if state.exists else (0, 0, None)
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values([ts, order_col], kind="stable")
+        t = pdf[type_col].to_numpy()
+        marker = (t == create) | (t == close)
+        seg = seg0 + marker.cumsum() - marker          # markers strictly before
+        g = pd.DataFrame({"segment": seg, "data": ~marker, "marker": pd.Series(t).where(marker)})
+        per = g.groupby("segment").agg(n=("data", "sum"), closing=("marker", "last")).reset_index()
+        per.loc[per["segment"] == seg0, "n"] += held0
+        per["prev"] = per["closing"].shift(1)
+        per.loc[per["segment"] == seg0, "prev"] = prev0
+        closed = per[per["closing"].notna()]
+        last_closing = closed["closing"].iloc[-1] if len(closed) else prev0
+        open_seg = per[per["closing"].isna()]
+        held = int(open_seg["n"].iloc[0]) if len(open_seg) else 0
+        state.update((int(seg0 + marker.sum()), held, last_closing))
+        early = closed[(closed["prev"].isna() | (closed["prev"] == close)) & (closed["n"] > 0)]
+        if early.empty:
+            yield pd.DataFrame({c: [] for c in cols})
+            return
+        n = early["n"].astype("int64")
+        rem = n % cycle
+        yield pd.DataFrame({
+            key: k[0],
+            "segment": early["segment"].astype("int64"),
+            "n_early": n,
+            "closing_marker": early["closing"],
+            "replayed": rem.where(early["closing"] == create, 0).astype("int64"),
+            "dropped": (n - rem).astype("int64"),
+            "resets": (n // cycle).astype("int64"),
+            "cleared": rem.where(early["closing"] == close, 0).astype("int64"),
+        })
+
+    return step
+
+
+def early_data_stream(spark, source_dir: str, file_glob: str, schema, key: str, ts: str,
+                      order_col: str, type_col: str, create: str, close: str, out_dir: str,
+                      checkpoint_dir: str, max_files: int = 1):
+    """Streaming twin: keyed state per ``key`` (``applyInPandasWithState``).
+
+    Messages are taken in arrival order (``ts`` then ``order_col`` inside a
+    micro-batch); closed segments are emitted as they close.  Each group a
+    task sees is one key's rows of one micro-batch, bounded by the trigger
+    size (``maxFilesPerTrigger``), not by the key's history.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+              .option("maxFilesPerTrigger", max_files).parquet(source_dir)
+              .select(key, ts, order_col, type_col))
+    out_schema = (f"{key} long, segment long, n_early long, closing_marker string, "
+                  "replayed long, dropped long, resets long, cleared long")
+    state_schema = "segment long, held long, prev_marker string"
+    result = stream.groupBy(key).applyInPandasWithState(
+        _segment_step(create, close, key, ts, order_col, type_col), out_schema, state_schema,
+        "append", GroupStateTimeout.NoTimeout)
+    q = (result.writeStream.format("parquet").option("path", out_dir)
+         .option("checkpointLocation", checkpoint_dir).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(out_schema).parquet(out_dir)
