@@ -330,6 +330,33 @@ SELECT request_id, user_id, response_id,
        CASE WHEN response_id IS NOT NULL THEN 'matched' ELSE 'timeout' END AS status
 FROM m""",
 
+    # Stream-stream left outer join: every pair within the hour, plus each
+    # request without one once the global watermark (min over both inputs of
+    # the latest event time at ms precision, minus 10 minutes) passed its hour.
+    "request_response_stream": """
+WITH v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'),
+p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
+w AS (SELECT least((SELECT date_trunc('millisecond', max(ts)) FROM v),
+                   (SELECT date_trunc('millisecond', max(ts)) FROM p)) - INTERVAL 10 MINUTE AS wm)
+SELECT v.event_id AS request_id, v.user_id, p.event_id AS response_id, v.ts AS request_ts
+FROM v JOIN p ON p.user_id = v.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR
+UNION ALL
+SELECT v.event_id AS request_id, v.user_id, CAST(NULL AS BIGINT) AS response_id, v.ts AS request_ts
+FROM v
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = v.user_id AND p.ts >= v.ts
+                  AND p.ts <= v.ts + INTERVAL 1 HOUR)
+  AND v.ts + INTERVAL 1 HOUR < (SELECT wm FROM w)""",
+
+    "message_route_stream": f"""
+WITH m AS (SELECT {d.MSG_TYPE_EXPR} AS msg_type FROM events)
+SELECT CASE WHEN msg_type IN ('session_create', 'session_data', 'session_close',
+                              'request_port_mappings', 'forward_data', 'tcp_forward', 'query') THEN 'agent'
+            WHEN msg_type IN ('port_mapping', 'session_create_response', 'session_data_response',
+                              'session_reset') THEN 'sidecar'
+            ELSE 'dead_letter' END AS route,
+       msg_type, CAST(count(*) AS BIGINT) AS n_messages
+FROM m GROUP BY ALL""",
+
     "log_parse": f"""
 SELECT event_id, date_trunc('millisecond', ts) AS log_ts, {d.LOGGER_EXPR} AS logger,
        {d.LEVEL_EXPR} AS level, {d.MESSAGE_EXPR} AS message

@@ -25,6 +25,7 @@ RECENT = "2001-01-01 00:00:00"
 RUN_TS = "2025-01-01 00:00:00"
 SESSION_GAP = "30 minutes"
 RESPONSE_WITHIN = "1 hour"
+STREAM_DELAY = "10 minutes"
 # Demo key for the column-protection job (32 bytes -> AES-256).
 DEMO_KEY = "tidelink-demo-key-0123456789abcd"
 DERBY = "tidelink"
@@ -303,6 +304,23 @@ def q_request_response(spark, sf_dir):
                                     "user_id", "ts", "event_id", RESPONSE_WITHIN)
 
 
+def q_request_response_stream(spark, sf_dir):
+    schema = _t(spark, sf_dir, "events").schema
+    out = shared_dir(spark, "request_response_stream")
+    return correlate.response_stream(spark, sf_dir, "events.parquet", schema, "user_id", "ts", "event_id",
+                                     "event_type", "view", "purchase", RESPONSE_WITHIN, STREAM_DELAY,
+                                     f"{out}/data", f"{out}/checkpoint")
+
+
+def q_message_route_stream(spark, sf_dir):
+    schema = _t(spark, sf_dir, "events").schema
+    out = shared_dir(spark, "message_route_stream")
+    routed = messages.route_stream(spark, sf_dir, "events.parquet", schema, derived.messages,
+                                   f"{out}/data", f"{out}/checkpoint")
+    return (routed.groupBy("route", "msg_type")
+            .agg(F.count(F.lit(1)).cast("long").alias("n_messages")))
+
+
 def q_log_parse(spark, sf_dir):
     return logs.parse_lines(derived.service_log(_t(spark, sf_dir, "events")))
 
@@ -339,12 +357,14 @@ QUERIES = {
     "connection_inventory": q_connection_inventory,
     "source_health": q_source_health,
     "message_route": q_message_route,
+    "message_route_stream": q_message_route_stream,
     "session_batch": q_session_batch,
     "session_stream": q_session_stream,
     "session_bytes": q_session_bytes,
     "early_data": q_early_data,
     "early_data_stream": q_early_data_stream,
     "request_response": q_request_response,
+    "request_response_stream": q_request_response_stream,
     "log_parse": q_log_parse,
     "log_rate": q_log_rate,
 }

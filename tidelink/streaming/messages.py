@@ -55,3 +55,16 @@ def bytes_per_session(messages: DataFrame, session_cols, type_col: str) -> DataF
     return (messages.groupBy(*session_cols, type_col)
             .agg(F.count(F.lit(1)).cast("long").alias("n_messages"),
                  F.sum("n_bytes").cast("long").alias("n_bytes")))
+
+
+def route_stream(spark, source_dir: str, file_glob: str, schema, derive, out_dir: str,
+                 checkpoint_dir: str, max_files: int = 1):
+    """Route a message stream: each micro-batch is split by route (agent,
+    sidecar, dead letter) in one partitioned write; returns the routed rows
+    read back from the sink."""
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+              .option("maxFilesPerTrigger", max_files).parquet(source_dir))
+    q = (derive(stream).writeStream.foreachBatch(fan_out_writer(out_dir))
+         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_dir)
