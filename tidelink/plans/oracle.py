@@ -121,11 +121,15 @@ SELECT c_custkey, lower(hex(c_name)) AS name_hex, to_base64(encode(c_name)) AS n
 SELECT c_custkey, c_name, true AS roundtrip_ok FROM customer""",
 
     "result_envelope": """
-SELECT event_id, user_id,
-       strftime(ts, '%Y-%m-%dT%H:%M:%S')
-         || CASE WHEN strftime(ts, '%f') = '000000' THEN '' ELSE '.' || strftime(ts, '%f') END AS ts_iso,
-       round(value, 2) AS value
-FROM events""",
+WITH e AS (
+  SELECT event_id, user_id, event_type, value,
+         strftime(ts, '%Y-%m-%dT%H:%M:%S')
+           || CASE WHEN strftime(ts, '%f') = '000000' THEN '' ELSE '.' || strftime(ts, '%f') END AS ts_iso
+  FROM events)
+SELECT event_id, user_id, ts_iso, round(value, 2) AS value,
+       CAST(to_json({'event_id': event_id, 'user_id': user_id, 'event_type': event_type,
+                     'ts_iso': ts_iso}) AS VARCHAR) AS row_json
+FROM e""",
 
     "statement_kind": f"""
 WITH q AS (SELECT event_id, {d.QUERY_TEXT_EXPR} AS query FROM events)

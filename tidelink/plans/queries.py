@@ -219,9 +219,11 @@ def q_protect_columns(spark, sf_dir):
 
 
 def q_result_envelope(spark, sf_dir):
-    ev = _t(spark, sf_dir, "events")
-    return ev.select("event_id", "user_id", iso_text("ts").alias("ts_iso"),
-                     F.round("value", 2).alias("value"))
+    ev = _t(spark, sf_dir, "events").withColumn("ts_iso", iso_text("ts"))
+    row = F.to_json(F.struct("event_id", "user_id", "event_type", "ts_iso"),
+                    {"ignoreNullFields": "false"})
+    return ev.select("event_id", "user_id", "ts_iso", F.round("value", 2).alias("value"),
+                     row.alias("row_json"))
 
 
 def q_statement_kind(spark, sf_dir):
