@@ -250,6 +250,25 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS sessio
        CAST(count(*) AS BIGINT) AS n_events
 FROM s GROUP BY user_id, sid""",
 
+    "session_markers": """
+WITH x AS (
+  SELECT user_id, ts, event_id, event_type,
+         event_type IN ('signup', 'error') AS is_marker,
+         coalesce(sum(CASE WHEN event_type IN ('signup', 'error') THEN 1 ELSE 0 END)
+           OVER (PARTITION BY user_id ORDER BY ts, event_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment
+  FROM events),
+seg AS (
+  SELECT user_id, CAST(segment AS BIGINT) AS segment,
+         CAST(sum(CASE WHEN is_marker THEN 0 ELSE 1 END) AS BIGINT) AS n_data,
+         max(CASE WHEN is_marker THEN event_type END) AS end_marker,
+         max(CASE WHEN is_marker THEN ts END) AS end_ts
+  FROM x GROUP BY user_id, segment)
+SELECT s.user_id, s.segment, p.end_ts AS session_start, s.end_ts AS session_end, s.n_data,
+       CASE s.end_marker WHEN 'error' THEN 'closed' WHEN 'signup' THEN 'recreated' ELSE 'open' END AS end_reason
+FROM seg s JOIN seg p ON p.user_id = s.user_id AND p.segment + 1 = s.segment
+WHERE p.end_marker = 'signup'""",
+
     # Append mode emits a session once the final watermark (latest event
     # time at millisecond precision minus the 10-minute delay) reaches its end.
     "session_stream": """

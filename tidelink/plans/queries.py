@@ -274,6 +274,11 @@ def q_session_batch(spark, sf_dir):
         "user_id", "session_start", "session_end", "n_events")
 
 
+def q_session_markers(spark, sf_dir):
+    return sessions.marker_sessions(_t(spark, sf_dir, "events"), "user_id", "ts", "event_type",
+                                    create="signup", close="error", tiebreak=("event_id",))
+
+
 def q_session_stream(spark, sf_dir):
     schema = _t(spark, sf_dir, "events").schema
     out = shared_dir(spark, "session_stream")
@@ -361,6 +366,7 @@ QUERIES = {
     "message_route": q_message_route,
     "message_route_stream": q_message_route_stream,
     "session_batch": q_session_batch,
+    "session_markers": q_session_markers,
     "session_stream": q_session_stream,
     "session_bytes": q_session_bytes,
     "early_data": q_early_data,

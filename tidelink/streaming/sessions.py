@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelink.functions.temporal import instant_to_ntz, interval, ntz_to_instant
-from tidelink.operators.sequence import DEFAULT_BUCKET
+from tidelink.operators.sequence import DEFAULT_BUCKET, with_running_sum
 
 DEFAULT_GAP = "30 minutes"
 _B = "_bucket"
@@ -72,3 +72,30 @@ def session_stream(spark: SparkSession, source_dir: str, file_glob: str, schema,
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(out_dir)
+
+
+def marker_sessions(df: DataFrame, key: str, ts: str, type_col: str, create: str, close: str,
+                    tiebreak=(), bucket: str = DEFAULT_BUCKET) -> DataFrame:
+    """Sessions delimited by explicit markers: a ``create`` opens one, data
+    extends it, a ``close`` (or another ``create``) ends it.
+
+    Rows are cut into segments by the markers strictly before them (the
+    skew-safe running count); a segment whose previous marker is ``create``
+    is a session.  Per segment only fixed-width aggregates are kept, and the
+    opening marker's time comes from a join on the unique (key, segment).
+    """
+    is_marker = F.col(type_col).isin(create, close)
+    d = with_running_sum(df.withColumn("_m", is_marker), [key], ts, "_m", out="segment",
+                         inclusive=False, tiebreak=list(tiebreak), bucket=bucket)
+    code = F.when(F.col(type_col) == F.lit(create), 1).when(F.col(type_col) == F.lit(close), 2)
+    seg = d.groupBy(key, "segment").agg(
+        F.sum(F.when(F.col("_m"), 0).otherwise(1)).cast("long").alias("n_data"),
+        F.max(code).alias("_end_code"),
+        F.max(F.when(F.col("_m"), F.col(ts))).alias("_end_ts"))
+    opening = seg.select(key, (F.col("segment") + 1).alias("segment"),
+                         F.col("_end_code").alias("_open_code"), F.col("_end_ts").alias("session_start"))
+    s = seg.join(opening, [key, "segment"], "inner").filter(F.col("_open_code") == 1)
+    reason = (F.when(F.col("_end_code") == 2, F.lit("closed"))
+              .when(F.col("_end_code") == 1, F.lit("recreated")).otherwise(F.lit("open")))
+    return s.select(key, "segment", "session_start", F.col("_end_ts").alias("session_end"),
+                    "n_data", reason.alias("end_reason"))
