@@ -149,3 +149,19 @@ def test_log_rate_stream_matches_batch(spark, sf_dir):
     g = {tuple(r) for r in got.select("minute", "level", "n_lines", "n_auth_failed").collect()}
     b = {tuple(r) for r in batch.select("minute", "level", "n_lines", "n_auth_failed").collect()}
     assert g and g <= b
+
+
+def test_early_data_stream_carries_state_across_batches(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    src = shared_dir(spark, "test_early_src")
+    bounds = ["2024-01-01", "2024-01-08", "2024-01-20", "2030-01-01"]
+    for lo, hi in zip(bounds, bounds[1:]):  # three files, written in time order
+        (ev.filter((F.col("ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi).cast("timestamp_ntz")))
+         .coalesce(1).write.mode("append").parquet(src))
+    out = shared_dir(spark, "test_early_stream")
+    got = early_data.early_data_stream(spark, src, "*.parquet", ev.schema, "user_id", "ts", "event_id",
+                                       "event_type", "signup", "error", f"{out}/d", f"{out}/c", max_files=1)
+    batch = early_data.early_data(ev, "user_id", "ts", "event_type", "signup", "error", tiebreak=("event_id",))
+    cols = ["user_id", "segment", "n_early", "closing_marker", "replayed", "dropped", "resets", "cleared"]
+    expected = {tuple(r) for r in batch.filter("closing_marker IS NOT NULL").select(*cols).collect()}
+    assert {tuple(r) for r in got.select(*cols).collect()} == expected

@@ -55,12 +55,14 @@ def early_data(df: DataFrame, key: str, ts: str, type_col: str, create: str, clo
 
 
 def _segment_step(create: str, close: str, key: str, ts: str, order_col: str, type_col: str):
-    """State transition for one key over one micro-batch (vectorized pandas).
+    """State transition for one key over one micro-batch (vectorized numpy).
 
     State: (next segment number, data messages held in the open segment,
     marker that closed the previous segment).  Emits closed segments that
-    held early data.
+    held early data.  Within the batch the k-th marker closes segment k, so
+    counts come from one ``bincount`` over segment ids.
     """
+    import numpy as np
     import pandas as pd
 
     cycle = BUFFER_LIMIT + 1
@@ -68,35 +70,37 @@ def _segment_step(create: str, close: str, key: str, ts: str, order_col: str, ty
 
     def step(k, batches, state):
         seg0, held0, prev0 = state.get if state.exists else (0, 0, None)
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values([ts, order_col], kind="stable")
-        t = pdf[type_col].to_numpy()
+        parts = list(batches)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        order = np.lexsort((pdf[order_col].to_numpy(), pdf[ts].to_numpy()))
+        t = pdf[type_col].to_numpy(dtype=object)[order]
         marker = (t == create) | (t == close)
-        seg = seg0 + marker.cumsum() - marker          # markers strictly before
-        g = pd.DataFrame({"segment": seg, "data": ~marker, "marker": pd.Series(t).where(marker)})
-        per = g.groupby("segment").agg(n=("data", "sum"), closing=("marker", "last")).reset_index()
-        per.loc[per["segment"] == seg0, "n"] += held0
-        per["prev"] = per["closing"].shift(1)
-        per.loc[per["segment"] == seg0, "prev"] = prev0
-        closed = per[per["closing"].notna()]
-        last_closing = closed["closing"].iloc[-1] if len(closed) else prev0
-        open_seg = per[per["closing"].isna()]
-        held = int(open_seg["n"].iloc[0]) if len(open_seg) else 0
-        state.update((int(seg0 + marker.sum()), held, last_closing))
-        early = closed[(closed["prev"].isna() | (closed["prev"] == close)) & (closed["n"] > 0)]
-        if early.empty:
+        rel = np.cumsum(marker) - marker                    # segment of each row, from 0
+        m = int(marker.sum())
+        n = np.bincount(rel[~marker], minlength=m + 1).astype("int64")
+        n[0] += held0
+        closing = t[marker]                                 # closes segments 0..m-1
+        prev = np.empty(m + 1, dtype=object)
+        prev[0] = prev0
+        prev[1:] = closing
+        state.update((int(seg0 + m), int(n[m]), closing[-1] if m else prev0))
+        if m == 0:
             yield pd.DataFrame({c: [] for c in cols})
             return
-        n = early["n"].astype("int64")
-        rem = n % cycle
+        p, nn = prev[:m], n[:m]
+        keep = (pd.isna(p) | (p == close)) & (nn > 0)
+        idx = np.nonzero(keep)[0]
+        nk, ck = nn[idx], closing[idx]
+        rem = nk % cycle
         yield pd.DataFrame({
-            key: k[0],
-            "segment": early["segment"].astype("int64"),
-            "n_early": n,
-            "closing_marker": early["closing"],
-            "replayed": rem.where(early["closing"] == create, 0).astype("int64"),
-            "dropped": (n - rem).astype("int64"),
-            "resets": (n // cycle).astype("int64"),
-            "cleared": rem.where(early["closing"] == close, 0).astype("int64"),
+            key: np.full(len(idx), k[0], dtype="int64"),
+            "segment": (seg0 + idx).astype("int64"),
+            "n_early": nk,
+            "closing_marker": ck,
+            "replayed": np.where(ck == create, rem, 0).astype("int64"),
+            "dropped": (nk - rem).astype("int64"),
+            "resets": (nk // cycle).astype("int64"),
+            "cleared": np.where(ck == close, rem, 0).astype("int64"),
         })
 
     return step
