@@ -72,9 +72,9 @@ def test_sequence_helpers_match_plain_windows(spark, bucket):
              .select("event_id", "p", F.coalesce("s", F.lit(0)).alias("s"), "n"))
     ours = with_prev(df, ["k"], "ts", out="p", tiebreak=["event_id"], bucket=bucket)
     ours = with_running_sum(ours, ["k"], "ts", "flag", out="s", inclusive=False, tiebreak=["event_id"], bucket=bucket)
-    ours = with_next(ours, ["k"], "ts", F.when(F.col("flag"), F.struct("ts", "event_id")), out="n",
+    ours = with_next(ours, ["k"], "ts", F.col("flag"), "ts", "event_id", out="n",
                      tiebreak=["event_id"], bucket=bucket)
-    ours = ours.select("event_id", "p", "s", F.col("n.event_id").alias("n"))
+    ours = ours.select("event_id", "p", "s", F.col("n.id").alias("n"))
     assert sorted(ours.collect()) == sorted(plain.collect())
 
 

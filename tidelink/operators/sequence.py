@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelink.functions.temporal import ntz_micros
+
 DEFAULT_BUCKET = "1 hour"
 _B = "_bucket"
 
@@ -71,23 +73,42 @@ def with_running_sum(df: DataFrame, keys, ts: str, value, out: str, inclusive: b
     return d.withColumn(out, (F.col("_ls") + F.col("_carry")).cast("long")).drop("_ls", "_carry", "_v", _B)
 
 
-def with_next(df: DataFrame, keys, ts: str, value, out: str, tiebreak=None,
-              bucket: str = DEFAULT_BUCKET) -> DataFrame:
-    """Add the first non-null ``value`` among strictly later rows of the key.
+def _order_key(ts_col, id_col):
+    """Exact, fixed-width sort key for (ts, id): decimal(38,0) of
+    ``micros * 10^20 + (id + 2^63)`` - hash-aggregable, unlike a struct."""
+    micros = ntz_micros(ts_col).cast("decimal(38,0)")
+    shifted = id_col.cast("decimal(38,0)") + F.lit(str(2 ** 63)).cast("decimal(38,0)")
+    return (micros * F.lit(str(10 ** 20)).cast("decimal(38,0)") + shifted).cast("decimal(38,0)")
+
 
-    ``value`` should order like time (e.g. ``struct(ts, id)``) so the
-    earliest later value is also the smallest within a bucket.
+def with_next(df: DataFrame, keys, ts: str, when, value_ts: str, value_id: str, out: str,
+              tiebreak=None, bucket: str = DEFAULT_BUCKET) -> DataFrame:
+    """Add ``out = struct(ts, id)`` of the first later row of the key where
+    ``when`` holds (ordered by ``ts`` then ``tiebreak``; earliest first).
+
+    Per bucket the earliest candidate is found with hash aggregations over an
+    exact decimal order key; the carry to earlier buckets is a window over
+    one summary row per bucket.
     """
     keys = list(keys)
-    val = F.col(value) if isinstance(value, str) else value
-    base = _with_bucket(df, ts, bucket).withColumn("_v", val)
+    cond = F.col(when) if isinstance(when, str) else when
+    base = (_with_bucket(df, ts, bucket)
+            .withColumn("_c", cond)
+            .withColumn("_v", F.when(F.col("_c"), F.struct(F.col(value_ts).alias("ts"),
+                                                          F.col(value_id).alias("id")))))
     after = (Window.partitionBy(*keys, _B).orderBy(*_order(ts, tiebreak))
              .rowsBetween(1, Window.unboundedFollowing))
     d = base.withColumn("_ln", F.first("_v", ignorenulls=True).over(after))
-    # From the windowed frame: already partitioned and sorted by (key,
-    # bucket), so this aggregation adds no shuffle and no sort.
-    summary = d.groupBy(*keys, _B).agg(F.min("_v").alias("_bmin"))
+    # Every bucket keeps a summary row (its carry is needed even without
+    # candidates); non-candidates have a null order key and are skipped.
+    ranked = base.withColumn("_ok", F.when(F.col("_c"), _order_key(F.col(value_ts), F.col(value_id))))
+    summary = ranked.groupBy(*keys, _B).agg(F.min("_ok").alias("_bok"),
+                                            F.min_by(value_ts, "_ok").alias("_bts"),
+                                            F.min_by(value_id, "_ok").alias("_bid"))
+    summary = summary.withColumn("_bmin", F.when(F.col("_bok").isNotNull(), F.struct(
+        F.col("_bts").alias("ts"), F.col("_bid").alias("id"))))
     later = Window.partitionBy(*keys).orderBy(_B).rowsBetween(1, Window.unboundedFollowing)
-    carry = summary.withColumn("_carry", F.first("_bmin", ignorenulls=True).over(later)).drop("_bmin")
+    carry = summary.withColumn("_carry", F.first("_bmin", ignorenulls=True).over(later)).select(
+        *keys, _B, "_carry")
     d = d.join(carry, [*keys, _B], "left")
-    return d.withColumn(out, F.coalesce("_ln", "_carry")).drop("_ln", "_carry", "_v", _B)
+    return d.withColumn(out, F.coalesce("_ln", "_carry")).drop("_ln", "_carry", "_v", "_c", _B)

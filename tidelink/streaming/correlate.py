@@ -24,16 +24,16 @@ def first_response(requests: DataFrame, responses: DataFrame, key: str, ts: str,
     req = requests.select(key, ts, id_col, F.lit(0).alias("_resp"))
     rsp = responses.select(key, ts, id_col, F.lit(1).alias("_resp"))
     u = req.unionByName(rsp)
-    value = F.when(F.col("_resp") == 1, F.struct(F.col(ts).alias("rts"), F.col(id_col).alias("rid")))
     # Order (ts, requests before responses, id): a response at the same
     # instant counts as after the request.
-    d = with_next(u, [key], ts, value, out="_nx", tiebreak=["_resp", id_col], bucket=bucket)
+    d = with_next(u, [key], ts, F.col("_resp") == 1, ts, id_col, out="_nx",
+                  tiebreak=["_resp", id_col], bucket=bucket)
     d = d.filter(F.col("_resp") == 0)
-    hit = F.col("_nx").isNotNull() & (F.col("_nx.rts") <= F.col(ts) + interval(within))
+    hit = F.col("_nx").isNotNull() & (F.col("_nx.ts") <= F.col(ts) + interval(within))
     return d.select(
         F.col(id_col).alias("request_id"), key,
-        F.when(hit, F.col("_nx.rid")).alias("response_id"),
-        F.when(hit, F.round(seconds_between(F.col(ts), F.col("_nx.rts")), 6)).alias("latency_s"),
+        F.when(hit, F.col("_nx.id")).alias("response_id"),
+        F.when(hit, F.round(seconds_between(F.col(ts), F.col("_nx.ts")), 6)).alias("latency_s"),
         F.when(hit, F.lit("matched")).otherwise(F.lit("timeout")).alias("status"),
     )
 
