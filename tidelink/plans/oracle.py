@@ -48,6 +48,7 @@ WHERE c.c_acctbal < s.segment_avg""",
 
     "remote_query": _STATUS,
     "remote_append": _STATUS,
+    "remote_catalog": _STATUS,
 
     "remote_scan": """
 SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment

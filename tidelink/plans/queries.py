@@ -101,6 +101,16 @@ def q_remote_append(spark, sf_dir):
     return _status_summary(remote.remote_query(spark, src, _GROUP_SQL.format(t="RA_ORDERS")))
 
 
+def q_remote_catalog(spark, sf_dir):
+    src = _stage_orders(spark, sf_dir, "RC_ORDERS")
+    cat = remote.register_jdbc_catalog(spark, "tidelink_remote", src)
+    t = spark.table(f"{cat}.APP.RC_ORDERS")
+    # Aggregates are pushed into the remote engine's query.
+    agg = t.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"),
+                                         F.sum("o_totalprice").alias("total_price"))
+    return _status_summary(agg)
+
+
 def q_remote_scan(spark, sf_dir):
     src = remote.embedded_derby(DERBY)
     cust = _t(spark, sf_dir, "customer")
@@ -345,6 +355,7 @@ QUERIES = {
     "remote_query": q_remote_query,
     "remote_append": q_remote_append,
     "remote_scan": q_remote_scan,
+    "remote_catalog": q_remote_catalog,
     "insert_where_not_exists": q_insert_where_not_exists,
     "insert_ignore": q_insert_ignore,
     "surrogate_key": q_surrogate_key,
