@@ -95,6 +95,18 @@ SELECT c_custkey,
        CASE WHEN c_acctbal < 0 THEN 'negative' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band
 FROM customer""",
 
+    "sql_recursive_cte": """
+WITH RECURSIVE walk(n_regionkey, n_nationkey, step) AS (
+  SELECT n_regionkey, min(n_nationkey), 0 FROM nation GROUP BY n_regionkey
+  UNION ALL
+  SELECT w.n_regionkey, x.next_key, w.step + 1
+  FROM walk w
+  JOIN (SELECT n_nationkey,
+               lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS next_key
+        FROM nation) x ON x.n_nationkey = w.n_nationkey
+  WHERE x.next_key IS NOT NULL)
+SELECT n_regionkey, n_nationkey, CAST(step AS BIGINT) AS step FROM walk""",
+
     "sql_date_functions": """
 SELECT CAST(year(o_orderdate) AS BIGINT) AS yr, CAST(month(o_orderdate) AS BIGINT) AS mon,
        CAST(count(*) AS BIGINT) AS n_orders, round(sum(o_totalprice), 2) AS total_price
