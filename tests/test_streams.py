@@ -165,3 +165,12 @@ def test_early_data_stream_carries_state_across_batches(spark, sf_dir):
     cols = ["user_id", "segment", "n_early", "closing_marker", "replayed", "dropped", "resets", "cleared"]
     expected = {tuple(r) for r in batch.filter("closing_marker IS NOT NULL").select(*cols).collect()}
     assert {tuple(r) for r in got.select(*cols).collect()} == expected
+
+
+def test_malformed_log_lines_do_not_fail(spark):
+    df = spark.createDataFrame([("not a log line",), ("2024-13-45 99:99:99,999 - x - INFO - y",),
+                                ("2024-01-01 00:00:00,000 - a - b - c",)], "line string")
+    rows = logs.parse_lines(df).collect()
+    assert rows[0].log_ts is None and rows[0].level is None
+    assert rows[1].log_ts is None and rows[1].level == "INFO"  # impossible date -> null
+    assert rows[2].log_ts is None  # level 'b' is not a level name

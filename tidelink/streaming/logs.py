@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tidelink.functions.temporal import instant_to_ntz, ntz_to_instant
 
 ASCTIME = "yyyy-MM-dd HH:mm:ss,SSS"
-LINE_PATTERN = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - (.*?) - ([A-Z]+) - (.*)$"
+ASCTIME_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}$"
+LEVEL_PATTERN = r"^[A-Z]+$"
 # Log messages that mark authentication outcomes.
 READY_MARKER = "authenticated and ready"
 AUTH_FAILED_MARKER = "Authentication failed"
@@ -24,13 +25,20 @@ def format_line(ts, logger, level, message):
 
 
 def parse_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
-    line = F.col(line_col)
+    """Split each line on its first three separators (one pass, no regex
+    captures); lines not in the format keep nulls instead of failing the job.
+    The time is parsed as UTC wall clock with ``try_to_timestamp`` (an
+    impossible date gives null, not an error) and kept as ``timestamp_ntz``."""
+    parts = F.split(F.col(line_col), " - ", 4)
+    ok = ((F.size(parts) == 4) & parts.getItem(0).rlike(ASCTIME_PATTERN)
+          & parts.getItem(2).rlike(LEVEL_PATTERN))
     return df.select(
         *[c for c in df.columns if c != line_col],
-        F.to_timestamp_ntz(F.regexp_extract(line, LINE_PATTERN, 1), F.lit(ASCTIME)).alias("log_ts"),
-        F.regexp_extract(line, LINE_PATTERN, 2).alias("logger"),
-        F.regexp_extract(line, LINE_PATTERN, 3).alias("level"),
-        F.regexp_extract(line, LINE_PATTERN, 4).alias("message"),
+        F.when(ok, instant_to_ntz(F.try_to_timestamp(
+            F.concat(parts.getItem(0), F.lit("Z")), F.lit(ASCTIME + "X")))).alias("log_ts"),
+        F.when(ok, parts.getItem(1)).alias("logger"),
+        F.when(ok, parts.getItem(2)).alias("level"),
+        F.when(ok, parts.getItem(3)).alias("message"),
     )
 
 
