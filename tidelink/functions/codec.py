@@ -30,7 +30,8 @@ def to_base64(c) -> Column:
 
 
 def from_base64_text(c) -> Column:
-    return F.decode(F.unbase64(_col(c)), "UTF-8")
+    """Decoded text, or null when the value is not valid base64."""
+    return F.decode(F.try_to_binary(_col(c), F.lit("base64")), "UTF-8")
 
 
 def hex_byte_length(c) -> Column:
@@ -45,8 +46,9 @@ def encrypt(c, key: Column | str) -> Column:
 
 
 def decrypt_text(c, key: Column | str) -> Column:
+    """Clear text, or null when the ciphertext fails authentication."""
     k = F.lit(key) if isinstance(key, str) else key
-    return F.decode(F.aes_decrypt(_col(c), k, F.lit("GCM")), "UTF-8")
+    return F.decode(F.try_aes_decrypt(_col(c), k, F.lit("GCM")), "UTF-8")
 
 
 def protect_columns(df, columns, key: str, suffix: str = "_enc"):
@@ -60,5 +62,6 @@ def protect_columns(df, columns, key: str, suffix: str = "_enc"):
 def unprotect_columns(df, columns, key: str, suffix: str = "_enc"):
     out = df
     for c in columns:
-        out = out.withColumn(c, decrypt_text(F.unbase64(F.col(f"{c}{suffix}")), key)).drop(f"{c}{suffix}")
+        raw = F.try_to_binary(F.col(f"{c}{suffix}"), F.lit("base64"))
+        out = out.withColumn(c, decrypt_text(raw, key)).drop(f"{c}{suffix}")
     return out
