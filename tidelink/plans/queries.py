@@ -252,7 +252,7 @@ def q_request_batch(spark, sf_dir):
     register_views(spark, sf_dir, ("customer", "nation", "orders"))
     req = derived.request_table(_t(spark, sf_dir, "events"), derived.BATCH_TEXT_EXPR)
     envelopes, _ = run_requests(spark, req)
-    return envelopes
+    return envelopes.select("row_index", "success", "rowcount", "error")
 
 
 # --- link inventory ---------------------------------------------------------
