@@ -188,12 +188,24 @@ def q_ingest_full(spark, sf_dir):
 
 
 def q_ingest_incremental(spark, sf_dir):
+    """Remote table -> lake table in runs; each run appends only rows above
+    the lake's high-water mark, read through the partitioned JDBC scan with
+    the mark pushed into the remote query."""
     path = shared_dir(spark, "ingest_incremental")
     orders = _t(spark, sf_dir, "orders")
-    first = orders.filter(F.col("o_orderdate") < ntz_literal("1998-01-01 00:00:00"))
-    lake.ingest_incremental(spark, first, path, "o_orderdate")      # initial load
-    lake.ingest_incremental(spark, orders, path, "o_orderdate")     # new rows only
-    lake.ingest_incremental(spark, orders, path, "o_orderdate")     # re-run: nothing
+    src = remote.embedded_derby(DERBY, preferTimestampNTZ="true")
+    types = remote.string_column_types(orders)
+    cut = ntz_literal("1998-01-01 00:00:00")
+
+    def scan():
+        return remote.remote_scan(spark, src, "ING_ORDERS", partition_column="o_orderkey", num_partitions=8)
+
+    remote.remote_append(orders.filter(F.col("o_orderdate") < cut), src, "ING_ORDERS",
+                         column_types=types, mode="overwrite")
+    lake.ingest_incremental(spark, scan(), path, "o_orderdate")     # initial load
+    remote.remote_append(orders.filter(F.col("o_orderdate") >= cut), src, "ING_ORDERS")  # new remote rows
+    lake.ingest_incremental(spark, scan(), path, "o_orderdate")     # rows above the mark only
+    lake.ingest_incremental(spark, scan(), path, "o_orderdate")     # re-run: nothing
     return _status_from(spark.read.parquet(path))
 
 
