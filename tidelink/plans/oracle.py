@@ -392,4 +392,15 @@ WITH l AS (SELECT date_trunc('minute', ts) AS minute, {d.LEVEL_EXPR} AS level,
 SELECT minute, level, CAST(count(*) AS BIGINT) AS n_lines,
        CAST(sum(CASE WHEN contains(message, 'Authentication failed') THEN 1 ELSE 0 END) AS BIGINT) AS n_auth_failed
 FROM l GROUP BY minute, level""",
+
+    # A tumbling window is emitted once the final watermark (latest log time
+    # minus 2 minutes) reaches its end.
+    "log_rate_stream": f"""
+WITH l AS (SELECT date_trunc('minute', ts) AS minute, date_trunc('millisecond', ts) AS log_ts,
+                  {d.LEVEL_EXPR} AS level, {d.MESSAGE_EXPR} AS message FROM events),
+w AS (SELECT max(log_ts) - INTERVAL 2 MINUTE AS wm FROM l)
+SELECT minute, level, CAST(count(*) AS BIGINT) AS n_lines,
+       CAST(sum(CASE WHEN contains(message, 'Authentication failed') THEN 1 ELSE 0 END) AS BIGINT) AS n_auth_failed
+FROM l WHERE minute + INTERVAL 1 MINUTE <= (SELECT wm FROM w)
+GROUP BY minute, level""",
 }

@@ -26,6 +26,7 @@ RUN_TS = "2025-01-01 00:00:00"
 SESSION_GAP = "30 minutes"
 RESPONSE_WITHIN = "1 hour"
 STREAM_DELAY = "10 minutes"
+LOG_DELAY = "2 minutes"
 # Demo key for the column-protection job (32 bytes -> AES-256).
 DEMO_KEY = "tidelink-demo-key-0123456789abcd"
 DERBY = "tidelink"
@@ -358,6 +359,15 @@ def q_log_rate(spark, sf_dir):
     return logs.log_rate(logs.parse_lines(derived.service_log(_t(spark, sf_dir, "events"))))
 
 
+def q_log_rate_stream(spark, sf_dir):
+    schema = _t(spark, sf_dir, "events").schema
+    out = shared_dir(spark, "log_rate_stream")
+    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    return logs.log_rate_stream(spark, derived.service_log(events), f"{out}/data", f"{out}/checkpoint",
+                                watermark=LOG_DELAY)
+
+
 QUERIES = {
     "user_orders": q_user_orders,
     "order_listing": q_order_listing,
@@ -398,4 +408,5 @@ QUERIES = {
     "request_response_stream": q_request_response_stream,
     "log_parse": q_log_parse,
     "log_rate": q_log_rate,
+    "log_rate_stream": q_log_rate_stream,
 }
