@@ -68,6 +68,13 @@ BATCH_TEXT_EXPR = """CASE
   WHEN value < 10 THEN 'DELETE FROM orders'
   ELSE 'SELECT * FROM missing_table' END"""
 
+# Requests routed by target: the remote database, the default source, nowhere.
+ROUTED_TEXT_EXPR = """CASE
+  WHEN event_type = 'view' THEN '{"query":"SELECT N_NAME FROM NATION WHERE N_REGIONKEY = 2","target":"remote-db:1527"}'
+  WHEN event_type = 'click' THEN '{"query":"SELECT COUNT(*) AS N FROM NATION","target":"remote-db"}'
+  WHEN event_type = 'purchase' THEN '{"query":"SELECT 1 AS one","target":"elsewhere:5432"}'
+  ELSE 'SELECT r_name FROM region' END"""
+
 # Service log fields.
 LOGGER_EXPR = """CASE WHEN event_type IN ('signup', 'error') THEN 'onpremise_agent' ELSE '__main__' END"""
 LEVEL_EXPR = """CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING' ELSE 'INFO' END"""

@@ -196,6 +196,17 @@ SELECT event_id AS row_index,
             ELSE 'TABLE_OR_VIEW_NOT_FOUND' END AS error
 FROM events""",
 
+    "request_routing": """
+SELECT event_id AS row_index,
+       event_type <> 'purchase' AS success,
+       CAST(CASE event_type
+         WHEN 'view' THEN (SELECT count(*) FROM nation WHERE n_regionkey = 2)
+         WHEN 'click' THEN 1
+         WHEN 'purchase' THEN 0
+         ELSE (SELECT count(*) FROM region) END AS BIGINT) AS rowcount,
+       CASE WHEN event_type = 'purchase' THEN 'Unknown target' END AS error
+FROM events""",
+
     "protocol_lookup": f"""
 WITH c AS (SELECT event_id, {d.PORT_EXPR} AS port FROM events)
 SELECT event_id, port,

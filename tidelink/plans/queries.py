@@ -17,6 +17,7 @@ from tidelink.operators import inventory, keyed, relational
 from tidelink.operators.requests import parse_requests, run_requests
 from tidelink.plans import derived
 from tidelink.session import shared_dir
+from tidelink.sources.registry import SourceCatalog
 from tidelink.sources import lake, remote
 from tidelink.streaming import correlate, early_data, logs, messages, sessions
 from tidelink.tables import read_table, register_views
@@ -268,6 +269,22 @@ def q_request_batch(spark, sf_dir):
     return envelopes.select("row_index", "success", "rowcount", "error")
 
 
+def q_request_routing(spark, sf_dir):
+    """Requests routed by their target: ``remote-db`` (with or without port)
+    resolves to the remote database, no target to the default source, an
+    unknown host to an error row."""
+    register_views(spark, sf_dir, ("region",))
+    nation = _t(spark, sf_dir, "nation")
+    nation = nation.select(*[F.col(c).alias(c.upper()) for c in nation.columns])
+    src = remote.embedded_derby(DERBY)
+    remote.remote_append(nation, src, "NATION", column_types=remote.string_column_types(nation),
+                         mode="overwrite")
+    catalog = SourceCatalog().register("remote-db:1527", src).register("remote-db", src)
+    req = derived.request_table(_t(spark, sf_dir, "events"), derived.ROUTED_TEXT_EXPR)
+    envelopes, _ = run_requests(spark, req, catalog)
+    return envelopes.select("row_index", "success", "rowcount", "error")
+
+
 # --- link inventory ---------------------------------------------------------
 
 def q_protocol_lookup(spark, sf_dir):
@@ -393,6 +410,7 @@ QUERIES = {
     "statement_kind": q_statement_kind,
     "request_parse": q_request_parse,
     "request_batch": q_request_batch,
+    "request_routing": q_request_routing,
     "protocol_lookup": q_protocol_lookup,
     "connection_inventory": q_connection_inventory,
     "source_health": q_source_health,
