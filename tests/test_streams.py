@@ -100,19 +100,24 @@ def test_session_stream_equals_batch_for_closed_sessions(spark, sf_dir):
     assert closed <= s_rows
 
 
-def test_response_stream_pairs_match_batch(spark, sf_dir):
+def test_first_response_stream_matches_batch_across_batches(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
-    out = shared_dir(spark, "test_response_stream")
-    got = correlate.response_stream(spark, sf_dir, "events.parquet", ev.schema, "user_id", "ts", "event_id",
-                                    "event_type", "view", "purchase", "1 hour", "2 hours",
-                                    f"{out}/data", f"{out}/ckpt")
-    pairs = {(r.request_id, r.response_id) for r in got.filter("response_id IS NOT NULL").collect()}
-    v = ev.filter("event_type = 'view'").alias("v")
-    p = ev.filter("event_type = 'purchase'").alias("p")
-    expected = {(r[0], r[1]) for r in v.join(p, F.expr(
-        "v.user_id = p.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR")).select(
-        "v.event_id", "p.event_id").collect()}
-    assert pairs == expected
+    src = shared_dir(spark, "test_rr_src")
+    bounds = ["2024-01-01", "2024-01-10", "2024-01-21", "2030-01-01"]
+    for lo, hi in zip(bounds, bounds[1:]):  # three files in time order: state must carry over
+        (ev.filter((F.col("ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi).cast("timestamp_ntz")))
+         .coalesce(1).write.mode("append").parquet(src))
+    out = shared_dir(spark, "test_rr_stream")
+    got = correlate.first_response_stream(spark, src, "*.parquet", ev.schema, "user_id", "ts", "event_id",
+                                          "event_type", "view", "purchase", 3600, "10 minutes",
+                                          f"{out}/d", f"{out}/c", max_files=1)
+    batch = correlate.first_response(ev.filter("event_type = 'view'"), ev.filter("event_type = 'purchase'"),
+                                     "user_id", "ts", "event_id", "1 hour")
+    g = {tuple(r) for r in got.collect()}
+    b = {tuple(r) for r in batch.collect()}
+    assert len(g) == got.count()          # one row per request
+    assert g <= b
+    assert {r for r in b if r[4] == "matched"} <= g
 
 
 def test_fan_out_writer_is_replay_safe(spark, sf_dir):

@@ -365,22 +365,24 @@ SELECT request_id, user_id, response_id,
        CASE WHEN response_id IS NOT NULL THEN 'matched' ELSE 'timeout' END AS status
 FROM m""",
 
-    # Stream-stream left outer join: every pair within the hour, plus each
-    # request without one once the global watermark (min over both inputs of
-    # the latest event time at ms precision, minus 10 minutes) passed its hour.
+    # Keyed-state twin: a request is emitted when its first response arrives,
+    # or as a timeout once the watermark (latest event time at ms precision
+    # minus 10 minutes) has passed the end of its hour.
     "request_response_stream": """
 WITH v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'),
 p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
-w AS (SELECT least((SELECT date_trunc('millisecond', max(ts)) FROM v),
-                   (SELECT date_trunc('millisecond', max(ts)) FROM p)) - INTERVAL 10 MINUTE AS wm)
-SELECT v.event_id AS request_id, v.user_id, p.event_id AS response_id, v.ts AS request_ts
-FROM v JOIN p ON p.user_id = v.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR
-UNION ALL
-SELECT v.event_id AS request_id, v.user_id, CAST(NULL AS BIGINT) AS response_id, v.ts AS request_ts
-FROM v
-WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = v.user_id AND p.ts >= v.ts
-                  AND p.ts <= v.ts + INTERVAL 1 HOUR)
-  AND v.ts + INTERVAL 1 HOUR < (SELECT wm FROM w)""",
+w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS wm
+      FROM events WHERE event_type IN ('view', 'purchase')),
+m AS (
+  SELECT v.event_id AS request_id, v.user_id,
+         arg_min(p.event_id, p.ts) AS response_id, min(p.ts) AS rts, v.ts AS vts
+  FROM v LEFT JOIN p ON p.user_id = v.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR
+  GROUP BY v.event_id, v.user_id, v.ts)
+SELECT request_id, user_id, response_id,
+       round(CASE WHEN response_id IS NOT NULL THEN epoch_us(rts) - epoch_us(vts) END / 1000000.0, 6) AS latency_s,
+       CASE WHEN response_id IS NOT NULL THEN 'matched' ELSE 'timeout' END AS status
+FROM m
+WHERE response_id IS NOT NULL OR vts + INTERVAL 1 HOUR < (SELECT wm FROM w)""",
 
     "message_route_stream": f"""
 WITH m AS (SELECT {d.MSG_TYPE_EXPR} AS msg_type FROM events)

@@ -354,9 +354,9 @@ def q_request_response(spark, sf_dir):
 def q_request_response_stream(spark, sf_dir):
     schema = _t(spark, sf_dir, "events").schema
     out = shared_dir(spark, "request_response_stream")
-    return correlate.response_stream(spark, sf_dir, "events.parquet", schema, "user_id", "ts", "event_id",
-                                     "event_type", "view", "purchase", RESPONSE_WITHIN, STREAM_DELAY,
-                                     f"{out}/data", f"{out}/checkpoint")
+    return correlate.first_response_stream(spark, sf_dir, "events.parquet", schema, "user_id", "ts",
+                                           "event_id", "event_type", "view", "purchase", 3600,
+                                           STREAM_DELAY, f"{out}/data", f"{out}/checkpoint")
 
 
 def q_message_route_stream(spark, sf_dir):

@@ -5,8 +5,9 @@ after it; no response within ``within`` means a timeout.
 
 Batch form: an as-of ("next response") scan per key via the skew-safe
 two-level window - linear in the input, no pairs within a key are formed.
-Stream form: a stream-stream left outer join bounded by the interval and
-watermarks on both sides.
+Stream form: keyed state holding the requests still waiting, answered by
+the first response or timed out by the watermark - again one row per
+request, never request x response pairs.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelink.functions.temporal import instant_to_ntz, interval, ntz_to_instant, seconds_between
+from tidelink.functions.temporal import interval, ntz_to_instant, seconds_between
 from tidelink.operators.sequence import DEFAULT_BUCKET, with_next
 
 
@@ -38,26 +39,87 @@ def first_response(requests: DataFrame, responses: DataFrame, key: str, ts: str,
     )
 
 
-def response_stream(spark: SparkSession, source_dir: str, file_glob: str, schema, key: str,
-                    ts: str, id_col: str, type_col: str, request_type: str, response_type: str,
-                    within: str, watermark: str, out_dir: str, checkpoint_dir: str) -> DataFrame:
-    """All (request, response) pairs within ``within``; unmatched requests
-    are emitted with a null response once the watermark passes them."""
-    def side(kind: str, prefix: str):
-        s = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-             .parquet(source_dir).filter(F.col(type_col) == F.lit(kind)))
-        s = s.select(F.col(key).alias(f"{prefix}_key"), F.col(id_col).alias(f"{prefix}_id"),
-                     ntz_to_instant(ts).alias(f"{prefix}_t"))
-        return s.withWatermark(f"{prefix}_t", watermark)
-
-    rq, rs = side(request_type, "rq"), side(response_type, "rs")
-    cond = F.expr(f"rs_key = rq_key AND rs_t >= rq_t AND rs_t <= rq_t + INTERVAL {within}")
-    joined = rq.join(rs, cond, "leftOuter").select(
-        F.col("rq_id").alias("request_id"), F.col("rq_key").alias(key),
-        F.col("rs_id").alias("response_id"),
-        instant_to_ntz(F.col("rq_t")).alias("request_ts"))
-    q = (joined.writeStream.format("parquet").option("path", out_dir)
+def _first_response_step(key: str, ts: str, id_col: str, kind_col: str, request_kind: str,
+                         within_us: int):
+    """Keyed-state step (numpy): pending requests live in the state; each
+    request is answered by the first later response within the horizon, or
+    times out once the watermark passes its deadline.  Only one row per
+    request is ever emitted - no request x response pairs are formed."""
+    import numpy as np
+    import pandas as pd
+
+    cols = ["request_id", key, "response_id", "latency_s", "status"]
+
+    def emit(k, req_id, resp_id, latency, status):
+        n = len(req_id)
+        return pd.DataFrame({
+            "request_id": np.asarray(req_id, dtype="int64"),
+            key: np.full(n, k, dtype="int64"),
+            "response_id": pd.array(resp_id, dtype="Int64"),
+            "latency_s": pd.array(latency, dtype="Float64"),
+            "status": np.asarray(status, dtype=object),
+        }, columns=cols)
+
+    def step(k, batches, state):
+        kv = k[0]
+        p_ts, p_id = (np.asarray(state.get[0], dtype="int64"), np.asarray(state.get[1], dtype="int64")) \
+            if state.exists else (np.empty(0, "int64"), np.empty(0, "int64"))
+        out = []
+        if not state.hasTimedOut:
+            parts = list(batches)
+            pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+            is_req = (pdf[kind_col] == request_kind).to_numpy()
+            t = pdf["_us"].to_numpy(dtype="int64")
+            ids = pdf[id_col].to_numpy(dtype="int64")
+            r_ts, r_id = np.concatenate([p_ts, t[is_req]]), np.concatenate([p_id, ids[is_req]])
+            order = np.lexsort((ids[~is_req], t[~is_req]))
+            s_ts, s_id = t[~is_req][order], ids[~is_req][order]
+            pos = np.searchsorted(s_ts, r_ts, side="left")       # first response at or after
+            found = pos < len(s_ts)
+            hit = found.copy()
+            hit[found] = s_ts[pos[found]] <= r_ts[found] + within_us
+            if hit.any():
+                out.append(emit(kv, r_id[hit], s_id[pos[hit]],
+                                np.round((s_ts[pos[hit]] - r_ts[hit]) / 1e6, 6), ["matched"] * int(hit.sum())))
+            p_ts, p_id = r_ts[~hit], r_id[~hit]
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        late = p_ts + within_us < wm_us
+        if late.any():
+            out.append(emit(kv, p_id[late], [None] * int(late.sum()), [None] * int(late.sum()),
+                            ["timeout"] * int(late.sum())))
+            p_ts, p_id = p_ts[~late], p_id[~late]
+        if len(p_ts):
+            state.update((p_ts.tolist(), p_id.tolist()))
+            state.setTimeoutTimestamp(int((p_ts.min() + within_us) // 1000))
+        elif state.exists:
+            state.remove()
+        yield pd.concat(out, ignore_index=True) if out else emit(kv, [], [], [], [])
+
+    return step
+
+
+def first_response_stream(spark: SparkSession, source_dir: str, file_glob: str, schema, key: str,
+                          ts: str, id_col: str, type_col: str, request_type: str, response_type: str,
+                          within_seconds: int, watermark: str, out_dir: str, checkpoint_dir: str,
+                          max_files: int = 1) -> DataFrame:
+    """Streaming twin of ``first_response`` with keyed state
+    (``applyInPandasWithState``, event-time timeouts).  State per key holds
+    only requests still waiting, i.e. those of the last horizon."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+              .option("maxFilesPerTrigger", max_files).parquet(source_dir)
+              .filter(F.col(type_col).isin(request_type, response_type))
+              .select(key, id_col, type_col, ntz_to_instant(ts).alias("_t"))
+              .withColumn("_us", F.unix_micros("_t"))
+              .withWatermark("_t", watermark))
+    out_schema = f"request_id long, {key} long, response_id long, latency_s double, status string"
+    result = stream.groupBy(key).applyInPandasWithState(
+        _first_response_step(key, ts, id_col, type_col, request_type, within_seconds * 1_000_000),
+        out_schema, "pending_ts array<long>, pending_id array<long>", "append",
+        GroupStateTimeout.EventTimeTimeout)
+    q = (result.writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint_dir).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(joined.schema).parquet(out_dir)
+    return spark.read.schema(out_schema).parquet(out_dir)
