@@ -109,3 +109,11 @@ def test_dense_index_matches_row_number(spark):
     out = keyed.dense_index(df, ["k"], out="n", start=100).collect()
     got = sorted((r.k, r.n) for r in out)
     assert got == [(k, 100 + i + 1) for i, k in enumerate(sorted(r.k for r in out))]
+
+
+def test_row_checks_share_one_scan(spark):
+    users = user_batch(spark)
+    out = keyed.rule_row_checks(users, {"nn": F.col("name").isNull(), "len": F.length("name") > 10})
+    assert sorted((r.rule, r.violations) for r in out.collect()) == [("len", 7), ("nn", 0)]
+    report = keyed.constraint_report([out, keyed.rule_unique("pk", users, ["id"])])
+    assert report.count() == 3

@@ -142,8 +142,23 @@ def rule_foreign_key(name: str, child: DataFrame, fk: str, parent: DataFrame, pk
     return Rule(name, v)
 
 
+def rule_row_checks(df: DataFrame, checks: dict) -> DataFrame:
+    """Several per-row rules (NOT NULL, length bound, ...) in one scan.
+
+    ``checks`` maps a rule name to the condition a violating row meets; the
+    result has one ``(rule, violations)`` row per rule.
+    """
+    sums = [F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("long").alias(f"_v{i}")
+            for i, cond in enumerate(checks.values())]
+    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_v{i}").alias("violations"))
+                     for i, name in enumerate(checks)])
+    return df.agg(*sums).select(F.inline(rows))
+
+
 def constraint_report(rules) -> DataFrame:
-    frames = [r.violations.select(F.lit(r.name).alias("rule"), "violations") for r in rules]
+    """Union of rule results: ``Rule`` objects or ``(rule, violations)`` frames."""
+    frames = [r if isinstance(r, DataFrame) else r.violations.select(F.lit(r.name).alias("rule"), "violations")
+              for r in rules]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

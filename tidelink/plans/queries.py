@@ -162,8 +162,10 @@ def q_constraint_report(spark, sf_dir):
     cust, orders, li = (_t(spark, sf_dir, n) for n in ("customer", "orders", "lineitem"))
     return keyed.constraint_report([
         keyed.rule_unique("customer primary key c_custkey", cust, ["c_custkey"]),
-        keyed.rule_not_null("customer not null c_name", cust, "c_name"),
-        keyed.rule_max_length("customer c_name varchar(25)", cust, "c_name", 25),
+        keyed.rule_row_checks(cust, {
+            "customer not null c_name": F.col("c_name").isNull(),
+            "customer c_name varchar(25)": F.length("c_name") > 25,
+        }),
         keyed.rule_unique("orders primary key o_orderkey", orders, ["o_orderkey"]),
         keyed.rule_foreign_key("orders o_custkey references customer", orders, "o_custkey",
                                cust, "c_custkey"),
