@@ -220,7 +220,9 @@ def q_copy_reconcile(spark, sf_dir):
 
 def q_catalog_read(spark, sf_dir):
     location = shared_dir(spark, "catalog", "sales")
-    name = lake.save_catalog_table(spark, _t(spark, sf_dir, "orders"), "tidelink_lake", "sales", location)
+    db_location = shared_dir(spark, "catalog", "tidelink_lake.db", unique=False)
+    name = lake.save_catalog_table(spark, _t(spark, sf_dir, "orders"), "tidelink_lake", "sales", location,
+                                   database_location=db_location)
     t = lake.read_catalog_table(spark, name)
     return (t.groupBy("o_orderpriority")
             .agg(F.count(F.lit(1)).cast("long").alias("n_orders"),
