@@ -59,3 +59,26 @@ def ntz_literal(text: str) -> Column:
 def interval(text: str) -> Column:
     """Day-time interval literal, e.g. ``interval("30 minutes")``."""
     return F.expr(f"INTERVAL {text}")
+
+
+def tumbling_start(ts, width: str) -> Column:
+    """Start of the tumbling window of ``width`` holding ``ts`` (``timestamp_ntz``).
+
+    Widths of whole minutes dividing an hour, whole hours dividing a day, and
+    one day are computed from the wall-clock fields: zone-free and much
+    cheaper than building ``window()`` structs.  Other widths use
+    ``window()``.
+    """
+    c = _col(ts)
+    n_text, unit = width.split()
+    n, unit = int(n_text), unit.rstrip("s")
+    zero = F.lit(0)
+    if unit == "minute" and 60 % n == 0:
+        return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c),
+                                    F.floor(F.minute(c) / n) * n, zero)
+    if unit == "hour" and 24 % n == 0:
+        return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c),
+                                    F.floor(F.hour(c) / n) * n, zero, zero)
+    if unit == "day" and n == 1:
+        return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), zero, zero, zero)
+    return F.window(c, width)["start"]

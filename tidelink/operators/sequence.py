@@ -26,14 +26,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelink.functions.temporal import ntz_micros
+from tidelink.functions.temporal import ntz_micros, tumbling_start
 
 DEFAULT_BUCKET = "1 hour"
 _B = "_bucket"
 
 
 def _with_bucket(df: DataFrame, ts: str, width: str) -> DataFrame:
-    return df.withColumn(_B, F.window(ts, width)["start"])
+    return df.withColumn(_B, tumbling_start(ts, width))
 
 
 def _order(ts: str, tiebreak):

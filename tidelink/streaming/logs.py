@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelink.functions.temporal import instant_to_ntz, ntz_to_instant
+from tidelink.functions.temporal import instant_to_ntz, ntz_to_instant, tumbling_start
 
 ASCTIME = "yyyy-MM-dd HH:mm:ss,SSS"
 ASCTIME_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}$"
@@ -47,21 +47,6 @@ def with_auth_flags(parsed: DataFrame) -> DataFrame:
             .withColumn("auth_failed", F.col("message").contains(AUTH_FAILED_MARKER)))
 
 
-def tumbling_start(ts, width: str):
-    """Start of the tumbling window holding ``ts`` (a ``timestamp_ntz``).
-
-    Widths of whole minutes dividing an hour are computed from the wall-clock
-    fields (zone-free, one evaluation of ``ts`` per field, no window struct);
-    other widths use ``window()``.
-    """
-    n, unit = width.split()
-    if unit.rstrip("s") == "minute" and 60 % int(n) == 0:
-        c = F.col(ts) if isinstance(ts, str) else ts
-        minute = F.floor(F.minute(c) / int(n)) * int(n)
-        return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), minute, F.lit(0))
-    return F.window(ts, width)["start"]
-
-
 def log_rate(parsed: DataFrame, width: str = "1 minute") -> DataFrame:
     """Lines per tumbling window and level, with failed-auth counts."""
     flagged = with_auth_flags(parsed)

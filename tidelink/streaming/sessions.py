@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelink.functions.temporal import instant_to_ntz, interval, ntz_to_instant
+from tidelink.functions.temporal import instant_to_ntz, interval, ntz_to_instant, tumbling_start
 from tidelink.operators.sequence import DEFAULT_BUCKET, with_running_sum
 
 DEFAULT_GAP = "30 minutes"
@@ -26,7 +26,7 @@ def sessionize(df: DataFrame, key: str, ts: str, gap: str = DEFAULT_GAP, tiebrea
     g = interval(gap)
     order = [F.col(ts), *[F.col(c) for c in tiebreak]]
     w = Window.partitionBy(key, _B).orderBy(*order)
-    a = (df.withColumn(_B, F.window(ts, bucket)["start"])
+    a = (df.withColumn(_B, tumbling_start(ts, bucket))
          .withColumn("_lag", F.lag(ts).over(w)))
     a = a.withColumn("_brk", (F.col("_lag").isNotNull() & (F.col(ts) >= F.col("_lag") + g)).cast("long"))
     a = a.withColumn("_lc", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
