@@ -37,6 +37,11 @@ def _t(spark, sf_dir, name) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
+def _state_partitions(spark) -> int:
+    """State partitions for the streaming twins: one per core of the cluster."""
+    return spark.sparkContext.defaultParallelism
+
+
 # --- relational -----------------------------------------------------------
 
 def q_user_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +332,8 @@ def q_session_stream(spark, sf_dir):
     schema = _t(spark, sf_dir, "events").schema
     out = shared_dir(spark, "session_stream")
     return sessions.session_stream(spark, sf_dir, "events.parquet", schema, "user_id", "ts",
-                                   f"{out}/data", f"{out}/checkpoint", gap=SESSION_GAP)
+                                   f"{out}/data", f"{out}/checkpoint", gap=SESSION_GAP,
+                                   partitions=_state_partitions(spark))
 
 
 def q_session_bytes(spark, sf_dir):
@@ -345,7 +351,8 @@ def q_early_data_stream(spark, sf_dir):
     out = shared_dir(spark, "early_data_stream")
     return early_data.early_data_stream(spark, sf_dir, "events.parquet", schema, "user_id", "ts",
                                         "event_id", "event_type", "signup", "error",
-                                        f"{out}/data", f"{out}/checkpoint")
+                                        f"{out}/data", f"{out}/checkpoint",
+                                        partitions=_state_partitions(spark))
 
 
 def q_request_response(spark, sf_dir):
@@ -360,7 +367,8 @@ def q_request_response_stream(spark, sf_dir):
     out = shared_dir(spark, "request_response_stream")
     return correlate.first_response_stream(spark, sf_dir, "events.parquet", schema, "user_id", "ts",
                                            "event_id", "event_type", "view", "purchase", 3600,
-                                           STREAM_DELAY, f"{out}/data", f"{out}/checkpoint")
+                                           STREAM_DELAY, f"{out}/data", f"{out}/checkpoint",
+                                           partitions=_state_partitions(spark))
 
 
 def q_message_route_stream(spark, sf_dir):
@@ -386,7 +394,7 @@ def q_log_rate_stream(spark, sf_dir):
     events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
               .option("maxFilesPerTrigger", 1).parquet(sf_dir))
     return logs.log_rate_stream(spark, derived.service_log(events), f"{out}/data", f"{out}/checkpoint",
-                                watermark=LOG_DELAY)
+                                watermark=LOG_DELAY, partitions=_state_partitions(spark))
 
 
 QUERIES = {

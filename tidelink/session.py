@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -65,3 +66,23 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     if unique:
         path = f"{path}/{uuid.uuid4().hex}"
     return path
+
+
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None):
+    """Start a stateful stream with ``n`` state partitions.
+
+    A streaming query copies the session conf when it starts and keeps its
+    state partition count for its whole life (checkpoint), so the setting is
+    applied around ``start()`` only and the caller's session is restored.
+    """
+    key = "spark.sql.shuffle.partitions"
+    if n is None:
+        yield
+        return
+    previous = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, previous)

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelink.session import state_partitions
+
 from tidelink.functions.temporal import interval, ntz_to_instant, seconds_between
 from tidelink.operators.sequence import DEFAULT_BUCKET, with_next
 
@@ -101,7 +103,7 @@ def _first_response_step(key: str, ts: str, id_col: str, kind_col: str, request_
 def first_response_stream(spark: SparkSession, source_dir: str, file_glob: str, schema, key: str,
                           ts: str, id_col: str, type_col: str, request_type: str, response_type: str,
                           within_seconds: int, watermark: str, out_dir: str, checkpoint_dir: str,
-                          max_files: int = 1) -> DataFrame:
+                          max_files: int = 1, partitions: int | None = None) -> DataFrame:
     """Streaming twin of ``first_response`` with keyed state
     (``applyInPandasWithState``, event-time timeouts).  State per key holds
     only requests still waiting, i.e. those of the last horizon."""
@@ -118,8 +120,9 @@ def first_response_stream(spark: SparkSession, source_dir: str, file_glob: str,
         _first_response_step(key, ts, id_col, type_col, request_type, within_seconds * 1_000_000),
         out_schema, "pending_ts array<long>, pending_id array<long>", "append",
         GroupStateTimeout.EventTimeTimeout)
-    q = (result.writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint_dir).outputMode("append")
-         .trigger(availableNow=True).start())
+    with state_partitions(spark, partitions):
+        q = (result.writeStream.format("parquet").option("path", out_dir)
+             .option("checkpointLocation", checkpoint_dir).outputMode("append")
+             .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(out_schema).parquet(out_dir)

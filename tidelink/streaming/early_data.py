@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelink.session import state_partitions
+
 from tidelink.operators.sequence import DEFAULT_BUCKET, with_running_sum
 
 # Fixed value: held messages tolerated before the buffer is dropped.
@@ -108,7 +110,7 @@ def _segment_step(create: str, close: str, key: str, ts: str, order_col: str, ty
 
 def early_data_stream(spark, source_dir: str, file_glob: str, schema, key: str, ts: str,
                       order_col: str, type_col: str, create: str, close: str, out_dir: str,
-                      checkpoint_dir: str, max_files: int = 1):
+                      checkpoint_dir: str, max_files: int = 1, partitions: int | None = None):
     """Streaming twin: keyed state per ``key`` (``applyInPandasWithState``).
 
     Messages are taken in arrival order (``ts`` then ``order_col`` inside a
@@ -127,8 +129,9 @@ def early_data_stream(spark, source_dir: str, file_glob: str, schema, key: str,
     result = stream.groupBy(key).applyInPandasWithState(
         _segment_step(create, close, key, ts, order_col, type_col), out_schema, state_schema,
         "append", GroupStateTimeout.NoTimeout)
-    q = (result.writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint_dir).outputMode("append")
-         .trigger(availableNow=True).start())
+    with state_partitions(spark, partitions):
+        q = (result.writeStream.format("parquet").option("path", out_dir)
+             .option("checkpointLocation", checkpoint_dir).outputMode("append")
+             .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(out_schema).parquet(out_dir)

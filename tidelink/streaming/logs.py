@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelink.session import state_partitions
+
 from tidelink.functions.temporal import instant_to_ntz, ntz_to_instant, tumbling_start
 
 ASCTIME = "yyyy-MM-dd HH:mm:ss,SSS"
@@ -56,7 +58,8 @@ def log_rate(parsed: DataFrame, width: str = "1 minute") -> DataFrame:
 
 
 def log_rate_stream(spark: SparkSession, lines: DataFrame, out_dir: str, checkpoint_dir: str,
-                    width: str = "1 minute", watermark: str = "2 minutes") -> DataFrame:
+                    width: str = "1 minute", watermark: str = "2 minutes",
+                    partitions: int | None = None) -> DataFrame:
     """Streaming twin of ``log_rate`` over a streaming DataFrame of lines."""
     parsed = with_auth_flags(parse_lines(lines))
     parsed = parsed.withColumn("_t", ntz_to_instant("log_ts")).withWatermark("_t", watermark)
@@ -64,8 +67,9 @@ def log_rate_stream(spark: SparkSession, lines: DataFrame, out_dir: str, checkpo
            .agg(F.count(F.lit(1)).cast("long").alias("n_lines"),
                 F.sum(F.col("auth_failed").cast("long")).cast("long").alias("n_auth_failed")))
     out = agg.select(instant_to_ntz(F.col("w.start")).alias("minute"), "level", "n_lines", "n_auth_failed")
-    q = (out.writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint_dir).outputMode("append")
-         .trigger(availableNow=True).start())
+    with state_partitions(spark, partitions):
+        q = (out.writeStream.format("parquet").option("path", out_dir)
+             .option("checkpointLocation", checkpoint_dir).outputMode("append")
+             .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(out_dir)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelink.session import state_partitions
+
 from tidelink.functions.temporal import instant_to_ntz, interval, ntz_to_instant, tumbling_start
 from tidelink.operators.sequence import DEFAULT_BUCKET, with_running_sum
 
@@ -57,7 +59,8 @@ def sessions(df: DataFrame, key: str, ts: str, gap: str = DEFAULT_GAP, tiebreak=
 
 def session_stream(spark: SparkSession, source_dir: str, file_glob: str, schema, key: str,
                    ts: str, out_dir: str, checkpoint_dir: str, gap: str = DEFAULT_GAP,
-                   watermark: str = "10 minutes", max_files: int = 100) -> DataFrame:
+                   watermark: str = "10 minutes", max_files: int = 100,
+                   partitions: int | None = None) -> DataFrame:
     """Sessions from a file stream; runs all available input and returns the
     closed sessions read back from the sink."""
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
@@ -67,9 +70,10 @@ def session_stream(spark: SparkSession, source_dir: str, file_glob: str, schema,
         F.count(F.lit(1)).cast("long").alias("n_events"))
     out = agg.select(key, instant_to_ntz(F.col("sw.start")).alias("session_start"),
                      instant_to_ntz(F.col("sw.end")).alias("session_end"), "n_events")
-    q = (out.writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint_dir).outputMode("append")
-         .trigger(availableNow=True).start())
+    with state_partitions(spark, partitions):
+        q = (out.writeStream.format("parquet").option("path", out_dir)
+             .option("checkpointLocation", checkpoint_dir).outputMode("append")
+             .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(out_dir)
 
