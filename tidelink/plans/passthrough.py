@@ -107,6 +107,13 @@ WITH RECURSIVE walk(n_regionkey, n_nationkey, step) AS (
   WHERE x.next_key IS NOT NULL)
 SELECT n_regionkey, n_nationkey, CAST(step AS BIGINT) AS step FROM walk""",
 
+    "sql_statistics": """
+SELECT o_orderpriority,
+       round(stddev_samp(o_totalprice), 2) AS price_stddev,
+       round(stddev_pop(o_totalprice), 2) AS price_stddev_pop,
+       round(corr(o_totalprice, CAST(o_custkey AS DOUBLE)), 4) AS price_cust_corr
+FROM orders GROUP BY o_orderpriority""",
+
     "sql_date_functions": """
 SELECT CAST(year(o_orderdate) AS BIGINT) AS yr, CAST(month(o_orderdate) AS BIGINT) AS mon,
        CAST(count(*) AS BIGINT) AS n_orders, round(sum(o_totalprice), 2) AS total_price
