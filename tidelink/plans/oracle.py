@@ -13,7 +13,7 @@ _R = f"TIMESTAMP '{RECENT}'"
 _SPLIT = f"TIMESTAMP '{d.SPLIT_TS}'"
 
 _STATUS = """SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n_orders,
-       round(sum(o_totalprice), 2) AS total_price FROM orders GROUP BY o_orderstatus"""
+       CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS DOUBLE) AS total_price FROM orders GROUP BY o_orderstatus"""
 
 ORACLE_SQL = {
     "user_orders": f"""
@@ -104,14 +104,14 @@ UNION ALL SELECT 'lineitem l_orderkey references orders', CAST(count(*) AS BIGIN
     "ingest_incremental": _STATUS,
 
     "copy_reconcile": """
-SELECT 'source' AS side, CAST(count(*) AS BIGINT) AS n_rows, round(sum(o_totalprice), 2) AS total_amount,
+SELECT 'source' AS side, CAST(count(*) AS BIGINT) AS n_rows, CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS DOUBLE) AS total_amount,
        true AS match FROM orders
 UNION ALL
-SELECT 'target' AS side, CAST(count(*) AS BIGINT) AS n_rows, round(sum(o_totalprice), 2) AS total_amount,
+SELECT 'target' AS side, CAST(count(*) AS BIGINT) AS n_rows, CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS DOUBLE) AS total_amount,
        true AS match FROM orders""",
 
     "catalog_read": """
-SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n_orders, round(sum(o_totalprice), 2) AS total_price
+SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n_orders, CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS DOUBLE) AS total_price
 FROM orders GROUP BY o_orderpriority""",
 
     "encode_roundtrip": """

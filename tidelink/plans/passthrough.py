@@ -3,7 +3,7 @@
 The reference forwards any read statement to the remote engine, so the
 relational surface a user reaches is that engine's SQL.  Spark SQL supplies
 it; these conformance queries run the same text in Spark (over temp views of
-the given tables) and in DuckDB.  They avoid constructs whose plans gather a
+the given tables) and in DuckDB.  Money is summed as exact decimals.  They avoid constructs whose plans gather a
 whole group in one task (exact percentiles, windows over raw rows per key)
 and NOT IN (null-aware anti join), preferring NOT EXISTS.
 """
@@ -18,7 +18,7 @@ PASSTHROUGH_SQL = {
     "sql_rollup": """
 SELECT r.r_name AS region, n.n_name AS nation,
        CAST(count(*) AS BIGINT) AS n_customers,
-       round(sum(c.c_acctbal), 2) AS balance,
+       CAST(round(sum(CAST(c.c_acctbal AS DECIMAL(18,2))), 2) AS DOUBLE) AS balance,
        CAST(grouping(n.n_name) AS INT) AS is_subtotal
 FROM customer c
 JOIN nation n ON c.c_nationkey = n.n_nationkey
@@ -75,11 +75,13 @@ FULL OUTER JOIN (SELECT s_nationkey, count(*) AS n_suppliers FROM supplier GROUP
 
     "sql_revenue_by_nation": """
 WITH rev AS (
-  SELECT o.o_custkey, sum(l.l_extendedprice * (1 - l.l_discount)) AS revenue
+  SELECT o.o_custkey,
+         sum(CAST(l.l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l.l_discount AS DECIMAL(18,2)))) AS revenue
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
   WHERE l.l_returnflag = 'R'
   GROUP BY o.o_custkey)
-SELECT n.n_name, CAST(count(*) AS BIGINT) AS n_customers, round(sum(rev.revenue), 2) AS revenue
+SELECT n.n_name, CAST(count(*) AS BIGINT) AS n_customers,
+       CAST(round(sum(rev.revenue), 2) AS DOUBLE) AS revenue
 FROM rev
 JOIN customer c ON rev.o_custkey = c.c_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey
@@ -116,7 +118,8 @@ FROM orders GROUP BY o_orderpriority""",
 
     "sql_date_functions": """
 SELECT CAST(year(o_orderdate) AS BIGINT) AS yr, CAST(month(o_orderdate) AS BIGINT) AS mon,
-       CAST(count(*) AS BIGINT) AS n_orders, round(sum(o_totalprice), 2) AS total_price
+       CAST(count(*) AS BIGINT) AS n_orders,
+       CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS DOUBLE) AS total_price
 FROM orders GROUP BY year(o_orderdate), month(o_orderdate)""",
 }
 

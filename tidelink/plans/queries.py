@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelink.functions import codec
 from tidelink.functions.statements import READ_PREFIXES_AGENT, log_head, statement_kind
+from tidelink.functions.numeric import MONEY, exact_sum
 from tidelink.functions.temporal import iso_text, ntz_literal
 from tidelink.operators import inventory, keyed, relational
 from tidelink.operators.requests import parse_requests, run_requests
@@ -87,12 +88,12 @@ def _stage_orders(spark, sf_dir, table: str, frame: DataFrame | None = None, mod
 
 
 _GROUP_SQL = ('SELECT "o_orderstatus" AS "o_orderstatus", COUNT(*) AS "n_orders", '
-              'SUM("o_totalprice") AS "total_price" FROM {t} GROUP BY "o_orderstatus"')
+              'SUM(CAST("o_totalprice" AS DECIMAL(18,2))) AS "total_price" FROM {t} GROUP BY "o_orderstatus"')
 
 
 def _status_summary(df: DataFrame) -> DataFrame:
     return df.select("o_orderstatus", F.col("n_orders").cast("long").alias("n_orders"),
-                     F.round("total_price", 2).alias("total_price"))
+                     F.round("total_price", 2).cast("double").alias("total_price"))
 
 
 def q_remote_query(spark, sf_dir):
@@ -114,7 +115,7 @@ def q_remote_catalog(spark, sf_dir):
     t = spark.table(f"{cat}.APP.RC_ORDERS")
     # Aggregates are pushed into the remote engine's query.
     agg = t.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"),
-                                         F.sum("o_totalprice").alias("total_price"))
+                                         F.sum(F.col("o_totalprice").cast(MONEY)).alias("total_price"))
     return _status_summary(agg)
 
 
@@ -185,7 +186,7 @@ def q_constraint_report(spark, sf_dir):
 
 def _status_from(df):
     return df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).cast("long").alias("n_orders"),
-                                           F.round(F.sum("o_totalprice"), 2).alias("total_price"))
+                                           exact_sum("o_totalprice").alias("total_price"))
 
 
 def q_ingest_full(spark, sf_dir):
@@ -231,7 +232,7 @@ def q_catalog_read(spark, sf_dir):
     t = lake.read_catalog_table(spark, name)
     return (t.groupBy("o_orderpriority")
             .agg(F.count(F.lit(1)).cast("long").alias("n_orders"),
-                 F.round(F.sum("o_totalprice"), 2).alias("total_price")))
+                 exact_sum("o_totalprice").alias("total_price")))
 
 
 # --- functions ---------------------------------------------------------------
