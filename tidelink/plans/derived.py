@@ -76,7 +76,7 @@ ROUTED_TEXT_EXPR = """CASE
   ELSE 'SELECT r_name FROM region' END"""
 
 # Service log fields.
-LOGGER_EXPR = """CASE WHEN event_type IN ('signup', 'error') THEN 'onpremise_agent' ELSE '__main__' END"""
+LOGGER_EXPR = """CASE WHEN event_type IN ('signup', 'error') THEN 'link_agent' ELSE '__main__' END"""
 LEVEL_EXPR = """CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING' ELSE 'INFO' END"""
 MESSAGE_EXPR = """CASE event_type
   WHEN 'signup' THEN '✅ Agent authenticated and ready - user ' || CAST(user_id AS STRING)
