@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelink.operators.joins import broadcast_if_small
 
 # Well-known port -> protocol, everything else is 'unknown'.
 PORT_PROTOCOLS = (
@@ -69,15 +68,15 @@ def source_health(events: DataFrame, source_col: str, ts_col: str, state_col: st
     All aggregates are fixed-width hash aggregations with map-side partial
     results (a string-valued ``max_by`` would force a sort of every input
     partition); the last state is then picked by joining the events with the
-    one-row-per-source ``(source, last ts)`` table - broadcast after a size
-    check - and ties at the same instant resolve to the largest state.
+    one-row-per-source ``(source, last ts)`` table - broadcast by AQE from its
+    run-time size - and ties at the same instant resolve to the largest state.
     """
     agg = events.groupBy(source_col).agg(
         F.max(ts_col).alias("_last_ts"),
         F.count_distinct(port_col).cast("long").alias("active_ports"),
         F.count(F.lit(1)).cast("long").alias("n_events"),
     )
-    last = broadcast_if_small(agg.select(source_col, "_last_ts"))
+    last = agg.select(source_col, "_last_ts")  # one row per source: AQE broadcasts it
     at_last = events.join(last, (events[source_col] == last[source_col])
                           & (events[ts_col] == last["_last_ts"]), "left_semi")
     state = at_last.groupBy(source_col).agg(F.max(state_col).alias("last_state"))
