@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelink.llm import quality, toxicity
+from tidelink.llm import jaccard_join, quality, toxicity
 from tidelink.llm.common import in_fold, read_docs
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_docs(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_docs(spark, sf_dir), read_docs(spark, sf_dir, "labels")
     scored = toxicity.score(docs, toxicity.train(docs, labels))
@@ -23,6 +27,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
 }
