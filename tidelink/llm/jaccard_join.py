@@ -127,6 +127,18 @@ def _longs(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+def _packed(items: np.ndarray) -> bytes:
+    """The low 48 bits of every hash: two sets of 10,000 mix up an element once in millions of comparisons."""
+    return items.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: pa.BinaryScalar) -> np.ndarray:
+    raw = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), dtype=np.uint8)
+    wide[:, :6] = raw
+    return wide.reshape(-1).view(np.uint64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *(len(a) for a in arrays)]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64)
@@ -163,11 +175,12 @@ def _sign_docs(docs: DataFrame, scheme: PartEnum, n: int) -> DataFrame:
 def _hub_edges(signed: DataFrame) -> DataFrame:
     """Distinct ``x, p``: member and hub of every signature group of two or more classes."""
     sigs = signed.select("key", F.explode("sigs").alias("sig"))
-    shared = (sigs.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-              .filter("lo < hi").select("sig"))
-    members = materialise(sigs.join(shared, "sig").distinct(), "jaccard-members")
-    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
-    rank = members.join(sizes, "sig").groupBy("key").agg(F.sum("m").alias("met"))
+    # A count is a short buffer to shuffle; it also meets classes signed by several tasks, which "m" tells apart.
+    shared = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
+    found = materialise(sigs.join(shared, "sig").distinct(), "jaccard-members")
+    sizes = found.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = found.join(sizes, "sig")
+    rank = members.groupBy("key").agg(F.sum("m").alias("met"))
     ranked = members.join(rank, "key")
     hubs = ranked.groupBy("sig").agg(F.max(F.struct("met", "key")).alias("top")).select(
         "sig", F.col("top.key").alias("p"))
@@ -186,7 +199,11 @@ def _bitmap(ids: DataFrame) -> bytes:
 
 
 def _sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """``key, items`` of the needed classes, from their representatives' texts."""
+    """``key, items`` of the needed classes, from their representatives' texts.
+
+    Rows whose id hashes to the same bit come along; a class that stands twice
+    repeats its comparisons, which later steps take as one.
+    """
     table = docs.sparkSession.sparkContext.broadcast(_bitmap(needed))
 
     def run(batches):
@@ -195,27 +212,23 @@ def _sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             bit = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             take = np.flatnonzero((bits[bit // 32] >> (bit % 32).astype(np.uint32)) & np.uint32(1))
-            ids = batch.column(0).take(pa.array(take))
             sets = [shingle_set(t, known, n) for t in batch.column(1).take(pa.array(take)).to_pylist()]
             keys = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "key", "items"])
+                [pa.array(keys, pa.int64()), pa.array([_packed(s) for s in sets], pa.binary())],
+                names=["key", "items"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)))
-    rows = hashed.mapInArrow(run, f"doc_id {kind}, key long, items binary")
-    # The same id may stand in several rows with equal texts: one is enough.
-    return (rows.join(needed, (rows["doc_id"].eqNullSafe(needed["doc_id"])) & (rows["key"] == needed["key"]))
-            .select(rows["key"], "items").dropDuplicates(["key"]))
+    return hashed.mapInArrow(run, "key long, items binary")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, prefixes: bool) -> DataFrame:
     """Exact comparison of ``x, p`` pairs.
 
     Without ``prefixes``: ``x, p, linked``.  With them also ``elements`` (the
-    prefix of x's difference to the hub) and ``n_half`` (how many of them bind
-    partners that do not link to the hub).
+    prefix of x's difference to the hub), ``n_half`` (how many of them bind
+    partners that do not link to the hub), ``n_x`` (size of x) and ``d_x``
+    (size of the whole difference).
     """
     left = sets.select(F.col("key").alias("x"), F.col("items").alias("xi"))
     right = sets.select(F.col("key").alias("p"), F.col("items").alias("pi"))
@@ -224,9 +237,9 @@ def _compare(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, prefixes: bool
     slack = (den - num) / (den + num)
 
     def batch_fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        linked, elements, halves = [], [], []
+        linked, elements, halves, own, apart = [], [], [], [], []
         for xi, pi in zip(batch.column(2), batch.column(3)):
-            a, p = np.frombuffer(xi.as_buffer(), np.uint64), np.frombuffer(pi.as_buffer(), np.uint64)
+            a, p = _unpacked(xi), _unpacked(pi)
             extra = np.setdiff1d(a, p, assume_unique=True)
             inter = len(a) - len(extra)
             link = den * inter >= num * (len(a) + len(p) - inter)
@@ -242,25 +255,36 @@ def _compare(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, prefixes: bool
             full = half if link else max(half, min(size, scheme.distance(len(a) + len(a) * den // num) + 1))
             elements.append(_longs(np.concatenate([extra, missing])[:full]))
             halves.append(half)
+            own.append(len(a))
+            apart.append(size)
         columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())]
         names = ["x", "p", "linked"]
         if prefixes:
-            columns += [_lists(elements), pa.array(halves, pa.int32())]
-            names += ["elements", "n_half"]
+            columns += [_lists(elements), *(pa.array(v, pa.int32()) for v in (halves, own, apart))]
+            names += ["elements", "n_half", "n_x", "d_x"]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "x long, p long, linked boolean" + (", elements array<long>, n_half int" if prefixes else "")
+    schema = "x long, p long, linked boolean" + (", elements array<long>, n_half int, n_x int, d_x int" if prefixes else "")
     return map_rows(both, batch_fn, schema)
 
 
-def _remaining_pairs(compared: DataFrame) -> DataFrame:
-    """Pairs of one hub's members that may link although not both link to the hub."""
-    spread = compared.select("x", "p", "linked", "n_half", F.posexplode("elements").alias("pos", "e"))
-    own = spread.filter(~F.col("linked")).select("x", "p", "e", (F.col("pos") < F.col("n_half")).alias("in_half"))
+def _remaining_pairs(compared: DataFrame, scheme: PartEnum) -> DataFrame:
+    """Pairs of one hub's members that may link although not both link to the hub.
+
+    At a common element at places i, j of the two ordered differences, at most
+    min(d_x - i, d_y - j) elements are common from there on; a link needs
+    (d_x + d_y - k) / 2 in all.
+    """
+    spread = compared.select("x", "p", "linked", "n_half", "n_x", "d_x", F.posexplode("elements").alias("pos", "e"))
+    own = spread.filter(~F.col("linked")).select(
+        "x", "p", "e", "n_x", F.col("d_x"), F.col("pos").alias("i"), (F.col("pos") < F.col("n_half")).alias("in_half"))
     other = spread.filter(F.col("pos") < F.col("n_half")).select(
-        F.col("x").alias("y"), "p", "e", (~F.col("linked")).alias("y_apart"))
+        F.col("x").alias("y"), "p", "e", F.col("n_x").alias("n_y"), F.col("d_x").alias("d_y"), F.col("pos").alias("j"),
+        (~F.col("linked")).alias("y_apart"))
+    within = F.expr(f"((n_x + n_y) * {scheme.den - scheme.num}) div {scheme.den + scheme.num}")
     met = own.join(other, ["p", "e"]).filter(
-        F.when(F.col("y_apart"), F.col("in_half") & (F.col("x") < F.col("y"))).otherwise(F.col("x") != F.col("y")))
+        F.when(F.col("y_apart"), F.col("in_half") & (F.col("x") < F.col("y"))).otherwise(F.col("x") != F.col("y"))
+        & (2 * F.least(F.col("d_x") - F.col("i"), F.col("d_y") - F.col("j")) >= F.col("d_x") + F.col("d_y") - within))
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("p")).distinct()
 
 
@@ -282,7 +306,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                          "jaccard-needed")
     sets = materialise(_sets_of(rows, needed, n), "jaccard-sets")
     compared = materialise(_compare(hub_pairs, sets, scheme, prefixes=True), "jaccard-compared")
-    rest = _compare(_remaining_pairs(compared), sets, scheme, prefixes=False).filter("linked")
+    rest = _compare(_remaining_pairs(compared, scheme), sets, scheme, prefixes=False).filter("linked")
     links = materialise(compared.filter("linked").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
                         .unionByName(rest.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")))
                         .distinct(), "jaccard-links")
