@@ -148,7 +148,7 @@ def _slices(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tup
     room = 0
     for row in items.orderBy("item_id", "text").toLocalIterator():
         size = len(row["text"].encode())
-        if not out or size > room:
+        if not out or (size > room and out[-1]):
             out.append([])
             room = MAX_BENCH_BYTES
         out[-1].append((row["item_id"], row["text"]))
@@ -204,13 +204,18 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     """The rows of ``docs`` that hold no benchmark item, all columns kept."""
     kept = docs
     for part in _slices(benchmark, "item_id", "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-        built: list[Matcher] = []
+        leaked = _leak_test(docs.sparkSession.sparkContext.broadcast(part), error_rate)
+        kept = kept.filter(~leaked(F.col("text").cast("string")))
+    return kept
 
-        def leaked(texts: pd.Series, shared=shared, built=built) -> pd.Series:
-            if not built:
-                built.append(Matcher(shared.value, error_rate))
-            return pd.Series([bool(built[0].find(t)) for t in texts], dtype="bool")
 
-        kept = kept.filter(~F.pandas_udf(leaked, "boolean")(F.col("text").cast("string")))
-    return kept
+def _leak_test(shared, error_rate: float):
+    built: list[Matcher] = []
+
+    @F.pandas_udf("boolean")
+    def leaked(texts: pd.Series) -> pd.Series:
+        if not built:
+            built.append(Matcher(shared.value, error_rate))
+        return pd.Series([bool(built[0].find(t)) for t in texts], dtype="bool")
+
+    return leaked

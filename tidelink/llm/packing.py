@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tidelink.llm.common import materialise, text_bytes
 
@@ -39,27 +40,45 @@ END_ID = 0
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 TARGET_PIECES = 20_000
 MAX_ROUNDS = 4
-REMEMBER_BYTES = 96 << 20    # token ids of words kept by a task
+REMEMBER_BYTES = 192 << 20    # token ids of words kept by a worker
 
 
 class WordIds(dict):
     """Word (bytes without ASCII white space) to its token ids as little-endian uint32.
 
     The tokenizer drops white space and merges within words only, so the ids
-    of a text are those of its words in order.
+    of a text are those of its words in order.  It also starts a new unit
+    between letters and punctuation, so a word's closing punctuation is looked
+    up by itself; words of Latin letters need neither normal form nor split.
     """
 
+    CLOSING = b".,!?;:|#$%&*"
+
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.used = 0
 
-    def encode(self, word: bytes) -> bytes:
-        found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.asarray(found, dtype="<u4").tobytes()
+    @staticmethod
+    def _latin(word: str) -> bool:
+        return word.isalpha() and max(word) < "\u0100"
+
+    def words_of(self, text: bytes) -> list[bytes]:
+        """Words of a text; lower-cased unless special tokens (which know case) may stand in it."""
+        return (text if b"<|" in text else text.lower()).split()
 
     def __missing__(self, word: bytes) -> bytes:
-        found = self.encode(word)
+        core = word.rstrip(self.CLOSING)
+        plain = core.decode("utf-8", "replace")
+        if not self._latin(plain):
+            found = self._bytes(self.tokenizer, word.decode("utf-8", "replace"))
+        elif len(core) < len(word):
+            found = self[core] + self._bytes(self.tokenizer, word[len(core):].decode())
+        else:
+            found = self._bytes(self.letters, plain.lower())
         self.used += 160 + len(word) + len(found)
         if self.used > REMEMBER_BYTES:
             self.clear()
@@ -67,6 +86,20 @@ class WordIds(dict):
         self[word] = found
         return found
 
+    @staticmethod
+    def _bytes(tokenizer: Tokenizer, text: str) -> bytes:
+        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+#: Word ids by tokenizer file, kept by a Python worker from task to task.
+_KNOWN: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    return _KNOWN[path]
+
 
 def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
                  end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -75,11 +108,11 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     width = 4 * capacity
 
     def run(batches):
-        known = WordIds(tokenizer)
+        known = word_ids(tokenizer)
         for batch in batches:
             at, piece, ids = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                tokens = b"".join(map(known.__getitem__, text.split())) + end
+                tokens = b"".join(map(known.__getitem__, known.words_of(text))) + end
                 for j in range(0, len(tokens), width):
                     at.append(i)
                     piece.append(j // width)
@@ -158,7 +191,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 def _pack_round(dealt: DataFrame, columns: list[str], capacity: int) -> DataFrame:
     """Pack every partition; adds ``bin, offset, group_bins, group_bound``."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row"], ascending=[False, True], kind="stable")
         lengths = pdf["length"].to_numpy(dtype=np.int64)
         bins, offsets, used = best_fit_decreasing(lengths, capacity)

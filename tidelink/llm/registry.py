@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelink.llm import jaccard_join, quality, toxicity
+from tidelink.llm import decontamination, jaccard_join, packing, quality, toxicity
 from tidelink.llm.common import in_fold, read_docs
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(read_docs(spark, sf_dir), read_docs(spark, sf_dir, "benchmark"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_docs(spark, sf_dir))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_docs(spark, sf_dir))
 
@@ -27,6 +35,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
+    "op5_packing": op5_packing,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
