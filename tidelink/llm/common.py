@@ -43,13 +43,13 @@ def bounded_sample(df: DataFrame, group: str, max_rows: int, id_col: str) -> Dat
 
     One counting pass over the group column gives each group's fraction; a row
     stays if the hash of its id lies below it, so the choice depends on the
-    ids alone, not on partitioning.  The number of groups must be small (the
-    counts go through a join, not the driver).
+    ids alone, not on partitioning.  The groups' counts go through a join that
+    Spark broadcasts where they are small, as with labels and languages.
     """
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_group_rows"))
     unit = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     keep = unit * F.col("_group_rows") < F.lit(float(max_rows))
-    return df.join(F.broadcast(counts), group).filter(keep).drop("_group_rows")
+    return df.join(counts, group).filter(keep).drop("_group_rows")
 
 
 def map_rows(df: DataFrame, batch_fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
