@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelink.llm import (decontamination, jaccard_join, language_id, packing, quality, toxicity, url_templates,
-                          web_archive)
+from tidelink.llm import (decontamination, html_extract, jaccard_join, language_id, nearest, packing, quality, toxicity,
+                          url_templates, web_archive)
 from tidelink.llm.common import in_fold, read_docs
 
 
@@ -15,6 +15,10 @@ def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge_urls(read_docs(spark, sf_dir, "pages"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_docs(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read_docs(spark, sf_dir), read_docs(spark, sf_dir, "benchmark"))
 
@@ -30,6 +34,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_docs(spark, sf_dir))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read_docs(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_docs(spark, sf_dir))
 
@@ -53,9 +61,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_templates": op1_url_templates,
+    "op2_html_extract": op2_html_extract,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
+    "op6_nearest": op6_nearest,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_web_archive": op8_web_archive,
     "op9_toxicity": op9_toxicity,
