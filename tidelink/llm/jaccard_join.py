@@ -199,27 +199,30 @@ def _bitmap(ids: DataFrame) -> bytes:
 
 
 def _sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """``key, items`` of the needed classes, from their representatives' texts.
+    """``key, items, as_member, as_hub`` of the needed classes, from their representatives' texts.
 
     Rows whose id hashes to the same bit come along; a class that stands twice
     repeats its comparisons, which later steps take as one.
     """
-    table = docs.sparkSession.sparkContext.broadcast(_bitmap(needed))
+    context = docs.sparkSession.sparkContext
+    tables = [context.broadcast(_bitmap(needed.filter(role))) for role in ("as_member", "as_hub")]
 
     def run(batches):
         known = WordHashes()
-        bits = np.frombuffer(table.value, dtype=np.uint32)
         for batch in batches:
             bit = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            take = np.flatnonzero((bits[bit // 32] >> (bit % 32).astype(np.uint32)) & np.uint32(1))
+            member, hub = (((np.frombuffer(t.value, dtype=np.uint32)[bit // 32] >> (bit % 32).astype(np.uint32))
+                            & np.uint32(1)).astype(bool) for t in tables)
+            take = np.flatnonzero(member | hub)
             sets = [shingle_set(t, known, n) for t in batch.column(1).take(pa.array(take)).to_pylist()]
             keys = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([_packed(s) for s in sets], pa.binary())],
-                names=["key", "items"])
+                [pa.array(keys, pa.int64()), pa.array([_packed(s) for s in sets], pa.binary()),
+                 pa.array(member[take], pa.bool_()), pa.array(hub[take], pa.bool_())],
+                names=["key", "items", "as_member", "as_hub"])
 
     hashed = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)))
-    return hashed.mapInArrow(run, "key long, items binary")
+    return hashed.mapInArrow(run, "key long, items binary, as_member boolean, as_hub boolean")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, prefixes: bool) -> DataFrame:
@@ -230,8 +233,8 @@ def _compare(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, prefixes: bool
     partners that do not link to the hub), ``n_x`` (size of x) and ``d_x``
     (size of the whole difference).
     """
-    left = sets.select(F.col("key").alias("x"), F.col("items").alias("xi"))
-    right = sets.select(F.col("key").alias("p"), F.col("items").alias("pi"))
+    left = (sets.filter("as_member") if prefixes else sets).select(F.col("key").alias("x"), F.col("items").alias("xi"))
+    right = (sets.filter("as_hub") if prefixes else sets).select(F.col("key").alias("p"), F.col("items").alias("pi"))
     both = pairs.select("x", "p").join(left, "x").join(right, "p").select("x", "p", "xi", "pi")
     num, den = scheme.num, scheme.den
     slack = (den - num) / (den + num)
@@ -301,8 +304,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = (signed.filter("key is not null").groupBy("key")
                .agg(F.min("doc_id").alias("first_id")))
     hub_pairs = materialise(_hub_edges(signed), "jaccard-hubs")
-    touched = hub_pairs.select(F.col("x").alias("key")).unionByName(hub_pairs.select(F.col("p").alias("key"))).distinct()
-    needed = materialise(classes.join(touched, "key").select("key", F.col("first_id").alias("doc_id")),
+    touched = (hub_pairs.select(F.col("x").alias("key"), F.lit(1).alias("m"), F.lit(0).alias("h"))
+               .unionByName(hub_pairs.select(F.col("p").alias("key"), F.lit(0).alias("m"), F.lit(1).alias("h")))
+               .groupBy("key").agg((F.max("m") == 1).alias("as_member"), (F.max("h") == 1).alias("as_hub")))
+    needed = materialise(classes.join(touched, "key").select(F.col("first_id").alias("doc_id"), "as_member", "as_hub"),
                          "jaccard-needed")
     sets = materialise(_sets_of(rows, needed, n), "jaccard-sets")
     compared = materialise(_compare(hub_pairs, sets, scheme, prefixes=True), "jaccard-compared")

@@ -259,7 +259,7 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right):
-            return pd.DataFrame({c: [] for c in ("key", "q", "home", "radius", "ids", "scores")})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("key", "q", "home", "radius", "ids", "scores")})
         if not len(left):
             return right.rename(columns={"leaf": "home", "known": "radius"}).assign(
                 ids=[[]] * len(right), scores=[[]] * len(right))[["key", "q", "home", "radius", "ids", "scores"]]
