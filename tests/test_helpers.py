@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelink.functions.temporal import tumbling_start
-from tidelink.operators.joins import broadcast_if_small, left_join_skew_safe, row_count_at_most
+from tidelink.operators.joins import left_join_skew_safe
 from tidelink.tables import read_table
 
 
@@ -26,7 +26,19 @@ def test_left_join_skew_safe_equals_left_join(spark):
     assert sorted(ours.select("k", "lv", "rk", "rv").collect()) == sorted(plain.select("k", "lv", "rk", "rv").collect())
 
 
-def test_broadcast_check_is_bounded(spark):
-    assert row_count_at_most(spark.range(10), 10)
-    assert not row_count_at_most(spark.range(11), 10)
-    assert broadcast_if_small(spark.range(5), 10).count() == 5
+
+def test_shared_folder_is_required_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from tidelink import session
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    for master, fails in (("local[2]", False), ("local", False), ("spark://host:7077", True), ("local-cluster[2,1,512]", True)):
+        made = []
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, getConf=lambda: conf, setCheckpointDir=made.append)
+        if fails:
+            with pytest.raises(RuntimeError):
+                session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+        else:
+            session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+        assert bool(made) != fails

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidelink.operators import sequence
 from tidelink.operators.sequence import with_next, with_prev, with_running_sum
 from tidelink.session import shared_dir
-from tidelink.streaming import correlate, early_data, logs, messages, sessions
+from tidelink.streaming import correlate, early_data, logs, messages, sessions, state
 from tidelink.tables import read_table
 
 T0 = datetime(2024, 1, 1)
@@ -61,8 +62,8 @@ def _skewed(spark):
     return hot.unionByName(small).withColumn("flag", (F.col("event_id") % 3 == 0))
 
 
-@pytest.mark.parametrize("bucket", ["10 minutes", "1 hour", "1 day"])
-def test_sequence_helpers_match_plain_windows(spark, bucket):
+@pytest.mark.parametrize("slices", [1, 7])
+def test_sequence_helpers_match_plain_windows(spark, slices):
     df = _skewed(spark)
     w = Window.partitionBy("k").orderBy("ts", "event_id")
     plain = (df.withColumn("p", F.lag("ts").over(w))
@@ -70,22 +71,62 @@ def test_sequence_helpers_match_plain_windows(spark, bucket):
              .withColumn("n", F.first(F.when(F.col("flag"), F.col("event_id")), ignorenulls=True)
                          .over(w.rowsBetween(1, Window.unboundedFollowing)))
              .select("event_id", "p", F.coalesce("s", F.lit(0)).alias("s"), "n"))
-    ours = with_prev(df, ["k"], "ts", out="p", tiebreak=["event_id"], bucket=bucket)
-    ours = with_running_sum(ours, ["k"], "ts", "flag", out="s", inclusive=False, tiebreak=["event_id"], bucket=bucket)
+    ours = with_prev(df, ["k"], "ts", out="p", tiebreak=["event_id"], slices=slices)
+    ours = with_running_sum(ours, ["k"], "ts", "flag", out="s", inclusive=False, tiebreak=["event_id"], slices=slices)
     ours = with_next(ours, ["k"], "ts", F.col("flag"), "ts", "event_id", out="n",
-                     tiebreak=["event_id"], bucket=bucket)
+                     tiebreak=["event_id"], slices=slices)
     ours = ours.select("event_id", "p", "s", F.col("n.id").alias("n"))
     assert sorted(ours.collect()) == sorted(plain.collect())
 
 
-@pytest.mark.parametrize("bucket", ["5 minutes", "1 hour", "7 days"])
-def test_sessions_independent_of_bucket(spark, sf_dir, bucket):
+def test_sessions_independent_of_slices(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
-    base = sessions.sessions(ev, "user_id", "ts", "30 minutes", ("event_id",), bucket="1 hour")
-    other = sessions.sessions(ev, "user_id", "ts", "30 minutes", ("event_id",), bucket=bucket)
+    base = sessions.sessions(ev, "user_id", "ts", "30 minutes", ("event_id",), slices=1)
+    other = sessions.sessions(ev, "user_id", "ts", "30 minutes", ("event_id",), slices=13)
     assert sorted(base.collect()) == sorted(other.collect())
 
 
+def test_hot_key_within_one_hour_is_cut_by_rows(spark):
+    hot = spark.range(0, 4000).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("event_id"),
+                                      (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(
+                                          secs=(F.col("id") % 3600).cast("decimal(18,6)"))).alias("ts"))
+    rest = spark.range(0, 8000).select((F.col("id") % 50 + 2).alias("k"), (F.col("id") + 10_000).alias("event_id"),
+                                       (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(
+                                           hours=(F.col("id") % 700).cast("int"))).alias("ts"))
+    rows = hot.unionByName(rest)
+    cut = sequence.slice_rows(rows, ["k"], "ts", ["event_id"], slices=12)
+    largest = cut.groupBy("k", "_slice").count().agg(F.max("count")).first()[0]
+    assert largest <= 2.0 * 12_000 / 12
+    got = with_running_sum(rows, ["k"], "ts", F.lit(1), out="n", tiebreak=["event_id"], slices=12)
+    assert got.filter("k = 1").agg(F.min("n"), F.max("n"), F.count_distinct("n")).first() == (1, 4000, 4000)
+
+
+def test_null_keys_and_times_are_rejected_by_name(spark):
+    rows = [(None, T0, 1, "data"), (None, T0, 2, "data"), (1, None, 3, "data"), (1, T0, 4, "data")]
+    ev = _events(spark, rows)
+    got = sessions.sessions(ev, "user_id", "ts", tiebreak=("event_id",)).collect()
+    assert [(r.user_id, r.session_seq, r.n_events) for r in got] == [(1, 1, 1)]
+    assert sorted(r.event_id for r in sequence.split_valid(ev, "user_id", "ts")[1].collect()) == [1, 2, 3]
+    early = early_data.early_data(ev, "user_id", "ts", "event_type", "create", "close", ("event_id",)).collect()
+    assert [(r.user_id, r.segment, r.n_early) for r in early] == [(1, 0, 1)]
+
+
+def test_session_ends(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [(1, 7, at(0), 1, "create"), (1, 7, at(1), 2, "data"), (1, 7, at(2), 3, "close"),
+            (2, 7, at(0), 4, "create"), (2, 7, at(3), 5, "error"), (2, 7, at(4), 6, "create"), (2, 7, at(5), 7, "create"),
+            (2, 7, at(6), 8, "reset"), (3, 7, at(7), 9, "create"), (3, 7, at(8), 10, "data"), (4, 7, at(8), 11, "create"),
+            (9, 7, at(9), 12, "reconnect"), (3, 7, at(10), 13, "data"), (3, 7, at(11), 14, "create"),
+            (5, 8, at(1), 15, "create"), (5, 8, at(20), 16, "data"), (None, 7, at(1), 17, "create")]
+    log = spark.createDataFrame(rows, "user_id long, link int, ts timestamp_ntz, event_id long, kind string")
+    got = sessions.marker_sessions(log, "user_id", "ts", "kind", "create", {"close": "closed", "error": "error", "reset": "reset"},
+                                   link="link", reconnect="reconnect", tiebreak=("event_id",), slices=5).collect()
+    assert sorted((r.user_id, r.session_start.second, r.session_end.second if r.session_end else None, r.n_data, r.end_reason)
+                  for r in got) == [
+        (1, 0, 2, 1, "closed"), (2, 0, 3, 0, "error"), (2, 4, 5, 0, "recreated"), (2, 5, 6, 0, "reset"),
+        (3, 7, 9, 1, "reconnect"), (3, 11, None, 0, "open"), (4, 8, 9, 0, "reconnect"), (5, 1, None, 1, "open")]
+
+
 def test_session_stream_equals_batch_for_closed_sessions(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     out = shared_dir(spark, "test_session_stream")
@@ -100,24 +141,41 @@ def test_session_stream_equals_batch_for_closed_sessions(spark, sf_dir):
     assert closed <= s_rows
 
 
+def _shuffled_within_delay(spark, ev, name):
+    """Three files that overlap in time: every row is late by up to nine minutes."""
+    src = shared_dir(spark, name)
+    moved = ev.withColumn("_a", F.col("ts") + F.make_dt_interval(mins=(F.xxhash64("event_id") % 5).cast("int") + 4))
+    bounds = ["2024-01-01", "2024-01-10", "2024-01-21", "2030-01-01"]
+    for lo, hi in zip(bounds, bounds[1:]):
+        part = moved.filter((F.col("_a") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("_a") < F.lit(hi).cast("timestamp_ntz")))
+        part.drop("_a").coalesce(1).write.mode("append").parquet(src)
+    return src
+
+
 def test_first_response_stream_matches_batch_across_batches(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
-    src = shared_dir(spark, "test_rr_src")
-    bounds = ["2024-01-01", "2024-01-10", "2024-01-21", "2030-01-01"]
-    for lo, hi in zip(bounds, bounds[1:]):  # three files in time order: state must carry over
-        (ev.filter((F.col("ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi).cast("timestamp_ntz")))
-         .coalesce(1).write.mode("append").parquet(src))
     out = shared_dir(spark, "test_rr_stream")
-    got = correlate.first_response_stream(spark, src, "*.parquet", ev.schema, "user_id", "ts", "event_id",
-                                          "event_type", "view", "purchase", 3600, "10 minutes",
-                                          f"{out}/d", f"{out}/c", max_files=1)
-    batch = correlate.first_response(ev.filter("event_type = 'view'"), ev.filter("event_type = 'purchase'"),
-                                     "user_id", "ts", "event_id", "1 hour")
-    g = {tuple(r) for r in got.collect()}
-    b = {tuple(r) for r in batch.collect()}
-    assert len(g) == got.count()          # one row per request
-    assert g <= b
-    assert {r for r in b if r[4] == "matched"} <= g
+    got = correlate.first_response_stream(spark, _shuffled_within_delay(spark, ev, "test_rr_src"), "*.parquet", ev.schema,
+                                          "user_id", "ts", "event_id", "event_type", "view", "purchase", 3600,
+                                          "10 minutes", f"{out}/d", f"{out}/c", max_files=1)
+    batch = correlate.first_response_in_log(ev, "user_id", "ts", "event_id", "event_type", "view", "purchase", "1 hour")
+    g, b = [tuple(r) for r in got.collect()], {tuple(r) for r in batch.collect()}
+    assert len(g) == len(set(g)) and set(g) <= b
+    last = ev.filter("event_type in ('view', 'purchase')").agg(F.max("ts")).first()[0]
+    settled = {r.event_id for r in ev.filter("event_type = 'view'").collect() if r.ts + timedelta(minutes=71) < last}
+    assert settled <= {r[0] for r in g}
+    waiting = state.open_state(spark, f"{out}/c").count()
+    assert waiting >= 1
+
+
+def test_response_before_its_request_arrives(spark):
+    src, out = shared_dir(spark, "test_rr_order"), shared_dir(spark, "test_rr_order_out")
+    at = lambda s: T0 + timedelta(seconds=s)
+    for rows in ([(1, at(30), 2, "purchase")], [(1, at(0), 1, "view")], [(8, at(90_000), 9, "view")]):
+        _events(spark, rows).coalesce(1).write.mode("append").parquet(src)
+    got = correlate.first_response_stream(spark, src, "*.parquet", _events(spark, []).schema, "user_id", "ts", "event_id",
+                                          "event_type", "view", "purchase", 3600, "10 minutes", f"{out}/d", f"{out}/c", max_files=1)
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 2, 30.0, "matched")]
 
 
 def test_fan_out_writer_is_replay_safe(spark, sf_dir):
@@ -156,20 +214,29 @@ def test_log_rate_stream_matches_batch(spark, sf_dir):
     assert g and g <= b
 
 
-def test_early_data_stream_carries_state_across_batches(spark, sf_dir):
+def test_early_data_stream_matches_batch_across_batches(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    src = shared_dir(spark, "test_early_src")
-    bounds = ["2024-01-01", "2024-01-08", "2024-01-20", "2030-01-01"]
-    for lo, hi in zip(bounds, bounds[1:]):  # three files, written in time order
-        (ev.filter((F.col("ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi).cast("timestamp_ntz")))
-         .coalesce(1).write.mode("append").parquet(src))
     out = shared_dir(spark, "test_early_stream")
-    got = early_data.early_data_stream(spark, src, "*.parquet", ev.schema, "user_id", "ts", "event_id",
-                                       "event_type", "signup", "error", f"{out}/d", f"{out}/c", max_files=1)
+    got = early_data.early_data_stream(spark, _shuffled_within_delay(spark, ev, "test_early_src"), "*.parquet", ev.schema,
+                                       "user_id", "ts", "event_id", "event_type", "signup", "error", "10 minutes",
+                                       f"{out}/d", f"{out}/c", max_files=1)
     batch = early_data.early_data(ev, "user_id", "ts", "event_type", "signup", "error", tiebreak=("event_id",))
     cols = ["user_id", "segment", "n_early", "closing_marker", "replayed", "dropped", "resets", "cleared"]
-    expected = {tuple(r) for r in batch.filter("closing_marker IS NOT NULL").select(*cols).collect()}
-    assert {tuple(r) for r in got.select(*cols).collect()} == expected
+    last = ev.agg(F.max("ts")).first()[0] - timedelta(minutes=11)
+    closed = batch.filter((F.col("end_ts") < F.lit(last)) if "end_ts" in batch.columns else F.col("closing_marker").isNotNull())
+    g, b = [tuple(r) for r in got.select(*cols).collect()], {tuple(r) for r in closed.select(*cols).collect()}
+    assert len(g) == len(set(g)) and set(g) <= b and len(b) - len(g) <= 5
+    assert state.open_state(spark, f"{out}/c").count() >= 1
+
+
+def test_early_data_marker_file_before_data_file(spark):
+    src, out = shared_dir(spark, "test_early_order"), shared_dir(spark, "test_early_order_out")
+    at = lambda s: T0 + timedelta(seconds=s)
+    for rows in ([(1, at(5), 3, "create")], [(1, at(1), 1, "data"), (1, at(2), 2, "data")], [(8, at(90_000), 9, "data")]):
+        _events(spark, rows).coalesce(1).write.mode("append").parquet(src)
+    got = early_data.early_data_stream(spark, src, "*.parquet", _events(spark, []).schema, "user_id", "ts", "event_id",
+                                       "event_type", "create", "close", "10 minutes", f"{out}/d", f"{out}/c", max_files=1)
+    assert [(r.user_id, r.segment, r.n_early, r.replayed) for r in got.collect()] == [(1, 0, 2, 2)]
 
 
 def test_malformed_log_lines_do_not_fail(spark):

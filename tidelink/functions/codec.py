@@ -39,6 +39,19 @@ def hex_byte_length(c) -> Column:
     return (F.length(_col(c)) / F.lit(2)).cast("long")
 
 
+def write_key(spark, path: str, key: str) -> None:
+    """Store a key as the one row of a table (for tests and demos; a cluster mounts a secret)."""
+    spark.createDataFrame([(key,)], "key string").write.mode("overwrite").parquet(path)
+
+
+def key_from(spark, path: str) -> Column:
+    """The key stored at ``path`` as a scalar subquery.
+
+    It is read when the query runs; plans show the path, never the key.
+    """
+    return spark.read.parquet(path).select("key").scalar()
+
+
 def encrypt(c, key: Column | str) -> Column:
     """AES-256-GCM; ``key`` must be 32 bytes.  Returns binary (IV || ct || tag)."""
     k = F.lit(key) if isinstance(key, str) else key
@@ -51,7 +64,7 @@ def decrypt_text(c, key: Column | str) -> Column:
     return F.decode(F.try_aes_decrypt(_col(c), k, F.lit("GCM")), "UTF-8")
 
 
-def protect_columns(df, columns, key: str, suffix: str = "_enc"):
+def protect_columns(df, columns, key: Column | str, suffix: str = "_enc"):
     """Replace clear columns by base64 ciphertext columns ``<c><suffix>``."""
     out = df
     for c in columns:
@@ -59,7 +72,7 @@ def protect_columns(df, columns, key: str, suffix: str = "_enc"):
     return out
 
 
-def unprotect_columns(df, columns, key: str, suffix: str = "_enc"):
+def unprotect_columns(df, columns, key: Column | str, suffix: str = "_enc"):
     out = df
     for c in columns:
         raw = F.try_to_binary(F.col(f"{c}{suffix}"), F.lit("base64"))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelink.functions.temporal import ntz_micros
+
 
 # Well-known port -> protocol, everything else is 'unknown'.
 PORT_PROTOCOLS = (
@@ -61,25 +63,25 @@ def connection_inventory(connections: DataFrame, port_col: str = "port") -> Data
 
 
 def source_health(events: DataFrame, source_col: str, ts_col: str, state_col: str,
-                  port_col: str, down_state: str) -> DataFrame:
+                  port_col: str, down_state: str, states) -> DataFrame:
     """Per source: healthy iff the last state is not ``down_state`` and it
     has at least one port.
 
-    All aggregates are fixed-width hash aggregations with map-side partial
-    results (a string-valued ``max_by`` would force a sort of every input
-    partition); the last state is then picked by joining the events with the
-    one-row-per-source ``(source, last ts)`` table - broadcast by AQE from its
-    run-time size - and ties at the same instant resolve to the largest state.
+    ``states`` lists the state names (at most 63; others count as no state).
+    Time and state go into one long, micros * 64 + number of the state in
+    sorted order, whose maximum is the last state (ties at one instant: the
+    largest).  So one scan with fixed-width hash aggregation answers all.
     """
-    agg = events.groupBy(source_col).agg(
-        F.max(ts_col).alias("_last_ts"),
+    names = sorted(states)
+    if len(names) > 63:
+        raise ValueError("at most 63 states")
+    code = F.coalesce(*[F.when(F.col(state_col) == F.lit(n), F.lit(i)) for i, n in enumerate(names, 1)], F.lit(0))
+    out = events.groupBy(source_col).agg(
+        F.max(ntz_micros(ts_col) * 64 + code).alias("_last"),
         F.count_distinct(port_col).cast("long").alias("active_ports"),
-        F.count(F.lit(1)).cast("long").alias("n_events"),
-    )
-    last = agg.select(source_col, "_last_ts")  # one row per source: AQE broadcasts it
-    at_last = events.join(last, (events[source_col] == last[source_col])
-                          & (events[ts_col] == last["_last_ts"]), "left_semi")
-    state = at_last.groupBy(source_col).agg(F.max(state_col).alias("last_state"))
-    out = agg.join(state, source_col, "left").drop("_last_ts")
-    healthy = (F.col("last_state") != F.lit(down_state)) & (F.col("active_ports") >= 1)
+        F.count(F.lit(1)).cast("long").alias("n_events"))
+    state = F.try_element_at(F.array(*[F.lit(n) for n in names]), F.pmod(F.col("_last"), F.lit(64)).cast("int"))
+    state = F.when(F.pmod(F.col("_last"), F.lit(64)) > 0, state)
+    out = out.withColumn("last_state", state).drop("_last")
+    healthy = F.coalesce(F.col("last_state") != F.lit(down_state), F.lit(False)) & (F.col("active_ports") >= 1)
     return out.withColumn("status", F.when(healthy, "healthy").otherwise("degraded"))

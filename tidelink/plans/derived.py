@@ -59,8 +59,12 @@ REQUEST_TEXT_EXPR = """CASE
   WHEN value < 45 THEN ''
   ELSE '{"query":"SELECT 1","target":"db1:70000"}' END"""
 
-# Request batch over three distinct queries, repeated, plus failing rows.
+# Request batch over more than a thousand distinct queries, plus failing rows of every kind.
 BATCH_TEXT_EXPR = """CASE
+  WHEN event_type = 'click' AND event_id % 50 = 0 THEN 'SELECT raise_error(''stop'') AS y'
+  WHEN event_type = 'click' AND event_id % 50 = 1 THEN 'SELECT 1 AS a, 2 AS a'
+  WHEN event_type = 'purchase' AND event_id % 2 = 0
+    THEN 'SELECT o_orderkey FROM orders WHERE o_custkey = ' || CAST(event_id % 2400 AS STRING)
   WHEN event_type = 'view' THEN 'SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment'
   WHEN event_type = 'click' THEN '{"query":"SELECT n_name FROM nation WHERE n_regionkey = 1"}'
   WHEN event_type = 'purchase' THEN 'SELECT o_orderkey FROM orders WHERE o_totalprice > 400000'
@@ -68,6 +72,24 @@ BATCH_TEXT_EXPR = """CASE
   WHEN value < 10 THEN 'DELETE FROM orders'
   ELSE 'SELECT * FROM missing_table' END"""
 
+# Requests whose rows are compared: times, nulls, floats and an order of their own.
+ROWS_TEXT_EXPR = """CASE
+  WHEN event_type = 'view' THEN 'SELECT c_custkey, c_name FROM customer WHERE c_nationkey = '
+    || CAST(event_id % 25 AS STRING) || ' ORDER BY c_custkey DESC'
+  WHEN event_type = 'click' THEN 'SELECT n_nationkey, CAST(NULL AS STRING) AS none, TIMESTAMP_NTZ ''2024-01-01 00:00:00.123456'' AS at FROM nation'
+  WHEN event_type = 'purchase' THEN 'SELECT raise_error(''stop'') AS y'
+  ELSE 'SELECT TIMESTAMP_NTZ ''2024-01-01 00:00:00'' AS at' END"""
+
+# Session markers, and link reconnects, from events.
+MARKER_EXPR = """CASE
+  WHEN event_type = 'signup' THEN 'create'
+  WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'close'
+  WHEN event_type = 'error' AND event_id % 3 = 1 THEN 'error'
+  WHEN event_type = 'error' THEN 'reset'
+  WHEN event_type = 'purchase' AND event_id % 97 = 0 THEN 'reconnect'
+  ELSE 'data' END"""
+LINK_EXPR = "user_id % 5"
+
 # Requests routed by target: the remote database, the default source, nowhere.
 ROUTED_TEXT_EXPR = """CASE
   WHEN event_type = 'view' THEN '{"query":"SELECT N_NAME FROM NATION WHERE N_REGIONKEY = 2","target":"remote-db:1527"}'
@@ -79,11 +101,11 @@ ROUTED_TEXT_EXPR = """CASE
 LOGGER_EXPR = """CASE WHEN event_type IN ('signup', 'error') THEN 'link_agent' ELSE '__main__' END"""
 LEVEL_EXPR = """CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING' ELSE 'INFO' END"""
 MESSAGE_EXPR = """CASE event_type
-  WHEN 'signup' THEN '✅ Agent authenticated and ready - user ' || CAST(user_id AS STRING)
-  WHEN 'error' THEN '❌ Authentication failed - no valid token or secret provided (user ' || CAST(user_id AS STRING) || ')'
-  WHEN 'view' THEN '📥 Received message type: session_data'
-  WHEN 'click' THEN '⚠️  Unknown message type: click - ignored'
-  ELSE 'Query executed: SELECT ' || CAST(event_id AS STRING) END"""
+  WHEN 'signup' THEN 'Agent authenticated and ready: peer ' || CAST(user_id AS STRING)
+  WHEN 'error' THEN 'Authentication failed for peer ' || CAST(user_id AS STRING)
+  WHEN 'view' THEN 'frame in, kind=data, id=' || CAST(event_id AS STRING)
+  WHEN 'click' THEN 'frame skipped - kind=click is not known'
+  ELSE 'statement done in 1 - 2 ms, id=' || CAST(event_id AS STRING) END"""
 
 
 def connections(events: DataFrame) -> DataFrame:
@@ -103,6 +125,11 @@ def request_table(events: DataFrame, expr: str = REQUEST_TEXT_EXPR) -> DataFrame
     return events.select(F.col("event_id").alias("row_index"), F.expr(expr).alias("input"))
 
 
+def session_log(events: DataFrame) -> DataFrame:
+    return events.select("user_id", F.expr(LINK_EXPR).alias("link"), "ts", "event_id",
+                         F.expr(MARKER_EXPR).alias("marker"))
+
+
 def service_log(events: DataFrame) -> DataFrame:
     from tidelink.streaming.logs import format_line
     return events.select("event_id", format_line(F.col("ts"), F.expr(LOGGER_EXPR), F.expr(LEVEL_EXPR),

@@ -7,9 +7,8 @@ shared expression strings in ``tidelink.plans.derived``.
 from __future__ import annotations
 
 from tidelink.plans import derived as d
-from tidelink.plans.queries import RECENT, RUN_TS
+from tidelink.plans.queries import RUN_TS
 
-_R = f"TIMESTAMP '{RECENT}'"
 _SPLIT = f"TIMESTAMP '{d.SPLIT_TS}'"
 
 _STATUS = """SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n_orders,
@@ -20,7 +19,7 @@ ORACLE_SQL = {
 SELECT c.c_custkey AS user_id, c.c_name AS user_name, o.o_orderkey AS order_id,
        o.o_orderstatus AS order_status, round(o.o_totalprice, 2) AS total_amount,
        o.o_orderdate AS order_date
-FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderdate >= {_R}
+FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey
 ORDER BY user_id, order_date DESC NULLS FIRST""",
 
     "order_listing": """
@@ -39,12 +38,14 @@ SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS total_price
 FROM orders WHERE o_totalprice > 300000.0 AND o_orderstatus = 'F'""",
 
     "federated_below_avg": """
-WITH s AS (SELECT c_mktsegment, avg(c_acctbal) AS segment_avg FROM customer GROUP BY c_mktsegment)
+WITH s AS (SELECT c_mktsegment, sum(CAST(c_acctbal AS DECIMAL(18,2))) AS total, count(c_acctbal) AS n,
+                  CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(c_acctbal) AS segment_avg
+           FROM customer GROUP BY c_mktsegment)
 SELECT c.c_custkey, c.c_name, n.n_name, c.c_mktsegment, round(c.c_acctbal, 2) AS c_acctbal,
        round(s.segment_avg, 2) AS segment_avg
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
 JOIN s ON c.c_mktsegment = s.c_mktsegment
-WHERE c.c_acctbal < s.segment_avg""",
+WHERE CAST(c.c_acctbal AS DECIMAL(18,2)) * s.n < s.total""",
 
     "remote_query": _STATUS,
     "remote_append": _STATUS,
@@ -75,12 +76,9 @@ SELECT c_custkey AS source_key,
 FROM customer WHERE c_acctbal < 0""",
 
     "default_fill": f"""
-SELECT c.c_custkey AS user_id,
-       COALESCE(m.last_order, TIMESTAMP '{RUN_TS}') AS last_order_date,
-       m.last_order IS NULL AS is_default
-FROM customer c LEFT JOIN (
-  SELECT o_custkey, max(o_orderdate) AS last_order FROM orders
-  WHERE o_orderdate >= {_R} GROUP BY o_custkey) m ON c.c_custkey = m.o_custkey""",
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate ELSE TIMESTAMP '{RUN_TS}' END AS order_date,
+       o_orderkey % 7 = 0 AS is_default
+FROM orders""",
 
     "constraint_report": """
 SELECT 'customer primary key c_custkey' AS rule, CAST(count(*) AS BIGINT) AS violations
@@ -101,7 +99,11 @@ UNION ALL SELECT 'lineitem l_orderkey references orders', CAST(count(*) AS BIGIN
   AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)""",
 
     "ingest_full": _STATUS,
-    "ingest_incremental": _STATUS,
+    "ingest_incremental": """
+SELECT o_orderstatus, count(*) AS n_orders,
+       CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS DOUBLE) AS total_price,
+       CAST(sum(o_orderkey) AS BIGINT) AS key_sum, count(DISTINCT o_orderkey) AS n_keys
+FROM orders GROUP BY o_orderstatus""",
 
     "copy_reconcile": """
 SELECT 'source' AS side, CAST(count(*) AS BIGINT) AS n_rows, CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS DOUBLE) AS total_amount,
@@ -183,18 +185,36 @@ SELECT row_index,
 FROM e""",
 
     "request_batch": """
-SELECT event_id AS row_index,
-       event_type IN ('view', 'click', 'purchase') AS success,
-       CAST(CASE event_type
-         WHEN 'view' THEN (SELECT count(*) FROM (SELECT c_mktsegment FROM customer GROUP BY c_mktsegment))
-         WHEN 'click' THEN (SELECT count(*) FROM nation WHERE n_regionkey = 1)
-         WHEN 'purchase' THEN (SELECT count(*) FROM orders WHERE o_totalprice > 400000)
-         ELSE 0 END AS BIGINT) AS rowcount,
-       CASE WHEN event_type IN ('view', 'click', 'purchase') THEN NULL
-            WHEN event_type = 'signup' THEN 'No SQL query provided'
-            WHEN value < 10 THEN 'Only read statements are accepted'
-            ELSE 'TABLE_OR_VIEW_NOT_FOUND' END AS error
-FROM events""",
+WITH e AS (
+  SELECT event_id, event_type, value,
+         CASE WHEN event_type = 'click' AND event_id % 50 = 0 THEN 'USER_RAISED_EXCEPTION'
+              WHEN event_type = 'click' AND event_id % 50 = 1 THEN 'Duplicate column names in result'
+              WHEN event_type IN ('view', 'click', 'purchase') THEN NULL
+              WHEN event_type = 'signup' THEN 'No SQL query provided'
+              WHEN value < 10 THEN 'Only read statements are accepted'
+              ELSE 'TABLE_OR_VIEW_NOT_FOUND' END AS error,
+         CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN event_id % 2400 END AS asked
+  FROM events),
+o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
+SELECT event_id AS row_index, error IS NULL AS success,
+       CAST(CASE WHEN error IS NOT NULL THEN 0
+         WHEN asked IS NOT NULL THEN coalesce(o.n, 0)
+         WHEN event_type = 'view' THEN (SELECT count(*) FROM (SELECT c_mktsegment FROM customer GROUP BY c_mktsegment))
+         WHEN event_type = 'click' THEN (SELECT count(*) FROM nation WHERE n_regionkey = 1)
+         ELSE (SELECT count(*) FROM orders WHERE o_totalprice > 400000) END AS BIGINT) AS rowcount,
+       error
+FROM e LEFT JOIN o ON o.o_custkey = e.asked""",
+
+    "request_rows": f"""
+WITH t AS (SELECT DISTINCT event_type, event_id % 25 AS k, {d.ROWS_TEXT_EXPR.replace("TIMESTAMP_NTZ ''", "TIMESTAMP_NTZ ''")} AS input
+           FROM events)
+SELECT DISTINCT input, '{{"c_custkey":' || c.c_custkey || ',"c_name":"' || c.c_name || '"}}' AS row_json
+FROM t JOIN customer c ON c.c_nationkey = t.k WHERE t.event_type = 'view'
+UNION ALL
+SELECT * FROM (SELECT DISTINCT input FROM t WHERE event_type = 'click'),
+  (SELECT '{{"n_nationkey":' || n_nationkey || ',"none":null,"at":"2024-01-01T00:00:00.123456"}}' FROM nation)
+UNION ALL
+SELECT DISTINCT input, '{{"at":"2024-01-01T00:00:00"}}' FROM t WHERE event_type IN ('signup', 'error')""",
 
     "request_routing": """
 SELECT event_id AS row_index,
@@ -262,24 +282,29 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS sessio
        CAST(count(*) AS BIGINT) AS n_events
 FROM s GROUP BY user_id, sid""",
 
-    "session_markers": """
-WITH x AS (
-  SELECT user_id, ts, event_id, event_type,
-         event_type IN ('signup', 'error') AS is_marker,
-         coalesce(sum(CASE WHEN event_type IN ('signup', 'error') THEN 1 ELSE 0 END)
-           OVER (PARTITION BY user_id ORDER BY ts, event_id
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment
-  FROM events),
+    "session_markers": f"""
+WITH e AS (SELECT user_id, {d.LINK_EXPR} AS link, ts, event_id, {d.MARKER_EXPR} AS m FROM events),
+ep AS (
+  SELECT *, CAST(sum(CASE WHEN m = 'reconnect' THEN 1 ELSE 0 END) OVER (
+    PARTITION BY link ORDER BY ts, CASE WHEN m = 'reconnect' THEN 0 ELSE 1 END, event_id
+    ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM e),
+r AS (SELECT link, epoch, ts FROM ep WHERE m = 'reconnect'),
+x AS (
+  SELECT *, coalesce(sum(CASE WHEN m <> 'data' THEN 1 ELSE 0 END) OVER (
+    PARTITION BY user_id, epoch ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment
+  FROM ep WHERE m <> 'reconnect'),
 seg AS (
-  SELECT user_id, CAST(segment AS BIGINT) AS segment,
-         CAST(sum(CASE WHEN is_marker THEN 0 ELSE 1 END) AS BIGINT) AS n_data,
-         max(CASE WHEN is_marker THEN event_type END) AS end_marker,
-         max(CASE WHEN is_marker THEN ts END) AS end_ts
-  FROM x GROUP BY user_id, segment)
-SELECT s.user_id, s.segment, p.end_ts AS session_start, s.end_ts AS session_end, s.n_data,
-       CASE s.end_marker WHEN 'error' THEN 'closed' WHEN 'signup' THEN 'recreated' ELSE 'open' END AS end_reason
-FROM seg s JOIN seg p ON p.user_id = s.user_id AND p.segment + 1 = s.segment
-WHERE p.end_marker = 'signup'""",
+  SELECT user_id, link, epoch, CAST(segment AS BIGINT) AS segment,
+         CAST(sum(CASE WHEN m = 'data' THEN 1 ELSE 0 END) AS BIGINT) AS n_data,
+         max(CASE WHEN m <> 'data' THEN m END) AS end_marker, max(CASE WHEN m <> 'data' THEN ts END) AS end_ts
+  FROM x GROUP BY user_id, link, epoch, segment)
+SELECT p.user_id, p.epoch, p.segment + 1 AS segment, p.end_ts AS session_start,
+       coalesce(s.end_ts, r.ts) AS session_end, coalesce(s.n_data, 0) AS n_data,
+       CASE s.end_marker WHEN 'close' THEN 'closed' WHEN 'create' THEN 'recreated' WHEN 'error' THEN 'error'
+         WHEN 'reset' THEN 'reset' ELSE CASE WHEN r.ts IS NOT NULL THEN 'reconnect' ELSE 'open' END END AS end_reason
+FROM seg p LEFT JOIN seg s ON s.user_id = p.user_id AND s.epoch = p.epoch AND s.segment = p.segment + 1
+LEFT JOIN r ON r.link = p.link AND r.epoch = p.epoch + 1
+WHERE p.end_marker = 'create'""",
 
     # Append mode emits a session once the final watermark (latest event
     # time at millisecond precision minus the 10-minute delay) reaches its end.
@@ -339,8 +364,10 @@ WITH x AS (
 seg AS (
   SELECT user_id, CAST(segment AS BIGINT) AS segment,
          CAST(sum(CASE WHEN is_marker THEN 0 ELSE 1 END) AS BIGINT) AS n_early,
-         max(CASE WHEN is_marker THEN event_type END) AS closing_marker
+         max(CASE WHEN is_marker THEN event_type END) AS closing_marker,
+         max(CASE WHEN is_marker THEN ts END) AS closed_at
   FROM x GROUP BY user_id, segment),
+w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS wm FROM events),
 j AS (
   SELECT s.*, p.closing_marker AS prev_marker
   FROM seg s LEFT JOIN seg p ON p.user_id = s.user_id AND p.segment + 1 = s.segment)
@@ -350,7 +377,7 @@ SELECT user_id, segment, n_early, closing_marker,
        CAST(n_early // 6 AS BIGINT) AS resets,
        CAST(CASE WHEN closing_marker = 'error' THEN n_early % 6 ELSE 0 END AS BIGINT) AS cleared
 FROM j WHERE (prev_marker IS NULL OR prev_marker = 'error') AND n_early > 0
-  AND closing_marker IS NOT NULL""",
+  AND closing_marker IS NOT NULL AND closed_at < (SELECT wm FROM w)""",
 
     "request_response": """
 WITH v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'),
@@ -365,9 +392,9 @@ SELECT request_id, user_id, response_id,
        CASE WHEN response_id IS NOT NULL THEN 'matched' ELSE 'timeout' END AS status
 FROM m""",
 
-    # Keyed-state twin: a request is emitted when its first response arrives,
-    # or as a timeout once the watermark (latest event time at ms precision
-    # minus 10 minutes) has passed the end of its hour.
+    # Keyed-state twin: a request is emitted once the watermark (latest event
+    # time at ms precision minus 10 minutes) has passed its first response, or
+    # the end of its hour.
     "request_response_stream": """
 WITH v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'),
 p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
@@ -382,7 +409,7 @@ SELECT request_id, user_id, response_id,
        round(CASE WHEN response_id IS NOT NULL THEN epoch_us(rts) - epoch_us(vts) END / 1000000.0, 6) AS latency_s,
        CASE WHEN response_id IS NOT NULL THEN 'matched' ELSE 'timeout' END AS status
 FROM m
-WHERE response_id IS NOT NULL OR vts + INTERVAL 1 HOUR < (SELECT wm FROM w)""",
+WHERE coalesce(rts, vts + INTERVAL 1 HOUR) < (SELECT wm FROM w)""",
 
     "message_route_stream": f"""
 WITH m AS (SELECT {d.MSG_TYPE_EXPR} AS msg_type FROM events)

@@ -7,6 +7,8 @@ Every query reads whole tables; none caps, samples or subsets rows.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +25,11 @@ from tidelink.sources import lake, remote
 from tidelink.streaming import correlate, early_data, logs, messages, sessions
 from tidelink.tables import read_table, register_views
 
-RECENT = "2001-01-01 00:00:00"
 RUN_TS = "2025-01-01 00:00:00"
 SESSION_GAP = "30 minutes"
 RESPONSE_WITHIN = "1 hour"
 STREAM_DELAY = "10 minutes"
 LOG_DELAY = "2 minutes"
-# Demo key for the column-protection job (32 bytes -> AES-256).
-DEMO_KEY = "tidelink-demo-key-0123456789abcd"
 DERBY = "tidelink"
 
 
@@ -46,8 +45,9 @@ def _state_partitions(spark) -> int:
 # --- relational -----------------------------------------------------------
 
 def q_user_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _t(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= ntz_literal(RECENT))
-    return relational.user_orders(_t(spark, sf_dir, "customer"), orders)
+    """The view over the join, created and then selected from; whole tables."""
+    view = relational.create_user_orders_view(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders"))
+    return spark.sql(f"SELECT * FROM {view} ORDER BY user_id, order_date DESC NULLS FIRST")
 
 
 def q_order_listing(spark, sf_dir):
@@ -70,8 +70,13 @@ def q_bound_params(spark, sf_dir):
 
 
 def q_federated_below_avg(spark, sf_dir):
+    """Remote customers (partitioned JDBC scan) joined with the local nations."""
+    src = remote.embedded_derby(DERBY)
+    cust = _t(spark, sf_dir, "customer")
+    remote.remote_append(cust, src, "FED_CUSTOMER", column_types=remote.string_column_types(cust), mode="overwrite")
+    far = remote.remote_scan(spark, src, "FED_CUSTOMER", partition_column="c_custkey", num_partitions=8)
     out = relational.below_group_average(
-        _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation"),
+        far, _t(spark, sf_dir, "nation"),
         ("c_nationkey", "n_nationkey"), "c_mktsegment", "c_acctbal")
     return out.select("c_custkey", "c_name", "n_name", "c_mktsegment",
                       F.round("c_acctbal", 2).alias("c_acctbal"),
@@ -124,10 +129,9 @@ def q_remote_scan(spark, sf_dir):
     cust = _t(spark, sf_dir, "customer")
     remote.remote_append(cust, src, "RS_CUSTOMER", column_types=remote.string_column_types(cust),
                          mode="overwrite")
-    scan = remote.remote_scan(spark, src, "RS_CUSTOMER", partition_column="c_custkey", num_partitions=8)
-    return (scan.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
-                        F.col("c_mktsegment").alias("segment"))
-            .orderBy("id").limit(5))
+    top = remote.remote_top(spark, src, "RS_CUSTOMER", ["c_custkey", "c_name", "c_mktsegment"], ["c_custkey"], 5)
+    return top.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+                      F.col("c_mktsegment").alias("segment")).orderBy("id")
 
 
 # --- keyed writes and constraints -------------------------------------------
@@ -156,12 +160,11 @@ def q_surrogate_key(spark, sf_dir):
 
 
 def q_default_fill(spark, sf_dir):
-    recent = (_t(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= ntz_literal(RECENT))
-              .groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_order_date")))
-    users = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
-    j = users.join(recent, users.user_id == recent.o_custkey, "left").drop("o_custkey")
-    j = j.withColumn("is_default", F.col("last_order_date").isNull())
-    return keyed.apply_defaults(j, {"last_order_date": ntz_literal(RUN_TS)})
+    """Orders without a date (here those whose key divides by 7) get the run's time."""
+    date = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate"))
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", date.alias("order_date"))
+    orders = orders.withColumn("is_default", F.col("order_date").isNull())
+    return keyed.apply_defaults(orders, {"order_date": ntz_literal(RUN_TS)})
 
 
 def q_constraint_report(spark, sf_dir):
@@ -198,25 +201,31 @@ def q_ingest_full(spark, sf_dir):
 
 
 def q_ingest_incremental(spark, sf_dir):
-    """Remote table -> lake table in runs; each run appends only rows above
-    the lake's high-water mark, read through the partitioned JDBC scan with
-    the mark pushed into the remote query."""
+    """Remote table -> lake table in runs; each run appends only rows that the
+    lake lacks at or above its high-water mark, read through the partitioned
+    JDBC scan with the mark pushed into the remote query.  Two thirds of the
+    rows of the last loaded day arrive only with the second load."""
     path = shared_dir(spark, "ingest_incremental")
     orders = _t(spark, sf_dir, "orders")
     src = remote.embedded_derby(DERBY, preferTimestampNTZ="true")
     types = remote.string_column_types(orders)
+    orders = orders.withColumn("o_orderdate", F.date_trunc("day", "o_orderdate").cast("timestamp_ntz"))
+    bounds = tuple(orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first())
     cut = ntz_literal("1998-01-01 00:00:00")
+    early = (F.col("o_orderdate") < cut) | ((F.col("o_orderdate") == cut) & (F.col("o_orderkey") % 3 == 0))
 
-    def scan():
-        return remote.remote_scan(spark, src, "ING_ORDERS", partition_column="o_orderkey", num_partitions=8)
+    def load():
+        scan = remote.remote_scan(spark, src, "ING_ORDERS", partition_column="o_orderkey", num_partitions=8, bounds=bounds)
+        lake.ingest_incremental(spark, scan, path, "o_orderdate", ["o_orderkey"])
 
-    remote.remote_append(orders.filter(F.col("o_orderdate") < cut), src, "ING_ORDERS",
-                         column_types=types, mode="overwrite")
-    lake.ingest_incremental(spark, scan(), path, "o_orderdate")     # initial load
-    remote.remote_append(orders.filter(F.col("o_orderdate") >= cut), src, "ING_ORDERS")  # new remote rows
-    lake.ingest_incremental(spark, scan(), path, "o_orderdate")     # rows above the mark only
-    lake.ingest_incremental(spark, scan(), path, "o_orderdate")     # re-run: nothing
-    return _status_from(spark.read.parquet(path))
+    remote.remote_append(orders.filter(early), src, "ING_ORDERS", column_types=types, mode="overwrite")
+    load()                                                                 # initial load
+    remote.remote_append(orders.filter(~early), src, "ING_ORDERS")         # new remote rows, some at the mark
+    load()                                                                 # rows at or above the mark, by key
+    load()                                                                 # re-run: nothing
+    return (spark.read.parquet(path).groupBy("o_orderstatus")
+            .agg(F.count(F.lit(1)).cast("long").alias("n_orders"), exact_sum("o_totalprice").alias("total_price"),
+                 F.sum("o_orderkey").cast("long").alias("key_sum"), F.count_distinct("o_orderkey").alias("n_keys")))
 
 
 def q_copy_reconcile(spark, sf_dir):
@@ -247,8 +256,10 @@ def q_encode_roundtrip(spark, sf_dir):
 
 def q_protect_columns(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    enc = codec.protect_columns(c.withColumn("_orig", F.col("c_name")), ["c_name"], DEMO_KEY)
-    dec = codec.unprotect_columns(enc, ["c_name"], DEMO_KEY)
+    path = shared_dir(spark, "column_key")
+    codec.write_key(spark, path, secrets.token_hex(16))  # 32 characters: AES-256
+    enc = codec.protect_columns(c.withColumn("_orig", F.col("c_name")), ["c_name"], codec.key_from(spark, path))
+    dec = codec.unprotect_columns(enc, ["c_name"], codec.key_from(spark, path))
     return dec.select("c_custkey", "c_name", (F.col("c_name") == F.col("_orig")).alias("roundtrip_ok"))
 
 
@@ -279,6 +290,15 @@ def q_request_batch(spark, sf_dir):
     return envelopes.select("row_index", "success", "rowcount", "error")
 
 
+def q_request_rows(spark, sf_dir):
+    """Result rows of every distinct request of the batch that succeeded."""
+    register_views(spark, sf_dir, ("customer", "nation", "orders"))
+    req = derived.request_table(_t(spark, sf_dir, "events"), derived.ROWS_TEXT_EXPR)
+    envelopes, results = run_requests(spark, req)
+    asked = envelopes.filter("success").join(req, "row_index").select("result_id", "input").distinct()
+    return asked.join(results, "result_id").select("input", "row_json")
+
+
 def q_request_routing(spark, sf_dir):
     """Requests routed by their target: ``remote-db`` (with or without port)
     resolves to the remote database, no target to the default source, an
@@ -308,7 +328,8 @@ def q_connection_inventory(spark, sf_dir):
 
 def q_source_health(spark, sf_dir):
     conns = derived.connections(_t(spark, sf_dir, "events"))
-    return inventory.source_health(conns, "user_id", "ts", "event_type", "port", "error").select(
+    return inventory.source_health(conns, "user_id", "ts", "event_type", "port", "error",
+                                   states=("click", "error", "purchase", "signup", "view")).select(
         "user_id", "status", "last_state", "active_ports", "n_events")
 
 
@@ -325,8 +346,10 @@ def q_session_batch(spark, sf_dir):
 
 
 def q_session_markers(spark, sf_dir):
-    return sessions.marker_sessions(_t(spark, sf_dir, "events"), "user_id", "ts", "event_type",
-                                    create="signup", close="error", tiebreak=("event_id",))
+    log = derived.session_log(_t(spark, sf_dir, "events"))
+    return sessions.marker_sessions(log, "user_id", "ts", "marker", create="create",
+                                    ends={"close": "closed", "error": "error", "reset": "reset"},
+                                    link="link", reconnect="reconnect", tiebreak=("event_id",))
 
 
 def q_session_stream(spark, sf_dir):
@@ -352,15 +375,14 @@ def q_early_data_stream(spark, sf_dir):
     out = shared_dir(spark, "early_data_stream")
     return early_data.early_data_stream(spark, sf_dir, "events.parquet", schema, "user_id", "ts",
                                         "event_id", "event_type", "signup", "error",
-                                        f"{out}/data", f"{out}/checkpoint",
+                                        STREAM_DELAY, f"{out}/data", f"{out}/checkpoint",
                                         partitions=_state_partitions(spark))
 
 
 def q_request_response(spark, sf_dir):
     ev = _t(spark, sf_dir, "events")
-    return correlate.first_response(ev.filter(F.col("event_type") == "view"),
-                                    ev.filter(F.col("event_type") == "purchase"),
-                                    "user_id", "ts", "event_id", RESPONSE_WITHIN)
+    return correlate.first_response_in_log(ev, "user_id", "ts", "event_id", "event_type", "view", "purchase",
+                                           RESPONSE_WITHIN)
 
 
 def q_request_response_stream(spark, sf_dir):
@@ -423,6 +445,7 @@ QUERIES = {
     "statement_kind": q_statement_kind,
     "request_parse": q_request_parse,
     "request_batch": q_request_batch,
+    "request_rows": q_request_rows,
     "request_routing": q_request_routing,
     "protocol_lookup": q_protocol_lookup,
     "connection_inventory": q_connection_inventory,

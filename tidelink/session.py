@@ -3,7 +3,8 @@
 Every job that writes (ingest, copy, keyed appends, streaming sinks and
 checkpoints, lineage cuts) writes below ``spark.checkpoint.dir``: on a
 cluster that setting names a folder all executors share.  It is read from
-the session; only when it is unset (local tests) is a local folder chosen.
+the session; where it is unset, a local master (tests) gets a folder of its
+own and a cluster gets an error.
 """
 
 from __future__ import annotations
@@ -53,8 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.conf.get(_CHECKPOINT_KEY, None)
     if not base:
-        # Unset: only the case for local tests; a cluster names a shared folder.
-        base = tempfile.mkdtemp(prefix="tidelink-ckpt-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError(f"{_CHECKPOINT_KEY} is unset: name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidelink-ckpt-")  # one process: its own folder is shared
     sc.setCheckpointDir(base)
     return base.rstrip("/")
 

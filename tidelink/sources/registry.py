@@ -48,7 +48,9 @@ def load_port_mappings(spark: SparkSession, path: str | None) -> DataFrame:
     try:
         raw = spark.read.schema(MAPPING_FILE).option("multiLine", True).json(path)
         raw.schema  # noqa: B018 - forces path resolution
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return default_mappings(spark)
     rows = raw.select(F.posexplode("mappings").alias("pos", "m")).select("pos", "m.*")
     return rows.withColumn("description", F.coalesce("description", F.lit("")))

@@ -5,9 +5,8 @@ after it; no response within ``within`` means a timeout.
 
 Batch form: an as-of ("next response") scan per key via the skew-safe
 two-level window - linear in the input, no pairs within a key are formed.
-Stream form: keyed state holding the requests still waiting, answered by
-the first response or timed out by the watermark - again one row per
-request, never request x response pairs.
+Stream form: keyed state holding requests and responses until the watermark
+settles them - again one row per request, never request x response pairs.
 """
 
 from __future__ import annotations
@@ -18,19 +17,34 @@ from pyspark.sql import functions as F
 from tidelink.session import state_partitions
 
 from tidelink.functions.temporal import interval, ntz_to_instant, seconds_between
-from tidelink.operators.sequence import DEFAULT_BUCKET, with_next
+from tidelink.operators.sequence import split_valid, with_next
 
 
 def first_response(requests: DataFrame, responses: DataFrame, key: str, ts: str, id_col: str,
-                   within: str, bucket: str = DEFAULT_BUCKET) -> DataFrame:
-    """``request_id, key, response_id, latency_s, status`` per request."""
+                   within: str, slices: int | None = None) -> DataFrame:
+    """``request_id, key, response_id, latency_s, status`` per request.
+
+    Rows with a null key or time take no part (``split_valid`` gives them).
+    """
     req = requests.select(key, ts, id_col, F.lit(0).alias("_resp"))
     rsp = responses.select(key, ts, id_col, F.lit(1).alias("_resp"))
-    u = req.unionByName(rsp)
+    return _first_response(req.unionByName(rsp), key, ts, id_col, within, slices)
+
+
+def first_response_in_log(log: DataFrame, key: str, ts: str, id_col: str, type_col: str, request_type: str,
+                          response_type: str, within: str, slices: int | None = None) -> DataFrame:
+    """The same where both stand in one log, told apart by ``type_col``: one scan."""
+    both = log.filter(F.col(type_col).isin(request_type, response_type)).select(
+        key, ts, id_col, (F.col(type_col) == F.lit(response_type)).cast("int").alias("_resp"))
+    return _first_response(both, key, ts, id_col, within, slices)
+
+
+def _first_response(both: DataFrame, key: str, ts: str, id_col: str, within: str, slices: int | None) -> DataFrame:
     # Order (ts, requests before responses, id): a response at the same
     # instant counts as after the request.
-    d = with_next(u, [key], ts, F.col("_resp") == 1, ts, id_col, out="_nx",
-                  tiebreak=["_resp", id_col], bucket=bucket)
+    valid, _ = split_valid(both, key, ts)
+    d = with_next(valid, [key], ts, F.col("_resp") == 1, ts, id_col, out="_nx",
+                  tiebreak=["_resp", id_col], slices=slices)
     d = d.filter(F.col("_resp") == 0)
     hit = F.col("_nx").isNotNull() & (F.col("_nx.ts") <= F.col(ts) + interval(within))
     return d.select(
@@ -41,61 +55,55 @@ def first_response(requests: DataFrame, responses: DataFrame, key: str, ts: str,
     )
 
 
-def _first_response_step(key: str, ts: str, id_col: str, kind_col: str, request_kind: str,
-                         within_us: int):
-    """Keyed-state step (numpy): pending requests live in the state; each
-    request is answered by the first later response within the horizon, or
-    times out once the watermark passes its deadline.  Only one row per
-    request is ever emitted - no request x response pairs are formed."""
+def _first_response_step(key: str, id_col: str, kind_col: str, request_kind: str, within_us: int):
+    """Keyed-state step (numpy): requests wait in the state until the
+    watermark has passed their first response, or the end of the horizon - no
+    earlier response can come then.  Responses stay until the watermark has
+    passed them.  One row per request, no request x response pairs."""
     import numpy as np
     import pandas as pd
 
-    cols = ["request_id", key, "response_id", "latency_s", "status"]
-
-    def emit(k, req_id, resp_id, latency, status):
-        n = len(req_id)
-        return pd.DataFrame({
-            "request_id": np.asarray(req_id, dtype="int64"),
-            key: np.full(n, k, dtype="int64"),
-            "response_id": pd.array(resp_id, dtype="Int64"),
-            "latency_s": pd.array(latency, dtype="Float64"),
-            "status": np.asarray(status, dtype=object),
-        }, columns=cols)
-
     def step(k, batches, state):
-        kv = k[0]
-        p_ts, p_id = (np.asarray(state.get[0], dtype="int64"), np.asarray(state.get[1], dtype="int64")) \
-            if state.exists else (np.empty(0, "int64"), np.empty(0, "int64"))
-        out = []
+        held = state.get if state.exists else ([], [], [], [])
+        q_ts, q_id, s_ts, s_id = ([np.asarray(x, dtype="int64")] for x in held)
         if not state.hasTimedOut:
-            parts = list(batches)
-            pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-            is_req = (pdf[kind_col] == request_kind).to_numpy()
-            t = pdf["_us"].to_numpy(dtype="int64")
-            ids = pdf[id_col].to_numpy(dtype="int64")
-            r_ts, r_id = np.concatenate([p_ts, t[is_req]]), np.concatenate([p_id, ids[is_req]])
-            order = np.lexsort((ids[~is_req], t[~is_req]))
-            s_ts, s_id = t[~is_req][order], ids[~is_req][order]
-            pos = np.searchsorted(s_ts, r_ts, side="left")       # first response at or after
-            found = pos < len(s_ts)
-            hit = found.copy()
-            hit[found] = s_ts[pos[found]] <= r_ts[found] + within_us
-            if hit.any():
-                out.append(emit(kv, r_id[hit], s_id[pos[hit]],
-                                np.round((s_ts[pos[hit]] - r_ts[hit]) / 1e6, 6), ["matched"] * int(hit.sum())))
-            p_ts, p_id = r_ts[~hit], r_id[~hit]
+            for pdf in batches:
+                is_req = (pdf[kind_col] == request_kind).to_numpy()
+                t, ids = pdf["_us"].to_numpy(dtype="int64"), pdf[id_col].to_numpy(dtype="int64")
+                q_ts.append(t[is_req])
+                q_id.append(ids[is_req])
+                s_ts.append(t[~is_req])
+                s_id.append(ids[~is_req])
+        q_ts, q_id, s_ts, s_id = (np.concatenate(x) for x in (q_ts, q_id, s_ts, s_id))
+        order = np.lexsort((s_id, s_ts))
+        s_ts, s_id = s_ts[order], s_id[order]
         wm_us = state.getCurrentWatermarkMs() * 1000
-        late = p_ts + within_us < wm_us
-        if late.any():
-            out.append(emit(kv, p_id[late], [None] * int(late.sum()), [None] * int(late.sum()),
-                            ["timeout"] * int(late.sum())))
-            p_ts, p_id = p_ts[~late], p_id[~late]
-        if len(p_ts):
-            state.update((p_ts.tolist(), p_id.tolist()))
-            state.setTimeoutTimestamp(int((p_ts.min() + within_us) // 1000))
+        pos = np.searchsorted(s_ts, q_ts, side="left")           # first response at or after
+        found = pos < len(s_ts)
+        hit = found.copy()
+        hit[found] = s_ts[pos[found]] <= q_ts[found] + within_us
+        settled_at = q_ts + within_us
+        settled_at[hit] = s_ts[pos[hit]]
+        done = settled_at < wm_us
+        yield pd.DataFrame({
+            "request_id": q_id[done],
+            key: np.full(int(done.sum()), k[0], dtype="int64"),
+            "response_id": pd.array([int(s_id[p]) if h else None for p, h in zip(pos[done], hit[done])], dtype="Int64"),
+            "latency_s": pd.array([round((int(s_ts[p]) - int(q)) / 1e6, 6) if h else None
+                                   for p, q, h in zip(pos[done], q_ts[done], hit[done])], dtype="Float64"),
+            "status": np.where(hit[done], "matched", "timeout").astype(object),
+        })
+        later = s_ts >= wm_us
+        # A waiting request keeps its first response too, until both are settled.
+        later[pos[hit & ~done]] = True
+        q_ts, q_id, settled_at = q_ts[~done], q_id[~done], settled_at[~done]
+        s_ts, s_id = s_ts[later], s_id[later]
+        if len(q_ts) or len(s_ts):
+            state.update((q_ts.tolist(), q_id.tolist(), s_ts.tolist(), s_id.tolist()))
+            first = min([int(x.min()) for x in (settled_at, s_ts) if len(x)])
+            state.setTimeoutTimestamp(max(first, wm_us) // 1000 + 1)
         elif state.exists:
             state.remove()
-        yield pd.concat(out, ignore_index=True) if out else emit(kv, [], [], [], [])
 
     return step
 
@@ -103,22 +111,24 @@ def _first_response_step(key: str, ts: str, id_col: str, kind_col: str, request_
 def first_response_stream(spark: SparkSession, source_dir: str, file_glob: str, schema, key: str,
                           ts: str, id_col: str, type_col: str, request_type: str, response_type: str,
                           within_seconds: int, watermark: str, out_dir: str, checkpoint_dir: str,
-                          max_files: int = 1, partitions: int | None = None) -> DataFrame:
+                          max_files: int = 100, partitions: int | None = None) -> DataFrame:
     """Streaming twin of ``first_response`` with keyed state
-    (``applyInPandasWithState``, event-time timeouts).  State per key holds
-    only requests still waiting, i.e. those of the last horizon."""
+    (``applyInPandasWithState``, event-time timeouts), right for any arrival
+    order within ``watermark``.  State per key holds the requests of the last
+    horizon and the responses that the watermark has not passed;
+    ``state.open_state`` reads what is still waiting."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
               .option("maxFilesPerTrigger", max_files).parquet(source_dir)
-              .filter(F.col(type_col).isin(request_type, response_type))
+              .filter(F.col(type_col).isin(request_type, response_type) & F.col(key).isNotNull() & F.col(ts).isNotNull())
               .select(key, id_col, type_col, ntz_to_instant(ts).alias("_t"))
               .withColumn("_us", F.unix_micros("_t"))
               .withWatermark("_t", watermark))
     out_schema = f"request_id long, {key} long, response_id long, latency_s double, status string"
     result = stream.groupBy(key).applyInPandasWithState(
-        _first_response_step(key, ts, id_col, type_col, request_type, within_seconds * 1_000_000),
-        out_schema, "pending_ts array<long>, pending_id array<long>", "append",
+        _first_response_step(key, id_col, type_col, request_type, within_seconds * 1_000_000), out_schema,
+        "request_us array<long>, request_id array<long>, response_us array<long>, response_id array<long>", "append",
         GroupStateTimeout.EventTimeTimeout)
     with state_partitions(spark, partitions):
         q = (result.writeStream.format("parquet").option("path", out_dir)

@@ -9,8 +9,8 @@ dropped = n - n mod 6, resets = n div 6.
 Per key, the log is cut into segments at create/close markers (segment
 number = markers strictly before the row, computed with the skew-safe
 running sum); a segment holds early data when the marker before it is a
-close (or there is none).  Everything after the running sum is partial
-aggregation and a join on the unique (key, segment).
+close (or there is none).  Everything after the running sum is one partial
+aggregation.
 """
 
 from __future__ import annotations
@@ -20,30 +20,24 @@ from pyspark.sql import functions as F
 
 from tidelink.session import state_partitions
 
-from tidelink.operators.sequence import DEFAULT_BUCKET, with_running_sum
+from tidelink.functions.temporal import ntz_to_instant
+from tidelink.operators.sequence import marker_segments, split_valid
 
 # Fixed value: held messages tolerated before the buffer is dropped.
 BUFFER_LIMIT = 5
 
 
 def early_data(df: DataFrame, key: str, ts: str, type_col: str, create: str, close: str,
-               tiebreak=(), bucket: str = DEFAULT_BUCKET) -> DataFrame:
-    is_marker = F.col(type_col).isin(create, close)
-    d = with_running_sum(df.withColumn("_m", is_marker), [key], ts, "_m", out="segment",
-                         inclusive=False, tiebreak=list(tiebreak), bucket=bucket)
-    # Marker as a small int so the aggregation buffer is fixed-width (hash
-    # aggregation with partial results, no sort).
+               tiebreak=(), slices: int | None = None) -> DataFrame:
+    """One row per segment that held early data; rows with a null key or time
+    take no part (``split_valid`` gives them)."""
+    valid, _ = split_valid(df, key, ts)
     code = F.when(F.col(type_col) == F.lit(create), 1).when(F.col(type_col) == F.lit(close), 2)
-    seg = d.groupBy(key, "segment").agg(
-        F.sum(F.when(F.col("_m"), 0).otherwise(1)).cast("long").alias("n_early"),
-        F.max(code).alias("_mc"))
-    seg = seg.withColumn("closing_marker", F.when(F.col("_mc") == 1, F.lit(create))
-                         .when(F.col("_mc") == 2, F.lit(close))).drop("_mc")
-    prev = seg.select(key, (F.col("segment") + 1).alias("segment"),
-                      F.col("closing_marker").alias("prev_marker"))
-    j = seg.join(prev, [key, "segment"], "left")
-    j = j.filter((F.col("prev_marker").isNull() | (F.col("prev_marker") == F.lit(close)))
-                 & (F.col("n_early") > 0))
+    seg = marker_segments(valid, [key], ts, code, list(tiebreak), slices)
+    j = (seg.filter((F.col("open_code").isNull() | (F.col("open_code") == 2)) & (F.col("n_data") > 0))
+         .withColumnRenamed("n_data", "n_early")
+         .withColumn("closing_marker", F.when(F.col("end_code") == 1, F.lit(create))
+                     .when(F.col("end_code") == 2, F.lit(close))))
     cycle = BUFFER_LIMIT + 1
     rem = F.col("n_early") % cycle
     return j.select(
@@ -56,13 +50,14 @@ def early_data(df: DataFrame, key: str, ts: str, type_col: str, create: str, clo
     )
 
 
-def _segment_step(create: str, close: str, key: str, ts: str, order_col: str, type_col: str):
+def _segment_step(create: str, close: str, key: str, order_col: str, type_col: str):
     """State transition for one key over one micro-batch (vectorized numpy).
 
-    State: (next segment number, data messages held in the open segment,
-    marker that closed the previous segment).  Emits closed segments that
-    held early data.  Within the batch the k-th marker closes segment k, so
-    counts come from one ``bincount`` over segment ids.
+    State: next segment number, data messages held in the open segment, the
+    marker that closed the previous segment, and the messages that the
+    watermark has not passed yet.  Those wait, since an earlier one may still
+    come; the others are taken in event order.  Among them the k-th marker
+    closes segment k, so counts come from one ``bincount``.
     """
     import numpy as np
     import pandas as pd
@@ -71,27 +66,35 @@ def _segment_step(create: str, close: str, key: str, ts: str, order_col: str, ty
     cols = [key, "segment", "n_early", "closing_marker", "replayed", "dropped", "resets", "cleared"]
 
     def step(k, batches, state):
-        seg0, held0, prev0 = state.get if state.exists else (0, 0, None)
-        parts = list(batches)
-        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        order = np.lexsort((pdf[order_col].to_numpy(), pdf[ts].to_numpy()))
-        t = pdf[type_col].to_numpy(dtype=object)[order]
-        marker = (t == create) | (t == close)
+        seg0, held0, prev0, b_us, b_id, b_kind = state.get if state.exists else (0, 0, None, [], [], [])
+        us, ids, kinds = [np.asarray(b_us, "int64")], [np.asarray(b_id, "int64")], [np.asarray(b_kind, "int64")]
+        if not state.hasTimedOut:
+            for pdf in batches:
+                t = pdf[type_col].to_numpy(dtype=object)
+                us.append(pdf["_us"].to_numpy("int64"))
+                ids.append(pdf[order_col].to_numpy("int64"))
+                kinds.append((t == create) * 1 + (t == close) * 2)
+        us, ids, kinds = (np.concatenate(x) for x in (us, ids, kinds))
+        order = np.lexsort((ids, us))
+        us, ids, kinds = us[order], ids[order], kinds[order]
+        ready = int(np.searchsorted(us, state.getCurrentWatermarkMs() * 1000, side="left"))
+        kind = kinds[:ready]
+        marker = kind > 0
         rel = np.cumsum(marker) - marker                    # segment of each row, from 0
         m = int(marker.sum())
         n = np.bincount(rel[~marker], minlength=m + 1).astype("int64")
         n[0] += held0
-        closing = t[marker]                                 # closes segments 0..m-1
+        names = np.array([None, create, close], dtype=object)
+        closing = names[kind[marker]]                       # closes segments 0..m-1
         prev = np.empty(m + 1, dtype=object)
         prev[0] = prev0
         prev[1:] = closing
-        state.update((int(seg0 + m), int(n[m]), closing[-1] if m else prev0))
-        if m == 0:
-            yield pd.DataFrame({c: [] for c in cols})
-            return
+        state.update((int(seg0 + m), int(n[m]), closing[-1] if m else prev0,
+                      us[ready:].tolist(), ids[ready:].tolist(), kinds[ready:].tolist()))
+        if ready < len(us):
+            state.setTimeoutTimestamp(int(us[ready]) // 1000 + 1)
         p, nn = prev[:m], n[:m]
-        keep = (pd.isna(p) | (p == close)) & (nn > 0)
-        idx = np.nonzero(keep)[0]
+        idx = np.nonzero((pd.isna(p) | (p == close)) & (nn > 0))[0]
         nk, ck = nn[idx], closing[idx]
         rem = nk % cycle
         yield pd.DataFrame({
@@ -103,32 +106,36 @@ def _segment_step(create: str, close: str, key: str, ts: str, order_col: str, ty
             "dropped": (nk - rem).astype("int64"),
             "resets": (nk // cycle).astype("int64"),
             "cleared": np.where(ck == close, rem, 0).astype("int64"),
-        })
+        }, columns=cols)
 
     return step
 
 
 def early_data_stream(spark, source_dir: str, file_glob: str, schema, key: str, ts: str,
-                      order_col: str, type_col: str, create: str, close: str, out_dir: str,
-                      checkpoint_dir: str, max_files: int = 1, partitions: int | None = None):
+                      order_col: str, type_col: str, create: str, close: str, watermark: str, out_dir: str,
+                      checkpoint_dir: str, max_files: int = 100, partitions: int | None = None):
     """Streaming twin: keyed state per ``key`` (``applyInPandasWithState``).
 
-    Messages are taken in arrival order (``ts`` then ``order_col`` inside a
-    micro-batch); closed segments are emitted as they close.  Each group a
-    task sees is one key's rows of one micro-batch, bounded by the trigger
-    size (``maxFilesPerTrigger``), not by the key's history.
+    Messages may arrive out of order by up to ``watermark``: they wait in the
+    state until it has passed them and are then taken in order of ``ts`` and
+    ``order_col``.  Closed segments are given once the watermark has passed
+    their closing marker; ``state.open_state`` reads what is still held.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
               .option("maxFilesPerTrigger", max_files).parquet(source_dir)
-              .select(key, ts, order_col, type_col))
+              .filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+              .select(key, order_col, type_col, ntz_to_instant(ts).alias("_t"))
+              .withColumn("_us", F.unix_micros("_t"))
+              .withWatermark("_t", watermark))
     out_schema = (f"{key} long, segment long, n_early long, closing_marker string, "
                   "replayed long, dropped long, resets long, cleared long")
-    state_schema = "segment long, held long, prev_marker string"
+    state_schema = ("segment long, held long, prev_marker string, wait_us array<long>, wait_id array<long>, "
+                    "wait_kind array<long>")
     result = stream.groupBy(key).applyInPandasWithState(
-        _segment_step(create, close, key, ts, order_col, type_col), out_schema, state_schema,
-        "append", GroupStateTimeout.NoTimeout)
+        _segment_step(create, close, key, order_col, type_col), out_schema, state_schema,
+        "append", GroupStateTimeout.EventTimeTimeout)
     with state_partitions(spark, partitions):
         q = (result.writeStream.format("parquet").option("path", out_dir)
              .option("checkpointLocation", checkpoint_dir).outputMode("append")

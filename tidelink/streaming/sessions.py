@@ -1,9 +1,8 @@
 """Session reconstruction from a message/event log.
 
-Batch form: gap-based sessions computed with one shuffle on
-``(key, time bucket)`` plus a small per-bucket summary (see
-``tidelink.operators.sequence``), so one very active key is still split over
-many tasks.  Stream form: ``session_window`` with a watermark, emitted in
+Batch form: gap-based sessions computed within (key, slice of rows) plus a
+small summary per slice (see ``tidelink.operators.sequence``), so one very
+active key is still split over many tasks.  Stream form: ``session_window`` with a watermark, emitted in
 append mode once a session can no longer grow.
 """
 
@@ -14,43 +13,46 @@ from pyspark.sql import functions as F
 
 from tidelink.session import state_partitions
 
-from tidelink.functions.temporal import instant_to_ntz, interval, ntz_to_instant, tumbling_start
-from tidelink.operators.sequence import DEFAULT_BUCKET, with_running_sum
+from tidelink.functions.temporal import instant_to_ntz, interval, ntz_to_instant
+from tidelink.operators.sequence import SLICE, marker_segments, slice_rows, split_valid, with_running_sum
 
 DEFAULT_GAP = "30 minutes"
-_B = "_bucket"
 
 
 def sessionize(df: DataFrame, key: str, ts: str, gap: str = DEFAULT_GAP, tiebreak=(),
-               bucket: str = DEFAULT_BUCKET) -> DataFrame:
+               slices: int | None = None) -> DataFrame:
     """Add ``session_seq`` (1, 2, ... per key): a new session starts when the
-    time since the key's previous row is at least ``gap``."""
+    time since the key's previous row is at least ``gap``.
+
+    Rows with a null key or time belong to no session; ``split_valid(df, key,
+    ts)[1]`` gives them.
+    """
     g = interval(gap)
     order = [F.col(ts), *[F.col(c) for c in tiebreak]]
-    w = Window.partitionBy(key, _B).orderBy(*order)
-    a = (df.withColumn(_B, tumbling_start(ts, bucket))
-         .withColumn("_lag", F.lag(ts).over(w)))
+    w = Window.partitionBy(key, SLICE).orderBy(*order)
+    valid, _ = split_valid(df, key, ts)
+    a = slice_rows(valid, [key], ts, list(tiebreak), slices).withColumn("_lag", F.lag(ts).over(w))
     a = a.withColumn("_brk", (F.col("_lag").isNotNull() & (F.col(ts) >= F.col("_lag") + g)).cast("long"))
     a = a.withColumn("_lc", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # Same keys as the window: this aggregation needs no further shuffle.
-    summ = a.groupBy(key, _B).agg(F.min(ts).alias("_bmin"), F.max(ts).alias("_bmax"),
-                                  F.max("_lc").alias("_bbrk"))
-    wk = Window.partitionBy(key).orderBy(_B)
+    summ = a.groupBy(key, SLICE).agg(F.min(ts).alias("_bmin"), F.max(ts).alias("_bmax"),
+                                     F.max("_lc").alias("_bbrk"))
+    wk = Window.partitionBy(key).orderBy(SLICE)
     summ = (summ.withColumn("_pmax", F.lag("_bmax").over(wk))
             .withColumn("_first", (F.col("_pmax").isNull()
                                    | (F.col("_bmin") >= F.col("_pmax") + g)).cast("long"))
             .withColumn("_starts", F.col("_first") + F.col("_bbrk"))
             .withColumn("_off", F.coalesce(
                 F.sum("_starts").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    j = a.join(summ.select(key, _B, "_first", "_off"), [key, _B], "inner")
+    j = a.join(summ.select(key, SLICE, "_first", "_off"), [key, SLICE], "inner")
     return (j.withColumn("session_seq", (F.col("_off") + F.col("_first") + F.col("_lc")).cast("long"))
-            .drop(_B, "_lag", "_brk", "_lc", "_first", "_off"))
+            .drop(SLICE, "_lag", "_brk", "_lc", "_first", "_off"))
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap: str = DEFAULT_GAP, tiebreak=(),
-             bucket: str = DEFAULT_BUCKET) -> DataFrame:
+             slices: int | None = None) -> DataFrame:
     """One row per session: start, end (= last event + gap), event count."""
-    s = sessionize(df, key, ts, gap, tiebreak, bucket)
+    s = sessionize(df, key, ts, gap, tiebreak, slices)
     return (s.groupBy(key, "session_seq")
             .agg(F.min(ts).alias("session_start"),
                  (F.max(ts) + interval(gap)).alias("session_end"),
@@ -62,7 +64,8 @@ def session_stream(spark: SparkSession, source_dir: str, file_glob: str, schema,
                    watermark: str = "10 minutes", max_files: int = 100,
                    partitions: int | None = None) -> DataFrame:
     """Sessions from a file stream; runs all available input and returns the
-    closed sessions read back from the sink."""
+    closed sessions read back from the sink.  Sessions that may still grow stay
+    in the state: ``state.open_state(spark, checkpoint_dir)`` reads them."""
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
               .option("maxFilesPerTrigger", max_files).parquet(source_dir))
     stream = stream.withColumn("_t", ntz_to_instant(ts)).withWatermark("_t", watermark)
@@ -78,28 +81,45 @@ def session_stream(spark: SparkSession, source_dir: str, file_glob: str, schema,
     return spark.read.schema(out.schema).parquet(out_dir)
 
 
-def marker_sessions(df: DataFrame, key: str, ts: str, type_col: str, create: str, close: str,
-                    tiebreak=(), bucket: str = DEFAULT_BUCKET) -> DataFrame:
+def link_epochs(df: DataFrame, link: str, ts: str, is_reconnect, tiebreak=(), slices: int | None = None) -> DataFrame:
+    """Add ``epoch``: how many reconnects of its link lie at or before a row (reconnects first at one instant)."""
+    flagged = df.withColumn("_up", F.when(is_reconnect, F.lit(0)).otherwise(F.lit(1)))
+    return with_running_sum(flagged, [link], ts, F.lit(1) - F.col("_up"), out="epoch", inclusive=True,
+                            tiebreak=["_up", *tiebreak], slices=slices).drop("_up")
+
+
+def marker_sessions(df: DataFrame, key: str, ts: str, type_col: str, create: str, ends: dict[str, str],
+                    link: str | None = None, reconnect: str | None = None, tiebreak=(),
+                    slices: int | None = None) -> DataFrame:
     """Sessions delimited by explicit markers: a ``create`` opens one, data
-    extends it, a ``close`` (or another ``create``) ends it.
+    extends it, a marker of ``ends`` (type -> reason) or another ``create`` ends it.
 
-    Rows are cut into segments by the markers strictly before them (the
-    skew-safe running count); a segment whose previous marker is ``create``
-    is a session.  Per segment only fixed-width aggregates are kept, and the
-    opening marker's time comes from a join on the unique (key, segment).
+    With ``link`` and ``reconnect``, a row of that type ends all open sessions
+    of its link: rows are numbered by the reconnects of their link so far, and
+    sessions are cut within (key, epoch).  Rows with a null key, link, time or
+    type belong to no session (``split_valid`` gives them).
     """
-    is_marker = F.col(type_col).isin(create, close)
-    d = with_running_sum(df.withColumn("_m", is_marker), [key], ts, "_m", out="segment",
-                         inclusive=False, tiebreak=list(tiebreak), bucket=bucket)
-    code = F.when(F.col(type_col) == F.lit(create), 1).when(F.col(type_col) == F.lit(close), 2)
-    seg = d.groupBy(key, "segment").agg(
-        F.sum(F.when(F.col("_m"), 0).otherwise(1)).cast("long").alias("n_data"),
-        F.max(code).alias("_end_code"),
-        F.max(F.when(F.col("_m"), F.col(ts))).alias("_end_ts"))
-    opening = seg.select(key, (F.col("segment") + 1).alias("segment"),
-                         F.col("_end_code").alias("_open_code"), F.col("_end_ts").alias("session_start"))
-    s = seg.join(opening, [key, "segment"], "inner").filter(F.col("_open_code") == 1)
-    reason = (F.when(F.col("_end_code") == 2, F.lit("closed"))
-              .when(F.col("_end_code") == 1, F.lit("recreated")).otherwise(F.lit("open")))
-    return s.select(key, "segment", "session_start", F.col("_end_ts").alias("session_end"),
-                    "n_data", reason.alias("end_reason"))
+    needed = [key, ts, type_col, *([link] if link else [])]
+    rows, _ = split_valid(df, *needed)
+    keys = [key]
+    times = None
+    if link:
+        rows = link_epochs(rows, link, ts, F.col(type_col) == F.lit(reconnect), tiebreak, slices)
+        times = rows.filter(F.col(type_col) == F.lit(reconnect)).select(
+            link, (F.col("epoch") - 1).alias("epoch"), F.col(ts).alias("_cut"))
+        rows = rows.filter(F.col(type_col) != F.lit(reconnect))
+        keys = [key, link, "epoch"]
+    reasons = {1: "recreated", **{i: r for i, r in enumerate(ends.values(), 2)}}
+    code = F.when(F.col(type_col) == F.lit(create), 1)
+    for i, name in enumerate(ends, 2):
+        code = code.when(F.col(type_col) == F.lit(name), i)
+    seg = marker_segments(rows, keys, ts, code, list(tiebreak), slices).filter(F.col("open_code") == 1)
+    reason = F.coalesce(*[F.when(F.col("end_code") == i, F.lit(r)) for i, r in reasons.items()])
+    if times is None:
+        return seg.select(key, "segment", F.col("open_ts").alias("session_start"), F.col("end_ts").alias("session_end"),
+                          "n_data", F.coalesce(reason, F.lit("open")).alias("end_reason"))
+    seg = seg.join(times, [link, "epoch"], "left")
+    cut = F.when(F.col("_cut").isNotNull(), F.lit("reconnect")).otherwise(F.lit("open"))
+    return seg.select(key, "epoch", "segment", F.col("open_ts").alias("session_start"),
+                      F.coalesce("end_ts", "_cut").alias("session_end"), "n_data",
+                      F.coalesce(reason, cut).alias("end_reason"))
