@@ -195,7 +195,12 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
 
 
 def quality_filter(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``, all columns kept."""
+    """The rows of ``docs`` whose text scores at least ``threshold``, all columns kept.
+
+    A model that saw fewer than two classes tells nothing apart and rejects no row.
+    """
+    if "constant" in model:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

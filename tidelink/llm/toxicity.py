@@ -229,9 +229,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def toxicity_filter(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``, all columns kept."""
+    """The rows of ``docs`` whose text scores below ``threshold``, all columns kept.
+
+    A model that saw fewer than two classes tells nothing apart and rejects no row.
+    """
     if model.trees is None:
-        return docs if model.constant < threshold else docs.filter(F.lit(False))
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model.lexicon)
     held: list[Featurizer] = []
 
