@@ -329,16 +329,20 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return with_words.select(*out).unionByName(without.select(*out))
 
 
-def keep_one_per_component(docs: DataFrame, **options) -> DataFrame:
+def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` with one row left of every component, all columns kept.
 
-    The row with the component's smallest id stays (of rows repeating that id,
-    one); rows without words and rows with a null id stay.
+    The row with the component's smallest id stays; of rows repeating that id
+    and text, one.  Rows without words and rows with a null id stay.
     """
-    spark_docs = docs.withColumn("_row", F.struct(*(f"`{c}`" for c in docs.columns)))
-    found = jaccard_components(docs, **options)
-    losers = (found.filter("n_shingles > 0 and doc_id is not null and doc_id <> component_id")
-              .select(F.col("doc_id").alias("_gone")).distinct())
-    ids = options.get("id_col", "doc_id")
-    kept = spark_docs.join(losers, F.col(ids) == F.col("_gone"), "left_anti")
-    return kept.select("_row.*")
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
+    # Only ids that lose, or stand in several rows, take part in the join with the documents.
+    fate = (found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id")
+            .agg(F.min((F.col("doc_id") != F.col("component_id")).cast("int")).alias("gone"), F.count(F.lit(1)).alias("n"))
+            .filter("gone = 1 or n > 1")
+            .select(F.col("doc_id").alias("_id"), (F.col("gone") == 1).alias("_gone")))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    met = rows.join(fate, F.col("_doc") == F.col("_id"), "left")
+    single = met.filter(F.col("_id").isNull())
+    repeated = met.filter(~F.col("_gone")).dropDuplicates(["_doc", "_text"])
+    return single.unionByName(repeated).select("_row.*")
