@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", *, id_col:
     known = (labels.select(F.col(id_col).alias("doc"), F.col(label).cast("int").alias("label"))
              .filter(F.col("label").isin(0, 1) & F.col("doc").isNotNull() & ~in_fold("doc", folds, held_out))
              .groupBy("doc").agg(F.max("label").alias("label")))
-    chosen = bounded_sample(known, "label", sample_rows, "doc")
+    # About 2 * sample_rows rows, whatever the input: small enough to send to every task.
+    chosen = F.broadcast(bounded_sample(known, "label", sample_rows, "doc"))
     texts = docs.select(F.col(id_col).alias("doc"), text_bytes(text_col).alias("text"))
     rows = (texts.join(chosen, "doc")
             .withColumn("tune", F.pmod(F.xxhash64(F.lit("tune"), "doc"), F.lit(5)) == 0)
