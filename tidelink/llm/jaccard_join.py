@@ -36,6 +36,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -339,10 +340,21 @@ def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     # Only ids that lose, or stand in several rows, take part in the join with the documents.
     fate = (found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id")
             .agg(F.min((F.col("doc_id") != F.col("component_id")).cast("int")).alias("gone"), F.count(F.lit(1)).alias("n"))
-            .filter("gone = 1 or n > 1")
-            .select(F.col("doc_id").alias("_id"), (F.col("gone") == 1).alias("_gone")))
+            .filter("gone = 1 or n > 1").select("doc_id", (F.col("gone") == 1).alias("_gone")))
+    fate = materialise(fate, "jaccard-fate")
+    table = docs.sparkSession.sparkContext.broadcast(_bitmap(fate))
+
+    @F.pandas_udf("boolean")
+    def listed(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy(dtype=np.int64)
+        words = np.frombuffer(table.value, dtype=np.uint32)
+        return pd.Series(((words[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1)).astype(bool))
+
+    # Most rows are in no list: the bitmap lets them past the join.
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    met = rows.join(fate, F.col("_doc") == F.col("_id"), "left")
-    single = met.filter(F.col("_id").isNull())
-    repeated = met.filter(~F.col("_gone")).dropDuplicates(["_doc", "_text"])
+    marked = rows.withColumn("_listed", listed(F.pmod(F.xxhash64("_doc"), F.lit(BITMAP_BITS))))
+    ids = fate.withColumnRenamed("doc_id", "_id")
+    met = marked.filter("_listed").join(ids, F.col("_doc") == F.col("_id"), "left")
+    single = marked.filter("not _listed").select("_row").unionByName(met.filter(F.col("_id").isNull()).select("_row"))
+    repeated = met.filter(~F.col("_gone")).dropDuplicates(["_doc", "_text"]).select("_row")
     return single.unionByName(repeated).select("_row.*")
