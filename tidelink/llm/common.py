@@ -46,7 +46,9 @@ def bounded_sample(df: DataFrame, group: str, max_rows: int, id_col: str) -> Dat
     ids alone, not on partitioning.  The groups' counts go through a join that
     Spark broadcasts where they are small, as with labels and languages.
     """
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_group_rows"))
+    # Written, so that the planner knows its size before it plans the join: a small table
+    # is broadcast and the rows are filtered where they lie, not shuffled by group first.
+    counts = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("_group_rows")), "sample-counts")
     unit = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     keep = unit * F.col("_group_rows") < F.lit(float(max_rows))
     return df.join(counts, group).filter(keep).drop("_group_rows")
