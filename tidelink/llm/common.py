@@ -54,11 +54,25 @@ def bounded_sample(df: DataFrame, group: str, max_rows: int, id_col: str) -> Dat
     return df.join(counts, group).filter(keep).drop("_group_rows")
 
 
+#: Rows of a batch that a task turns into Python objects at a time.
+PART_ROWS = 256
+
+
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``PART_ROWS`` rows, so that a task holds a batch's
+    texts once, in Arrow, and only one slice's Python objects and results beside them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def map_rows(df: DataFrame, batch_fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch (no state between batches)."""
+    """``mapInArrow`` with a function of rows in slices (no state between them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             yield batch_fn(batch)
 
     return df.mapInArrow(run, schema)

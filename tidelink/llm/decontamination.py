@@ -27,11 +27,12 @@ import re
 from collections.abc import Iterable
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelink.llm.common import in_parts
+
 ERROR_RATE = 0.05
 MIN_ITEM = 30
 MAX_BENCH_BYTES = 8 << 20
@@ -182,7 +183,7 @@ def _match_slice(rows: DataFrame, items: list[tuple[int, str]], schema: str, err
     def run(batches):
         matcher = Matcher(shared.value, error_rate)
         budget = {item_id: int(len(norm) * error_rate) for item_id, norm, _, _ in matcher.items}
-        for batch in batches:
+        for batch in in_parts(batches):
             at, items_, dist, most, start, end = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 for item_id, d, a, b in matcher.find(text):
@@ -212,10 +213,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
 def _leak_test(shared, error_rate: float):
     built: list[Matcher] = []
 
-    @F.pandas_udf("boolean")
-    def leaked(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def leaked(texts: pa.Array) -> pa.Array:
         if not built:
             built.append(Matcher(shared.value, error_rate))
-        return pd.Series([bool(built[0].find(t)) for t in texts], dtype="bool")
+        return pa.array([bool(built[0].find(t.as_py())) for t in texts], pa.bool_())
 
     return leaked

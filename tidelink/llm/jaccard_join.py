@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelink.llm.common import map_rows, materialise, text_bytes
+from tidelink.llm.common import in_parts, map_rows, materialise, text_bytes
 from tidelink.llm.connected import component_roots
 
 WORDS = 3                # shingle length
@@ -50,7 +50,7 @@ NUM, DEN = 90, 100       # similarity of a link, as a fraction
 BAND_STEPS = 3           # a band's sizes span this many factors 1/threshold
 SMALL_DISTANCE = 8       # up to here a first-level part may hold one difference (n2 = 3, k2 = 1)
 BITMAP_BITS = 1 << 24    # fixed size of the row prefilter below (2 MB)
-REMEMBER = 400_000       # word hashes kept by a task
+REMEMBER = 200_000       # word hashes kept by a task
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -151,7 +151,7 @@ def _sign_docs(docs: DataFrame, scheme: PartEnum, n: int) -> DataFrame:
 
     def run(batches):
         known, signed = WordHashes(), set()
-        for batch in batches:
+        for batch in in_parts(batches):
             sizes, keys, sigs = [], [], []
             for text in batch.column(1).to_pylist():
                 items = shingle_set(text, known, n)
@@ -210,7 +210,7 @@ def _sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in in_parts(batches):
             bit = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             member, hub = (((np.frombuffer(t.value, dtype=np.uint32)[bit // 32] >> (bit % 32).astype(np.uint32))
                             & np.uint32(1)).astype(bool) for t in tables)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from tidelink.llm.common import materialise, text_bytes
+from tidelink.llm.common import in_parts, materialise, text_bytes
 
 CAPACITY = 2048
 END_ID = 0
@@ -109,7 +109,7 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         known = word_ids(tokenizer)
-        for batch in batches:
+        for batch in in_parts(batches):
             at, piece, ids = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 tokens = b"".join(map(known.__getitem__, known.words_of(text))) + end

@@ -46,7 +46,7 @@ N_FEATURES = (1 << BITS) + 4 * N_LEVELS
 def indicators(text: bytes) -> np.ndarray:
     """Sorted distinct feature numbers of one text."""
     if not text:
-        return np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.int32)
     seen = np.zeros(N_FEATURES, dtype=bool)
     raw = np.frombuffer(text, dtype=np.uint8)
     code = np.zeros(len(raw), dtype=np.uint32)
@@ -62,7 +62,7 @@ def indicators(text: bytes) -> np.ndarray:
         same_next = sum(map(bytes.__eq__, items, items[1:])) / max(1, n - 1)
         for j, share in enumerate((same_next, len(set(items)) / max(1, n))):
             seen[base + (2 * k + j) * N_LEVELS + int(np.searchsorted(LEVELS, share, side="right"))] = True
-    return np.flatnonzero(seen)
+    return np.flatnonzero(seen).astype(np.int32)
 
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -204,8 +204,8 @@ def quality_filter(docs: DataFrame, model: dict, threshold: float = 0.3) -> Data
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def quality(texts: pd.Series) -> pd.Series:
-        return pd.Series([score_text(shared.value, bytes(t)) for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def quality(texts: pa.Array) -> pa.Array:
+        return pa.array([score_text(shared.value, t.as_py()) for t in texts], pa.float64())
 
     return docs.filter(quality(text_bytes("text")) >= F.lit(threshold))

@@ -25,7 +25,6 @@ import re
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -33,7 +32,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelink.llm.common import bounded_sample, in_fold, map_rows, materialise
+from tidelink.llm.common import bounded_sample, in_fold, in_parts, map_rows, materialise
 
 SAMPLE_ROWS = 3_000
 LEXICON_SIZE = 600
@@ -153,7 +152,7 @@ def featurize(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
 
     def run(batches):
         feature = Featurizer(shared.value)
-        for batch in batches:
+        for batch in in_parts(batches):
             values = [feature(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), *batch.columns[1:]],
                                              names=["features", *(f.name for f in rest)])
@@ -239,11 +238,11 @@ def toxicity_filter(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model.lexicon)
     held: list[Featurizer] = []
 
-    @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def features(texts: pa.Array) -> pa.Array:
         if not held:
             held.append(Featurizer(shared.value))
-        return pd.Series([held[0](t) for t in texts])
+        return pa.array([held[0](t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     featured = docs.select(F.struct("*").alias("_row"), features(F.col("text").cast("string")).alias("features"))
     kept = model.score_features(featured).filter(F.col("score") < F.lit(threshold))
