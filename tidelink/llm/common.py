@@ -26,6 +26,20 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string").cast("binary"), F.lit(b""))
 
 
+#: Bytes of an Arrow batch; Spark's default of 64 MB is held, and copied as it grows, by every task.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have at most ``BATCH_BYTES`` (or one row), where the cluster sets no bound itself.
+
+    The size of batches never changes a result.
+    """
+    if not spark.sparkContext.getConf().contains(_BATCH_KEY):
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
@@ -33,6 +47,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     the same rows from storage that every executor sees.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = shared_dir(spark, "llm", name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -79,4 +94,5 @@ def map_rows(df: DataFrame, batch_fn: Callable[[pa.RecordBatch], pa.RecordBatch]
 
 
 def read_docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
