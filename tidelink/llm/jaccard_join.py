@@ -275,18 +275,21 @@ def _compare(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, prefixes: bool
 def _remaining_pairs(compared: DataFrame, scheme: PartEnum) -> DataFrame:
     """Pairs of one hub's members that may link although not both link to the hub.
 
+    An element of a hub's difference is named by one hash of both: a mix-up of
+    two names only adds a pair, and pairs are compared exactly afterwards.
     At a common element at places i, j of the two ordered differences, at most
     min(d_x - i, d_y - j) elements are common from there on; a link needs
     (d_x + d_y - k) / 2 in all.
     """
-    spread = compared.select("x", "p", "linked", "n_half", "n_x", "d_x", F.posexplode("elements").alias("pos", "e"))
+    spread = (compared.select("x", "p", "linked", "n_half", "n_x", "d_x", F.posexplode("elements").alias("pos", "e"))
+              .withColumn("at", F.xxhash64("p", "e")))
     own = spread.filter(~F.col("linked")).select(
-        "x", "p", "e", "n_x", F.col("d_x"), F.col("pos").alias("i"), (F.col("pos") < F.col("n_half")).alias("in_half"))
+        "x", "at", "n_x", "d_x", F.col("pos").alias("i"), (F.col("pos") < F.col("n_half")).alias("in_half"))
     other = spread.filter(F.col("pos") < F.col("n_half")).select(
-        F.col("x").alias("y"), "p", "e", F.col("n_x").alias("n_y"), F.col("d_x").alias("d_y"), F.col("pos").alias("j"),
+        F.col("x").alias("y"), "at", F.col("n_x").alias("n_y"), F.col("d_x").alias("d_y"), F.col("pos").alias("j"),
         (~F.col("linked")).alias("y_apart"))
     within = F.expr(f"((n_x + n_y) * {scheme.den - scheme.num}) div {scheme.den + scheme.num}")
-    met = own.join(other, ["p", "e"]).filter(
+    met = own.join(other, "at").filter(
         F.when(F.col("y_apart"), F.col("in_half") & (F.col("x") < F.col("y"))).otherwise(F.col("x") != F.col("y"))
         & (2 * F.least(F.col("d_x") - F.col("i"), F.col("d_y") - F.col("j")) >= F.col("d_x") + F.col("d_y") - within))
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("p")).distinct()
