@@ -23,6 +23,10 @@ from tidelink.llm import decontamination, jaccard_join, packing, quality, toxici
 from tidelink.llm.common import materialise, read_docs
 
 
+#: Bytes of token ids a worker keeps while packing; by then it has run the other stages' models too.
+PACKING_REMEMBER = 32 << 20
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_filter(docs, quality.train(docs, read_docs(spark, sf_dir, "labels")))
 
@@ -40,7 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, remember=PACKING_REMEMBER)
 
 
 STAGES = [

@@ -40,7 +40,7 @@ END_ID = 0
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 TARGET_PIECES = 20_000
 MAX_ROUNDS = 4
-REMEMBER_BYTES = 192 << 20    # token ids of words kept by a worker
+REMEMBER_BYTES = 192 << 20    # token ids of words kept by a worker, unless it is told another bound
 
 
 class WordIds(dict):
@@ -54,8 +54,9 @@ class WordIds(dict):
 
     CLOSING = b".,!?;:|#$%&*"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER_BYTES):
         super().__init__()
+        self.remember = remember
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = None
@@ -80,7 +81,7 @@ class WordIds(dict):
         else:
             found = self._bytes(self.letters, plain.lower())
         self.used += 160 + len(word) + len(found)
-        if self.used > REMEMBER_BYTES:
+        if self.used > self.remember:
             self.clear()
             self.used = 0
         self[word] = found
@@ -91,24 +92,27 @@ class WordIds(dict):
         return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-#: Word ids by tokenizer file, kept by a Python worker from task to task.
-_KNOWN: dict[str, WordIds] = {}
+#: Word ids by tokenizer file and bound, kept by a Python worker from task to task.
+_KNOWN: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _KNOWN:
-        _KNOWN[path] = WordIds(path)
-    return _KNOWN[path]
+def word_ids(path: str, remember: int = REMEMBER_BYTES) -> WordIds:
+    if (path, remember) not in _KNOWN:
+        _KNOWN[path, remember] = WordIds(path, remember)
+    return _KNOWN[path, remember]
 
 
 def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-                 end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, piece, start, length, ids`` (ids: little-endian uint32 bytes) for every piece."""
+                 end_id: int = END_ID, tokenizer: str = TOKENIZER, remember: int = REMEMBER_BYTES) -> DataFrame:
+    """``doc_id, piece, start, length, ids`` (ids: little-endian uint32 bytes) for every piece.
+
+    ``remember`` bounds the bytes of token ids that a worker keeps; it changes no result.
+    """
     end = np.asarray([end_id], dtype="<u4").tobytes()
     width = 4 * capacity
 
     def run(batches):
-        known = word_ids(tokenizer)
+        known = word_ids(tokenizer, remember)
         for batch in in_parts(batches):
             at, piece, ids = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
