@@ -6,7 +6,8 @@ the last keep the columns of ``documents``.
 
 * quality - rows that the quality classifier scores below its threshold go;
 * toxicity - rows that the toxicity model scores at or over its threshold go;
-* near_duplicates - one document of each component of the Jaccard join stays;
+* near_duplicates - one document of each component of the Jaccard join (on
+  five-word shingles, linked from 0.8) stays;
 * decontamination - documents that hold a benchmark item go;
 * packing - the rest is packed into sequences, one row per piece.
 
@@ -25,6 +26,8 @@ from tidelink.llm.common import materialise, read_docs
 
 #: Bytes of token ids a worker keeps while packing; by then it has run the other stages' models too.
 PACKING_REMEMBER = 32 << 20
+#: Near duplicates: words of a shingle, and the similarity of a link as a fraction (op7's own query has 3 and 0.9).
+NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +39,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one_per_component(docs)
+    return jaccard_join.keep_one_per_component(docs, n=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
