@@ -7,10 +7,11 @@ are equal form an equivalence class.  A class is valid if it is frequent
 (in at least ``SUPPORT`` of the host's pages, and the host has ``MIN_PAGES``)
 and has several tokens; valid classes are ordered by mean place and nested by
 span to the host's template.  In a page, text between template tokens fills
-slots: the slots' text is kept, constant text of the template is not.  Of the
-slots only those inside the article count: elements that HTML, an ARIA role or
-a class or id name marks as menu, header, footer, sidebar, notice, advert,
-form, comment, script or style are left out.
+slots: the slots' text is kept, constant text of the template is not.  An
+article or main element is a slot as a whole: its text is kept even where all
+pages of the host share it (copies of one article, repeated headings).
+Elements that HTML, an ARIA role or a class or id name marks as menu, header,
+footer, sidebar, notice, advert, form, comment, script or style are left out.
 
 Occurrence vectors are never gathered: a page adds (count, place, xor of a
 hash of page and count) for each token, which Spark sums per (host, token) -
@@ -20,7 +21,8 @@ page has) meet their pages in one join; the pages' side is only shuffled where
 the templates are too large to broadcast by Spark's own size check.
 
 Defined results: null html is an empty page; a page without article text gives
-an empty text and 0; repeated rows are extracted each; hosts with few pages
+an empty text and 0; a page without article or main element that holds nothing
+but constant text is judged by its elements alone; repeated rows are extracted each; hosts with few pages
 have no template and are judged by their elements alone; a null url is host
 ''; broken markup is read as far as it goes; an empty table gives an empty
 result; extra columns are ignored.
@@ -175,8 +177,10 @@ def read_page(source: str | None) -> list[Node]:
 
 
 def main_text(nodes: list[Node], template: frozenset[int]) -> str:
-    """Slot text of the article: blocks joined by a blank line."""
+    """Text of the article, or of the template's slots in a page without one: blocks joined by a blank line."""
     level = max((x.inside for x in nodes if x.kept and x.text and not x.text.isspace()), default=0)
+    if level:  # the element is the slot
+        template = frozenset()
     blocks: list[str] = []
     held: list[str] = []
 
@@ -192,6 +196,8 @@ def main_text(nodes: list[Node], template: frozenset[int]) -> str:
         if x.text is not None and x.kept and x.inside == level and (x.token not in template or x.text == " "):
             held.append(x.text)
     flush()
+    if template and not blocks:  # no slot is filled: the page tells nothing apart
+        return main_text(nodes, frozenset())
     return "\n\n".join(blocks)
 
 
