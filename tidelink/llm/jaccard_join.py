@@ -24,8 +24,12 @@ null text, has none).  Two sets link when ``den * |A & B| >= num * |A | B|``
    link to p they are in one component already.  Otherwise a link needs a
    common element within short prefixes of dx and dy (elements that the hub
    lacks come first), which an equi-join finds; these pairs are compared too.
-   No link between different sets is lost, and no group is paired with itself.
+   No component loses a link, and no group is paired with itself.
 5. *Components* of the links by star contraction; classes carry their members.
+6. *Link counts.*  Two members that both link to p are compared by their whole
+   differences, in blocks of about ``BLOCK`` members, of which every two meet
+   in one task; a task gives one count for each member, no pairs.  A pair that
+   links to several hubs in common counts at the smallest of them.
 
 Defined results: repeated rows are rows of one class; a text without words has
 ``n_shingles`` 0 and only itself as component; a null ``doc_id`` takes part but
@@ -51,6 +55,7 @@ BAND_STEPS = 3           # a band's sizes span this many factors 1/threshold
 SMALL_DISTANCE = 8       # up to here a first-level part may hold one difference (n2 = 3, k2 = 1)
 BITMAP_BITS = 1 << 24    # fixed size of the row prefilter below (2 MB)
 REMEMBER = 200_000       # word hashes kept by a task
+BLOCK = 512              # members of one hub in a block of the link counts, about
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -140,6 +145,10 @@ def _unpacked(data: pa.BinaryScalar) -> np.ndarray:
     return wide.reshape(-1).view(np.uint64)
 
 
+#: Values of the six bytes of a packed element.
+_PLACES = np.int64(1) << (8 * np.arange(6, dtype=np.int64))
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *(len(a) for a in arrays)]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64)
@@ -231,8 +240,8 @@ def _compare(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, prefixes: bool
 
     Without ``prefixes``: ``x, p, linked``.  With them also ``elements`` (the
     prefix of x's difference to the hub), ``n_half`` (how many of them bind
-    partners that do not link to the hub), ``n_x`` (size of x) and ``d_x``
-    (size of the whole difference).
+    partners that do not link to the hub), ``n_x`` (size of x), ``d_x`` (size
+    of the whole difference) and ``diff`` (the difference, if x links).
     """
     left = (sets.filter("as_member") if prefixes else sets).select(F.col("key").alias("x"), F.col("items").alias("xi"))
     right = (sets.filter("as_hub") if prefixes else sets).select(F.col("key").alias("p"), F.col("items").alias("pi"))
@@ -241,7 +250,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, prefixes: bool
     slack = (den - num) / (den + num)
 
     def batch_fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        linked, elements, halves, own, apart = [], [], [], [], []
+        linked, elements, halves, own, apart, diffs = [], [], [], [], [], []
         for xi, pi in zip(batch.column(2), batch.column(3)):
             a, p = _unpacked(xi), _unpacked(pi)
             extra = np.setdiff1d(a, p, assume_unique=True)
@@ -257,18 +266,22 @@ def _compare(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, prefixes: bool
             half = min(size, max(0, size - max(need, 1) + 1))
             # Whatever the partner, differences overlap in at least size - k elements.
             full = half if link else max(half, min(size, scheme.distance(len(a) + len(a) * den // num) + 1))
-            elements.append(_longs(np.concatenate([extra, missing])[:full]))
+            diff = np.concatenate([extra, missing])
+            elements.append(_longs(diff[:full]))
+            diffs.append(_packed(diff) if link else None)
             halves.append(half)
             own.append(len(a))
             apart.append(size)
         columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())]
         names = ["x", "p", "linked"]
         if prefixes:
-            columns += [_lists(elements), *(pa.array(v, pa.int32()) for v in (halves, own, apart))]
-            names += ["elements", "n_half", "n_x", "d_x"]
+            columns += [_lists(elements), *(pa.array(v, pa.int32()) for v in (halves, own, apart)), pa.array(diffs, pa.binary())]
+            names += ["elements", "n_half", "n_x", "d_x", "diff"]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "x long, p long, linked boolean" + (", elements array<long>, n_half int, n_x int, d_x int" if prefixes else "")
+    schema = "x long, p long, linked boolean"
+    if prefixes:
+        schema += ", elements array<long>, n_half int, n_x int, d_x int, diff binary"
     return map_rows(both, batch_fn, schema)
 
 
@@ -292,12 +305,79 @@ def _remaining_pairs(compared: DataFrame, scheme: PartEnum) -> DataFrame:
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("p")).distinct()
 
 
+def _rows_by_value(values: np.ndarray, rows: np.ndarray) -> dict[int, np.ndarray]:
+    order = np.argsort(values, kind="stable")
+    found, starts = np.unique(values[order], return_index=True)
+    return dict(zip(found.tolist(), np.split(rows[order], starts[1:])))
+
+
+def _flat(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All values, and the number of the array that each stands in."""
+    sizes = [len(a) for a in arrays]
+    return (np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64)), np.repeat(np.arange(len(arrays)), sizes)
+
+
+def _block_counts(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Links between the two blocks of one hub (or within one, if they are the same): ``key, n``."""
+    hub, low, high = int(pdf["p"].iloc[0]), int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
+    sides = [pdf[pdf["block"] == low], pdf[pdf["block"] == high]]
+    keys = [s["x"].to_numpy(dtype=np.int64) for s in sides]
+    sizes = [s["n_x"].to_numpy(dtype=np.int64) for s in sides]
+    apart = [s["d_x"].to_numpy(dtype=np.int64) for s in sides]
+    hubs = [[np.asarray(h, dtype=np.int64) for h in s["hubs"]] for s in sides]
+    common = np.zeros((len(keys[0]), len(keys[1])), dtype=np.int64)
+    left, right = (_rows_by_value(*_flat([np.frombuffer(d, np.uint8).reshape(-1, 6) @ _PLACES for d in s["diff"]]))
+                   for s in sides)
+    for value in left.keys() & right.keys():
+        common[np.ix_(left[value], right[value])] += 1
+    distance = apart[0][:, None] + apart[1][None, :] - 2 * common
+    total = sizes[0][:, None] + sizes[1][None, :]
+    links = den * (total - distance) >= num * (total + distance)
+    # Counted elsewhere: pairs with a smaller hub in common, and links of a member to a hub.
+    left, right = (_rows_by_value(*_flat([h[h < hub] for h in of])) for of in hubs)
+    for value in left.keys() & right.keys():
+        links[np.ix_(left[value], right[value])] = False
+    for turned, mine, other in ((False, hubs[0], keys[1]), (True, hubs[1], keys[0])):
+        place = {k: i for i, k in enumerate(other.tolist())}
+        for i, of in enumerate(mine):
+            for j in (place[h] for h in of.tolist() if h in place):
+                links[(j, i) if turned else (i, j)] = False
+    if low == high:
+        np.fill_diagonal(links, False)
+        return pd.DataFrame({"key": keys[0], "n": links.sum(axis=1)})
+    return pd.DataFrame({"key": np.concatenate(keys), "n": np.concatenate([links.sum(axis=1), links.sum(axis=0)])})
+
+
+def _link_counts(compared: DataFrame, links: DataFrame, scheme: PartEnum) -> DataFrame:
+    """``key, n_links``: the number of other classes that a class links with."""
+    num, den = scheme.num, scheme.den
+    own = compared.filter("linked").select("x", "p", "n_x", "d_x", "diff").dropDuplicates(["x", "p"])
+    # As many hubs at most as a text has signatures.
+    hubs = materialise(own.groupBy("x").agg(F.sort_array(F.collect_set("p")).alias("hubs")), "jaccard-hubs-of")
+    blocks = own.groupBy("p").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(
+        "p", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("n_blocks"))
+    dealt = own.join(blocks, "p").join(hubs, "x").withColumn(
+        "block", F.pmod(F.xxhash64(F.lit("block"), "x"), F.col("n_blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
+        "p", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "x", "n_x", "d_x",
+        "diff", "hubs")
+    inside = met.groupBy("p", "low", "high").applyInPandas(lambda pdf: _block_counts(pdf, num, den), "key long, n long")
+    # A remaining pair that links to a hub in common is counted there.
+    direct = own.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"), F.lit(True).alias("direct")).distinct()
+    named = (links.join(direct, ["a", "b"], "left")
+             .join(hubs.select(F.col("x").alias("a"), F.col("hubs").alias("of_a")), "a", "left")
+             .join(hubs.select(F.col("x").alias("b"), F.col("hubs").alias("of_b")), "b", "left")
+             .filter(F.coalesce("direct", ~F.arrays_overlap("of_a", "of_b"), F.lit(True))))
+    single = named.select(F.explode(F.array("a", "b")).alias("key"), F.lit(1).cast("long").alias("n"))
+    return single.unionByName(inside).groupBy("key").agg(F.sum("n").alias("n_links"))
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS,
-                       num: int = NUM, den: int = DEN) -> DataFrame:
+                       num: int = NUM, den: int = DEN, counts: bool = True) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs``.
 
-    ``n_links`` counts the other classes (different sets) that the row's set
-    was found to link with directly (hub links and remaining links).
+    ``n_links`` counts all other classes (different sets) that the row's set
+    links with; without ``counts`` the column is left out, and its work saved.
     """
     scheme = PartEnum(num, den)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
@@ -317,16 +397,19 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                         .unionByName(rest.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")))
                         .distinct(), "jaccard-links")
     roots = component_roots(links, "a", "b").select(F.col("node").alias("key"), "root")
-    degree = (links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key")))
-              .groupBy("key").agg(F.count(F.lit(1)).alias("n_links")))
-    placed = (classes.join(roots, "key", "left").join(degree, "key", "left")
-              .withColumn("root", F.coalesce("root", "key")))
+    placed = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = materialise(placed.join(names, "root").select("key", "component_id", "n_links"), "jaccard-classes")
+    of_class = placed.join(names, "root").select("key", "component_id")
+    if counts:
+        of_class = of_class.join(_link_counts(compared, links, scheme), "key", "left")
+    of_class = materialise(of_class, "jaccard-classes")
     plain = signed.select("doc_id", "n_shingles", "key")
     with_words = plain.filter("key is not null").join(of_class, "key")
-    without = plain.filter("key is null").withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0))
-    out = ("doc_id", "n_shingles", "component_id", F.coalesce(F.col("n_links"), F.lit(0)).cast("long").alias("n_links"))
+    without = plain.filter("key is null").withColumn("component_id", F.col("doc_id"))
+    out = ["doc_id", "n_shingles", "component_id"]
+    if counts:
+        without = without.withColumn("n_links", F.lit(0))
+        out.append(F.coalesce(F.col("n_links"), F.lit(0)).cast("long").alias("n_links"))
     return with_words.select(*out).unionByName(without.select(*out))
 
 
@@ -336,7 +419,7 @@ def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     The row with the component's smallest id stays; of rows repeating that id
     and text, one.  Rows without words and rows with a null id stay.
     """
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col, counts=False, **options)
     # Only ids that lose, or stand in several rows, take part in the join with the documents.
     fate = (found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id")
             .agg(F.min((F.col("doc_id") != F.col("component_id")).cast("int")).alias("gone"), F.count(F.lit(1)).alias("n"))
