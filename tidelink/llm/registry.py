@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelink.llm import (decontamination, html_extract, jaccard_join, language_id, nearest, packing, quality, toxicity,
-                          url_templates, web_archive)
+from tidelink.llm import (decontamination, html_extract, jaccard_join, language_id, nearest, packing, prefix_trie, quality,
+                          simhash, toxicity, url_templates, web_archive, whitening)
 from tidelink.llm.common import in_fold, read_docs
 
 
@@ -59,6 +59,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_docs(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_docs(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_templates": op1_url_templates,
     "op2_html_extract": op2_html_extract,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_web_archive": op8_web_archive,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
+    "op13_simhash": op13_simhash,
 }
 #: 160 bits of a SHA-1 in hexadecimal, five at a time, as base32 digits.
 _BASE32 = """list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((
@@ -85,4 +100,5 @@ ORACLE_SQL: dict[str, str] = {
     SELECT page_id, payload_bytes, payload_digest,
         CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
         CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM m""",
+    "op11_prefix_trie": prefix_trie.oracle_sql(),
 }
