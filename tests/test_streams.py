@@ -164,7 +164,7 @@ def test_first_response_stream_matches_batch_across_batches(spark, sf_dir):
     last = ev.filter("event_type in ('view', 'purchase')").agg(F.max("ts")).first()[0]
     settled = {r.event_id for r in ev.filter("event_type = 'view'").collect() if r.ts + timedelta(minutes=71) < last}
     assert settled <= {r[0] for r in g}
-    waiting = state.open_state(spark, f"{out}/c").count()
+    waiting = sum(state.open_state(spark, f"{out}/c", variable=v).count() for v in ("waiting", "pending"))
     assert waiting >= 1
 
 
@@ -226,7 +226,7 @@ def test_early_data_stream_matches_batch_across_batches(spark, sf_dir):
     closed = batch.filter((F.col("end_ts") < F.lit(last)) if "end_ts" in batch.columns else F.col("closing_marker").isNotNull())
     g, b = [tuple(r) for r in got.select(*cols).collect()], {tuple(r) for r in closed.select(*cols).collect()}
     assert len(g) == len(set(g)) and set(g) <= b and len(b) - len(g) <= 5
-    assert state.open_state(spark, f"{out}/c").count() >= 1
+    assert state.open_state(spark, f"{out}/c", variable="waiting").count() >= 1
 
 
 def test_early_data_marker_file_before_data_file(spark):
@@ -246,3 +246,97 @@ def test_malformed_log_lines_do_not_fail(spark):
     assert rows[0].log_ts is None and rows[0].level is None
     assert rows[1].log_ts is None and rows[1].level == "INFO"  # impossible date -> null
     assert rows[2].log_ts is None  # level 'b' is not a level name
+
+
+class _Cell:
+    """A state variable in memory that counts what is written to it."""
+
+    def __init__(self):
+        self.value, self.values, self.written = None, {}, 0
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.written = value, self.written + len(str(value))
+
+    def clear(self):
+        self.value = None
+
+    def getValue(self, key):  # noqa: N802
+        return self.values.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.values[key], self.written = value, self.written + len(str(value))
+
+    def removeKey(self, key):  # noqa: N802
+        self.values.pop(key, None)
+
+
+class _Handle:
+    def __init__(self):
+        self.cells = {}
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self.cells.setdefault(name, _Cell())
+
+    getValueState = getMapState  # noqa: N815
+
+
+def test_waiting_messages_are_written_once():
+    import numpy as np
+
+    from tidelink.streaming.waiting import NEVER, Waiting
+    handle = _Handle()
+    box = Waiting(handle, "w", {"id": "long"}, slot_us=1_000_000)
+    rng, sent, written = np.random.default_rng(1), [], []
+    for batch in range(30):  # a key that gets 500 messages in every micro-batch, none of them due
+        us = rng.integers(10 ** 6, 3 * 10 ** 6, 500)
+        ids = np.arange(500) + 500 * batch
+        before = sum(c.written for c in handle.cells.values())
+        assert box.add({"us": us, "id": ids}) == min([*us, *(t for t, _ in sent)])
+        written.append(sum(c.written for c in handle.cells.values()) - before)
+        sent += zip(us.tolist(), ids.tolist())
+    assert max(written[-5:]) < 1.5 * max(written[:5])  # 15,000 messages wait by now
+    got = []
+    for until in (10 ** 6, 1_500_000, 1_500_001, 2_000_000, 2_900_000, NEVER):
+        before = handle.cells["w"].written
+        rows, due = box.take(until)
+        assert handle.cells["w"].written == before  # taking writes no message again
+        got += zip(rows["us"].tolist(), rows["id"].tolist())
+        assert sorted(got) == sorted(x for x in sent if x[0] < until)
+        assert due == min((t for t, _ in sent if t >= until), default=NEVER)
+    assert not handle.cells["w"].values and handle.cells["w_index"].value is None
+
+
+def test_marker_session_stream_equals_batch(spark, sf_dir):
+    from tidelink.plans import derived
+    ev = read_table(spark, sf_dir, "events")
+    out, src = shared_dir(spark, "test_marker_stream"), _shuffled_within_delay(spark, ev, "test_marker_src")
+    ends = {"close": "closed", "error": "error", "reset": "reset"}
+    got = sessions.marker_sessions_stream(spark, src, "*.parquet", ev.schema, derived.session_log, "user_id", "ts", "event_id", "marker",
+                                          "create", ends, "10 minutes", f"{out}/d", f"{out}/c", link="link", reconnect="reconnect",
+                                          buckets=3, max_files=1)
+    batch = sessions.marker_sessions(derived.session_log(ev), "user_id", "ts", "marker", "create", ends, link="link",
+                                     reconnect="reconnect", tiebreak=("event_id",))
+    cols = ["user_id", "epoch", "segment", "session_start", "session_end", "n_data", "end_reason"]
+    g, b = [tuple(r) for r in got.select(*cols).collect()], {tuple(r) for r in batch.select(*cols).collect()}
+    last = ev.agg(F.max("ts")).first()[0] - timedelta(minutes=10)
+    assert len(g) == len(set(g))
+    assert set(g) == {r for r in b if r[4] is not None and r[4] < last.replace(microsecond=last.microsecond // 1000 * 1000)}
+    assert {"reconnect", "closed", "recreated"} <= {r[6] for r in g}
+    left = state.open_state(spark, f"{out}/c", variable="open").count()
+    assert 0 < left <= sum(r[6] == "open" or r[4] >= last for r in b)
+
+
+def test_marker_session_stream_with_text_keys_and_without_link(spark):
+    src, out = shared_dir(spark, "test_marker_text"), shared_dir(spark, "test_marker_text_out")
+    at = lambda s: T0 + timedelta(seconds=s)
+    kind = "who string, ts timestamp_ntz, event_id long, kind string"
+    for rows in ([("a", at(9), 4, "close"), ("b", at(2), 9, "create")], [("a", at(1), 1, "create"), ("a", at(2), 2, "data"), (None, at(2), 3, "create")],
+                 [("a", at(90_000), 5, "data")], [("b", at(95_000), 6, "create")], [("c", at(200_000), 7, "data")]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+    got = sessions.marker_sessions_stream(spark, src, "*.parquet", spark.createDataFrame([], kind).schema, lambda d: d, "who", "ts", "event_id",
+                                          "kind", "create", {"close": "closed"}, "10 minutes", f"{out}/d", f"{out}/c", max_files=1)
+    assert sorted((r.who, r.epoch, r.segment, r.n_data, r.end_reason, r.session_end) for r in got.collect()) == [
+        ("a", 0, 1, 1, "closed", at(9)), ("b", 0, 1, 0, "recreated", at(95_000))]

@@ -444,3 +444,7 @@ SELECT minute, level, CAST(count(*) AS BIGINT) AS n_lines,
 FROM l WHERE minute + INTERVAL 1 MINUTE <= (SELECT wm FROM w)
 GROUP BY minute, level""",
 }
+# The same sessions, once the final watermark has passed their end.
+ORACLE_SQL["session_markers_stream"] = f"""
+SELECT * FROM ({ORACLE_SQL["session_markers"]})
+WHERE session_end < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"""

@@ -352,6 +352,15 @@ def q_session_markers(spark, sf_dir):
                                     link="link", reconnect="reconnect", tiebreak=("event_id",))
 
 
+def q_session_markers_stream(spark, sf_dir):
+    schema = _t(spark, sf_dir, "events").schema
+    out = shared_dir(spark, "session_markers_stream")
+    return sessions.marker_sessions_stream(spark, sf_dir, "events.parquet", schema, derived.session_log, "user_id", "ts", "event_id",
+                                           "marker", "create", {"close": "closed", "error": "error", "reset": "reset"},
+                                           STREAM_DELAY, f"{out}/data", f"{out}/checkpoint", link="link", reconnect="reconnect",
+                                           partitions=_state_partitions(spark))
+
+
 def q_session_stream(spark, sf_dir):
     schema = _t(spark, sf_dir, "events").schema
     out = shared_dir(spark, "session_stream")
@@ -454,6 +463,7 @@ QUERIES = {
     "message_route_stream": q_message_route_stream,
     "session_batch": q_session_batch,
     "session_markers": q_session_markers,
+    "session_markers_stream": q_session_markers_stream,
     "session_stream": q_session_stream,
     "session_bytes": q_session_bytes,
     "early_data": q_early_data,

@@ -17,6 +17,8 @@ from contextlib import contextmanager
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(master: str | None = None, app: str = "tidelink",
@@ -35,8 +37,7 @@ def build_session(master: str | None = None, app: str = "tidelink",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TIDELINK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.streaming.stateStore.providerClass",
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config(_PROVIDER_KEY, _ROCKSDB)
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -71,20 +72,20 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
 
 
 @contextmanager
-def state_partitions(spark: SparkSession, n: int | None):
-    """Start a stateful stream with ``n`` state partitions.
+def state_partitions(spark: SparkSession, n: int | None, rocksdb: bool = False):
+    """Start a stateful stream with ``n`` state partitions, if ``rocksdb`` in the RocksDB state store.
 
     A streaming query copies the session conf when it starts and keeps its
-    state partition count for its whole life (checkpoint), so the setting is
+    state partition count for its whole life (checkpoint), so the settings are
     applied around ``start()`` only and the caller's session is restored.
     """
-    key = "spark.sql.shuffle.partitions"
-    if n is None:
-        yield
-        return
-    previous = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    settings = {"spark.sql.shuffle.partitions": None if n is None else str(n), _PROVIDER_KEY: _ROCKSDB if rocksdb else None}
+    settings = {k: v for k, v in settings.items() if v is not None}
+    previous = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, previous)
+        for k, v in previous.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -11,13 +11,15 @@ settles them - again one row per request, never request x response pairs.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelink.session import state_partitions
-
-from tidelink.functions.temporal import interval, ntz_to_instant, seconds_between
+from tidelink.functions.temporal import interval, seconds_between
 from tidelink.operators.sequence import split_valid, with_next
+from tidelink.session import state_partitions
+from tidelink.streaming.waiting import NEVER, InOrder, Waiting, timed
 
 
 def first_response(requests: DataFrame, responses: DataFrame, key: str, ts: str, id_col: str,
@@ -55,57 +57,54 @@ def _first_response(both: DataFrame, key: str, ts: str, id_col: str, within: str
     )
 
 
-def _first_response_step(key: str, id_col: str, kind_col: str, request_kind: str, within_us: int):
-    """Keyed-state step (numpy): requests wait in the state until the
-    watermark has passed their first response, or the end of the horizon - no
-    earlier response can come then.  Responses stay until the watermark has
-    passed them.  One row per request, no request x response pairs."""
-    import numpy as np
-    import pandas as pd
-
-    def step(k, batches, state):
-        held = state.get if state.exists else ([], [], [], [])
-        q_ts, q_id, s_ts, s_id = ([np.asarray(x, dtype="int64")] for x in held)
-        if not state.hasTimedOut:
-            for pdf in batches:
-                is_req = (pdf[kind_col] == request_kind).to_numpy()
-                t, ids = pdf["_us"].to_numpy(dtype="int64"), pdf[id_col].to_numpy(dtype="int64")
-                q_ts.append(t[is_req])
-                q_id.append(ids[is_req])
-                s_ts.append(t[~is_req])
-                s_id.append(ids[~is_req])
-        q_ts, q_id, s_ts, s_id = (np.concatenate(x) for x in (q_ts, q_id, s_ts, s_id))
-        order = np.lexsort((s_id, s_ts))
-        s_ts, s_id = s_ts[order], s_id[order]
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        pos = np.searchsorted(s_ts, q_ts, side="left")           # first response at or after
-        found = pos < len(s_ts)
-        hit = found.copy()
-        hit[found] = s_ts[pos[found]] <= q_ts[found] + within_us
-        settled_at = q_ts + within_us
-        settled_at[hit] = s_ts[pos[hit]]
-        done = settled_at < wm_us
-        yield pd.DataFrame({
-            "request_id": q_id[done],
-            key: np.full(int(done.sum()), k[0], dtype="int64"),
-            "response_id": pd.array([int(s_id[p]) if h else None for p, h in zip(pos[done], hit[done])], dtype="Int64"),
-            "latency_s": pd.array([round((int(s_ts[p]) - int(q)) / 1e6, 6) if h else None
-                                   for p, q, h in zip(pos[done], q_ts[done], hit[done])], dtype="Float64"),
-            "status": np.where(hit[done], "matched", "timeout").astype(object),
+class _Responses(InOrder):
+    """Requests and responses of one key in event order.
+
+    A request that no response has followed yet is pending: appended once,
+    taken by the first response after it or by the end of its horizon.  One
+    row per request, no request x response pairs.
+    """
+
+    columns = {"id": "long", "response": "long"}
+
+    def __init__(self, key: str, within_us: int):
+        self.key, self.within_us = key, within_us
+
+    def open(self, handle):
+        self.pending = Waiting(handle, "pending", {"id": "long"})
+
+    def _settled(self, key, us, ids, response_us, response_id):
+        """A frame of requests, each with the first response after it (time NEVER: none)."""
+        hit = response_us <= us + self.within_us
+        return pd.DataFrame({
+            "request_id": ids,
+            self.key: [key[0]] * len(ids),
+            "response_id": pd.array(np.where(hit, response_id, None), dtype="Int64"),
+            "latency_s": pd.array([round(v / 1e6, 6) if h else None for v, h in zip((response_us - us).tolist(), hit)], dtype="Float64"),
+            "status": np.where(hit, "matched", "timeout").astype(object),
         })
-        later = s_ts >= wm_us
-        # A waiting request keeps its first response too, until both are settled.
-        later[pos[hit & ~done]] = True
-        q_ts, q_id, settled_at = q_ts[~done], q_id[~done], settled_at[~done]
-        s_ts, s_id = s_ts[later], s_id[later]
-        if len(q_ts) or len(s_ts):
-            state.update((q_ts.tolist(), q_id.tolist(), s_ts.tolist(), s_id.tolist()))
-            first = min([int(x.min()) for x in (settled_at, s_ts) if len(x)])
-            state.setTimeoutTimestamp(max(first, wm_us) // 1000 + 1)
-        elif state.exists:
-            state.remove()
 
-    return step
+    def step(self, key, rows, until_us):
+        order = np.lexsort((rows["id"], rows["response"], rows["us"]))  # a response at a request's instant follows it
+        us, ids, response = (rows[c][order] for c in ("us", "id", "response"))
+        answers = np.flatnonzero(response)
+        frames = []
+        if len(answers):
+            before, _ = self.pending.take(NEVER)
+            if len(before["us"]):
+                frames.append(self._settled(key, before["us"], before["id"], us[answers[0]], ids[answers[0]]))
+        asked = np.flatnonzero(response == 0)
+        following = np.searchsorted(answers, asked)
+        met = following < len(answers)
+        if met.any():
+            answer = answers[following[met]]
+            frames.append(self._settled(key, us[asked[met]], ids[asked[met]], us[answer], ids[answer]))
+        if not met.all():
+            self.pending.add({"us": us[asked[~met]], "id": ids[asked[~met]]})
+        late, due = self.pending.take(until_us - self.within_us)
+        if len(late["us"]):
+            frames.append(self._settled(key, late["us"], late["id"], np.int64(NEVER), np.int64(0)))
+        return frames, min(due + self.within_us, NEVER)
 
 
 def first_response_stream(spark: SparkSession, source_dir: str, file_glob: str, schema, key: str,
@@ -113,24 +112,20 @@ def first_response_stream(spark: SparkSession, source_dir: str, file_glob: str,
                           within_seconds: int, watermark: str, out_dir: str, checkpoint_dir: str,
                           max_files: int = 100, partitions: int | None = None) -> DataFrame:
     """Streaming twin of ``first_response`` with keyed state
-    (``applyInPandasWithState``, event-time timeouts), right for any arrival
-    order within ``watermark``.  State per key holds the requests of the last
-    horizon and the responses that the watermark has not passed;
-    ``state.open_state`` reads what is still waiting."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
+    (``transformWithState``, event-time timers), right for any arrival
+    order within ``watermark``.  State per key holds the messages that the
+    watermark has not passed and the requests still without a response, each
+    written once; ``state.open_state`` reads them (``waiting``, ``pending``)."""
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
               .option("maxFilesPerTrigger", max_files).parquet(source_dir)
-              .filter(F.col(type_col).isin(request_type, response_type) & F.col(key).isNotNull() & F.col(ts).isNotNull())
-              .select(key, id_col, type_col, ntz_to_instant(ts).alias("_t"))
-              .withColumn("_us", F.unix_micros("_t"))
-              .withWatermark("_t", watermark))
-    out_schema = f"request_id long, {key} long, response_id long, latency_s double, status string"
-    result = stream.groupBy(key).applyInPandasWithState(
-        _first_response_step(key, id_col, type_col, request_type, within_seconds * 1_000_000), out_schema,
-        "request_us array<long>, request_id array<long>, response_us array<long>, response_id array<long>", "append",
-        GroupStateTimeout.EventTimeTimeout)
-    with state_partitions(spark, partitions):
+              .filter(F.col(type_col).isin(request_type, response_type) & F.col(key).isNotNull() & F.col(ts).isNotNull()))
+    rows = timed(stream, ts, watermark, F.col(key).alias("key"), F.col(id_col).cast("long").alias("id"),
+                 (F.col(type_col) == F.lit(response_type)).cast("long").alias("response"))
+    out_schema = (f"request_id long, {key} {stream.schema[key].dataType.simpleString()}, response_id long, latency_s double, "
+                  "status string")
+    result = rows.groupBy("key").transformWithStateInPandas(
+        _Responses(key, within_seconds * 1_000_000), out_schema, "append", "eventTime")
+    with state_partitions(spark, partitions, rocksdb=True):
         q = (result.writeStream.format("parquet").option("path", out_dir)
              .option("checkpointLocation", checkpoint_dir).outputMode("append")
              .trigger(availableNow=True).start())

@@ -15,13 +15,14 @@ aggregation.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelink.session import state_partitions
-
-from tidelink.functions.temporal import ntz_to_instant
 from tidelink.operators.sequence import marker_segments, split_valid
+from tidelink.session import state_partitions
+from tidelink.streaming.waiting import NEVER, InOrder, timed
 
 # Fixed value: held messages tolerated before the buffer is dropped.
 BUFFER_LIMIT = 5
@@ -50,93 +51,70 @@ def early_data(df: DataFrame, key: str, ts: str, type_col: str, create: str, clo
     )
 
 
-def _segment_step(create: str, close: str, key: str, order_col: str, type_col: str):
-    """State transition for one key over one micro-batch (vectorized numpy).
+class _Segments(InOrder):
+    """Segments of one key in event order.
 
-    State: next segment number, data messages held in the open segment, the
-    marker that closed the previous segment, and the messages that the
-    watermark has not passed yet.  Those wait, since an earlier one may still
-    come; the others are taken in event order.  Among them the k-th marker
-    closes segment k, so counts come from one ``bincount``.
+    State beside what waits: the next segment's number, the data messages held
+    in the open segment, and the code of the marker that closed the one before
+    (0: none, 1: create, 2: close).  The k-th marker closes segment k, so the
+    counts come from one ``bincount``.
     """
-    import numpy as np
-    import pandas as pd
 
-    cycle = BUFFER_LIMIT + 1
-    cols = [key, "segment", "n_early", "closing_marker", "replayed", "dropped", "resets", "cleared"]
-
-    def step(k, batches, state):
-        seg0, held0, prev0, b_us, b_id, b_kind = state.get if state.exists else (0, 0, None, [], [], [])
-        us, ids, kinds = [np.asarray(b_us, "int64")], [np.asarray(b_id, "int64")], [np.asarray(b_kind, "int64")]
-        if not state.hasTimedOut:
-            for pdf in batches:
-                t = pdf[type_col].to_numpy(dtype=object)
-                us.append(pdf["_us"].to_numpy("int64"))
-                ids.append(pdf[order_col].to_numpy("int64"))
-                kinds.append((t == create) * 1 + (t == close) * 2)
-        us, ids, kinds = (np.concatenate(x) for x in (us, ids, kinds))
-        order = np.lexsort((ids, us))
-        us, ids, kinds = us[order], ids[order], kinds[order]
-        ready = int(np.searchsorted(us, state.getCurrentWatermarkMs() * 1000, side="left"))
-        kind = kinds[:ready]
+    columns = {"id": "long", "kind": "long"}
+
+    def __init__(self, create: str, close: str, key: str):
+        self.create, self.close_marker, self.key = create, close, key
+
+    def open(self, handle):
+        self.segments = handle.getValueState("segments", "segment long, held long, before int")
+
+    def step(self, key, rows, until_us):
+        kind = rows["kind"][np.lexsort((rows["id"], rows["us"]))]
+        if not len(kind):
+            return [], NEVER
+        segment, held, before = self.segments.get() or (0, 0, 0)
         marker = kind > 0
-        rel = np.cumsum(marker) - marker                    # segment of each row, from 0
         m = int(marker.sum())
-        n = np.bincount(rel[~marker], minlength=m + 1).astype("int64")
-        n[0] += held0
-        names = np.array([None, create, close], dtype=object)
-        closing = names[kind[marker]]                       # closes segments 0..m-1
-        prev = np.empty(m + 1, dtype=object)
-        prev[0] = prev0
-        prev[1:] = closing
-        state.update((int(seg0 + m), int(n[m]), closing[-1] if m else prev0,
-                      us[ready:].tolist(), ids[ready:].tolist(), kinds[ready:].tolist()))
-        if ready < len(us):
-            state.setTimeoutTimestamp(int(us[ready]) // 1000 + 1)
-        p, nn = prev[:m], n[:m]
-        idx = np.nonzero((pd.isna(p) | (p == close)) & (nn > 0))[0]
-        nk, ck = nn[idx], closing[idx]
-        rem = nk % cycle
-        yield pd.DataFrame({
-            key: np.full(len(idx), k[0], dtype="int64"),
-            "segment": (seg0 + idx).astype("int64"),
-            "n_early": nk,
-            "closing_marker": ck,
-            "replayed": np.where(ck == create, rem, 0).astype("int64"),
-            "dropped": (nk - rem).astype("int64"),
-            "resets": (nk // cycle).astype("int64"),
-            "cleared": np.where(ck == close, rem, 0).astype("int64"),
-        }, columns=cols)
-
-    return step
+        n = np.bincount((np.cumsum(marker) - marker)[~marker], minlength=m + 1).astype("int64")
+        n[0] += held
+        codes = np.concatenate([[before], kind[marker]])  # codes[i] opened the i-th of these segments, codes[i + 1] closed it
+        self.segments.update((int(segment + m), int(n[m]), int(codes[m])))
+        idx = np.flatnonzero((codes[:m] != 1) & (n[:m] > 0))
+        if not len(idx):
+            return [], NEVER
+        early, created = n[idx], codes[idx + 1] == 1
+        rest = early % (BUFFER_LIMIT + 1)
+        return [pd.DataFrame({
+            self.key: [key[0]] * len(idx),
+            "segment": segment + idx,
+            "n_early": early,
+            "closing_marker": np.where(created, self.create, self.close_marker).astype(object),
+            "replayed": np.where(created, rest, 0),
+            "dropped": early - rest,
+            "resets": early // (BUFFER_LIMIT + 1),
+            "cleared": np.where(created, 0, rest),
+        })], NEVER
 
 
 def early_data_stream(spark, source_dir: str, file_glob: str, schema, key: str, ts: str,
                       order_col: str, type_col: str, create: str, close: str, watermark: str, out_dir: str,
                       checkpoint_dir: str, max_files: int = 100, partitions: int | None = None):
-    """Streaming twin: keyed state per ``key`` (``applyInPandasWithState``).
+    """Streaming twin: keyed state per ``key`` (``transformWithState``).
 
     Messages may arrive out of order by up to ``watermark``: they wait in the
     state until it has passed them and are then taken in order of ``ts`` and
     ``order_col``.  Closed segments are given once the watermark has passed
     their closing marker; ``state.open_state`` reads what is still held.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
               .option("maxFilesPerTrigger", max_files).parquet(source_dir)
-              .filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
-              .select(key, order_col, type_col, ntz_to_instant(ts).alias("_t"))
-              .withColumn("_us", F.unix_micros("_t"))
-              .withWatermark("_t", watermark))
-    out_schema = (f"{key} long, segment long, n_early long, closing_marker string, "
+              .filter(F.col(key).isNotNull() & F.col(ts).isNotNull()))
+    code = F.when(F.col(type_col) == F.lit(create), 1).when(F.col(type_col) == F.lit(close), 2).otherwise(0)
+    rows = timed(stream, ts, watermark, F.col(key).alias("key"), F.col(order_col).cast("long").alias("id"), code.cast("long").alias("kind"))
+    out_schema = (f"{key} {stream.schema[key].dataType.simpleString()}, segment long, n_early long, closing_marker string, "
                   "replayed long, dropped long, resets long, cleared long")
-    state_schema = ("segment long, held long, prev_marker string, wait_us array<long>, wait_id array<long>, "
-                    "wait_kind array<long>")
-    result = stream.groupBy(key).applyInPandasWithState(
-        _segment_step(create, close, key, order_col, type_col), out_schema, state_schema,
-        "append", GroupStateTimeout.EventTimeTimeout)
-    with state_partitions(spark, partitions):
+    result = rows.groupBy("key").transformWithStateInPandas(_Segments(create, close, key), out_schema, "append", "eventTime")
+    with state_partitions(spark, partitions, rocksdb=True):
         q = (result.writeStream.format("parquet").option("path", out_dir)
              .option("checkpointLocation", checkpoint_dir).outputMode("append")
              .trigger(availableNow=True).start())

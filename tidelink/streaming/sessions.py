@@ -3,18 +3,21 @@
 Batch form: gap-based sessions computed within (key, slice of rows) plus a
 small summary per slice (see ``tidelink.operators.sequence``), so one very
 active key is still split over many tasks.  Stream form: ``session_window`` with a watermark, emitted in
-append mode once a session can no longer grow.
+append mode once a session can no longer grow.  Sessions cut by markers have a batch form of the same kind
+and a stream form on keyed state.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelink.session import state_partitions
-
 from tidelink.functions.temporal import instant_to_ntz, interval, ntz_to_instant
 from tidelink.operators.sequence import SLICE, marker_segments, slice_rows, split_valid, with_running_sum
+from tidelink.session import state_partitions
+from tidelink.streaming.waiting import NEVER, InOrder, timed
 
 DEFAULT_GAP = "30 minutes"
 
@@ -123,3 +126,116 @@ def marker_sessions(df: DataFrame, key: str, ts: str, type_col: str, create: str
     return seg.select(key, "epoch", "segment", F.col("open_ts").alias("session_start"),
                       F.coalesce("end_ts", "_cut").alias("session_end"), "n_data",
                       F.coalesce(reason, cut).alias("end_reason"))
+
+
+_DATA, _CREATE, _RECONNECT = 0, 1, -1
+_CUT = "reconnect"
+
+
+class _Markers(InOrder):
+    """Marker sessions of the keys in one bucket of a link, in event order.
+
+    State beside what waits: the link's epoch, the open sessions by key, and
+    how many markers each key had in this epoch.  A step reads and writes the
+    entries of the keys that its messages name, and all open ones only when
+    the link reconnects, which ends them.
+    """
+
+    def __init__(self, reasons: dict[int, str], kind: str, out: str):
+        self.reasons, self.kind, self.out = reasons, kind, out
+        self.columns = {"id": "long", "code": "long", "owner": kind}
+
+    def open(self, handle):
+        self.epoch = handle.getValueState("epoch", "epoch long")
+        self.sessions = handle.getMapState("open", f"owner {self.kind}", "segment long, start long, n_data long")
+        self.marks = handle.getMapState("marks", f"owner {self.kind}", "n long")
+
+    def step(self, key, rows, until_us):
+        order = np.lexsort((rows["id"], rows["code"] != _RECONNECT, rows["us"]))
+        us, code, owner = (rows[c][order].tolist() for c in ("us", "code", "owner"))
+        if not us:
+            return [], NEVER
+        epoch = (self.epoch.get() or (0,))[0]
+        sessions, marks, out = {}, {}, []
+        emptied = False  # the stored maps hold nothing that still counts
+
+        def end(name, at, reason):
+            segment, start, n_data = sessions[name]
+            out.append((name, epoch, segment, start, at, n_data, reason))
+
+        for t, c, name in zip(us, code, owner):
+            if c == _RECONNECT:
+                if not emptied:
+                    for (stored,), value in self.sessions.iterator():
+                        sessions.setdefault(stored, value)
+                    self.sessions.clear()
+                    self.marks.clear()
+                    emptied = True
+                for open_one in [n for n, v in sessions.items() if v]:
+                    end(open_one, t, _CUT)
+                sessions, marks, epoch = {}, {}, epoch + 1
+                continue
+            if name not in sessions:
+                sessions[name] = None if emptied else self.sessions.getValue((name,))
+            if c == _DATA:
+                if sessions[name]:
+                    segment, start, n_data = sessions[name]
+                    sessions[name] = (segment, start, n_data + 1)
+                continue
+            if name not in marks:
+                marks[name] = 0 if emptied else (self.marks.getValue((name,)) or (0,))[0]
+            marks[name] += 1
+            if sessions[name]:
+                end(name, t, self.reasons[c])
+            sessions[name] = (marks[name], t, 0) if c == _CREATE else None
+        self.epoch.update((epoch,))
+        for name, value in sessions.items():
+            if value:
+                self.sessions.updateValue((name,), value)
+            elif not emptied:
+                self.sessions.removeKey((name,))
+        for name, n in marks.items():
+            self.marks.updateValue((name,), (n,))
+        columns = [self.out, "epoch", "segment", "start", "end", "n_data", "end_reason"]
+        return ([pd.DataFrame(out, columns=columns)] if out else []), NEVER
+
+
+def marker_sessions_stream(spark: SparkSession, source_dir: str, file_glob: str, schema, derive, key: str, ts: str, order_col: str,
+                           type_col: str, create: str, ends: dict[str, str], watermark: str, out_dir: str, checkpoint_dir: str,
+                           link: str | None = None, reconnect: str | None = None, buckets: int = 16, max_files: int = 100,
+                           partitions: int | None = None) -> DataFrame:
+    """Streaming twin of ``marker_sessions`` (``transformWithState``): ended sessions, from ``derive`` of a file stream.
+
+    State is keyed by (link, bucket of the key), so a link's sessions spread
+    over ``buckets`` tasks, and every bucket gets the link's few reconnects.
+    Messages may arrive in any order within ``watermark``; a session is given
+    once the watermark has passed its end.  ``state.open_state`` reads what is
+    left (``waiting``, ``open``).  ``buckets`` is fixed for a checkpoint's life.
+    """
+    stream = derive(spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+                    .option("maxFilesPerTrigger", max_files).parquet(source_dir))
+    needed = [key, ts, type_col, *([link] if link else [])]
+    rows, _ = split_valid(stream, *needed)
+    reasons = {_CREATE: "recreated", **{i: r for i, r in enumerate(ends.values(), 2)}}
+    code = F.when(F.col(type_col) == F.lit(create), _CREATE)
+    for i, name in enumerate(ends, 2):
+        code = code.when(F.col(type_col) == F.lit(name), i)
+    if link:
+        code = code.when(F.col(type_col) == F.lit(reconnect), _RECONNECT)
+    code = code.otherwise(_DATA).cast("long")
+    own = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    where = F.when(code == _RECONNECT, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(own))
+    given = timed(rows, ts, watermark, F.col(link) if link else F.lit(0).alias("link"), F.explode(where).alias("bucket"),
+                  F.col(order_col).cast("long").alias("id"), code.alias("code"), F.col(key).alias("owner"))
+    kind = stream.schema[key].dataType.simpleString()
+    state_schema = f"{key} {kind}, epoch long, segment long, start long, end long, n_data long, end_reason string"
+    found = given.groupBy(link or "link", "bucket").transformWithStateInPandas(
+        _Markers(reasons, kind, key), state_schema, "append", "eventTime")
+    out = found.select(key, "epoch", "segment", instant_to_ntz(F.timestamp_micros("start")).alias("session_start"),
+                       instant_to_ntz(F.timestamp_micros("end")).alias("session_end"), "n_data", "end_reason")
+    with state_partitions(spark, partitions, rocksdb=True):
+        q = (out.writeStream.format("parquet").option("path", out_dir)
+             .option("checkpointLocation", checkpoint_dir).outputMode("append")
+             .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(out_dir)

@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def open_state(spark: SparkSession, checkpoint_dir: str, operator: int = 0) -> DataFrame:
-    """State rows of the last committed batch of a stopped or running stream."""
-    return spark.read.format("statestore").option("operatorId", operator).load(checkpoint_dir)
+def open_state(spark: SparkSession, checkpoint_dir: str, operator: int = 0, variable: str | None = None) -> DataFrame:
+    """State rows of the last committed batch of a stopped or running stream.
+
+    ``variable`` names one state variable of a ``transformWithState`` stream,
+    e.g. ``waiting``, the messages that the watermark has not passed.
+    """
+    reader = spark.read.format("statestore").option("operatorId", operator)
+    return (reader.option("stateVarName", variable) if variable else reader).load(checkpoint_dir)
