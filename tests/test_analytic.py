@@ -1,0 +1,130 @@
+"""Percentiles, range joins and moving frames against plain Spark, with hot keys."""
+
+from datetime import datetime, timedelta
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidelink.functions.temporal import ntz_micros
+from tidelink.operators.moving import moving_sums
+from tidelink.operators.percentiles import group_percentiles
+from tidelink.operators.range_join import range_join
+
+T0 = datetime(2024, 1, 1)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+# --- percentiles ---------------------------------------------------------------
+
+@pytest.mark.parametrize("slices", [1, 6, 40])
+def test_percentiles_with_a_hot_group_and_copies(spark, slices):
+    hot = spark.range(4000).select(F.lit("hot").alias("g"), (F.xxhash64("id") % 10_000 / 8).alias("v"))
+    same = spark.range(3000).select(F.lit("same").alias("g"), F.lit(7.5).alias("v"))
+    rest = spark.range(900).select((F.col("id") % 40).cast("string").alias("g"), (F.col("id") * 1.25).alias("v"))
+    odd = spark.createDataFrame([(None, 1.0), (None, 2.0), (None, None), ("none", None), ("one", -3.5)], "g string, v double")
+    df = hot.unionByName(same).unionByName(rest).unionByName(odd).repartition(5)
+    qs = {"p0": 0.0, "p5": 0.05, "mid": 0.5, "p95": 0.95, "p100": 1.0}
+    want = df.groupBy("g").agg(F.count(F.lit(1)).alias("n_rows"), *[F.percentile("v", q).alias(n) for n, q in qs.items()])
+    got = group_percentiles(df, ["g"], "v", qs, slices)
+    assert got.columns == ["g", "n_rows", *qs]
+    key = lambda r: str(r[0])
+    for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+        assert a[:2] == b[:2] and [x if x is None else round(x, 9) for x in a[2:]] == [x if x is None else round(x, 9) for x in b[2:]]
+
+
+def test_percentiles_read_only_slices_with_a_rank(spark):
+    df = spark.range(10_000).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("v"), F.lit(0).alias("_rank"))
+    assert [tuple(r) for r in group_percentiles(df, ["g"], "v", {"m": 0.5}, 20).collect()] == [(1, 10_000, 4999.5)]
+    assert group_percentiles(df.limit(0), ["g"], "v", {"m": 0.5}).collect() == []
+
+
+# --- range join ----------------------------------------------------------------
+
+def _sides(spark):
+    points = spark.range(1500).select(F.col("id").alias("pid"), (F.xxhash64("id") % 5000).alias("x"), (F.col("id") % 3).alias("k"))
+    points = points.union(spark.range(600).select((F.col("id") + 2000).alias("pid"), F.lit(77).cast("long").alias("x"), F.lit(1).cast("long").alias("k")))
+    spans = spark.range(300).select(F.col("id").alias("sid"), (F.xxhash64("id", F.lit(1)) % 5000).alias("a"),
+                                    F.pow(F.lit(2.0), F.col("id") % 13).cast("long").alias("len"), (F.col("id") % 3).alias("k"))
+    spans = spans.union(spark.range(200).select((F.col("id") + 500).alias("sid"), F.lit(70).cast("long"), F.lit(10).cast("long"), F.lit(1).cast("long")))
+    spans = spans.select("sid", "a", (F.col("a") + F.col("len") - 1).alias("b"), "k")
+    odd = spark.createDataFrame([(900, None, 5, 0), (901, 5, None, 0), (902, 9, 3, 0), (903, -4000, -4000, 2)], spans.schema)
+    return points.unionByName(spark.createDataFrame([(3000, None, 0), (3001, -4000, 2)], points.schema)), spans.unionByName(odd)
+
+
+@pytest.mark.parametrize("split", [100_000, 50])
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_range_join_gives_each_pair_once(spark, split, keys):
+    points, spans = _sides(spark)
+    spans = spans if keys else spans.drop("k")
+    got = range_join(points.repartition(4), "x", spans, "a", "b", keys, split_rows=split)
+    on = (points["x"] >= spans["a"]) & (points["x"] <= spans["b"])
+    want = points.join(spans, on & (points["k"] == spans["k"]) if keys else on)
+    g = sorted((r["pid"], r["sid"]) for r in got.collect())
+    assert g == sorted((r["pid"], r["sid"]) for r in want.select("pid", "sid").collect()) and len(g) == len(set(g))
+    assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
+    assert got.columns == ["pid", "x", "k", "sid", "a", "b"]
+
+
+def test_range_join_spreads_a_hot_bin(spark):
+    points = spark.range(2000).select(F.col("id").alias("pid"), F.lit(5).alias("x"))
+    spans = spark.range(40).select(F.col("id").alias("sid"), F.lit(4).alias("a"), F.lit(6).alias("b"))
+    got = range_join(points, "x", spans, "a", "b", split_rows=100)
+    assert got.count() == 80_000
+    cells = range_join(points, "x", spans, "a", "b", split_rows=100).groupBy("pid").count()
+    assert {r["count"] for r in cells.collect()} == {40}
+
+
+def test_range_join_of_times_and_without_rows(spark):
+    p = spark.createDataFrame([(1, T0 + timedelta(seconds=3)), (2, T0 + timedelta(seconds=9))], "pid int, at timestamp_ntz")
+    s = spark.createDataFrame([(7, T0, T0 + timedelta(seconds=3))], "sid int, a timestamp_ntz, b timestamp_ntz")
+    assert [tuple(r)[0] for r in range_join(p, "at", s, "a", "b").collect()] == [1]
+    assert range_join(p, "at", s.limit(0), "a", "b").collect() == range_join(p.limit(0), "at", s, "a", "b").collect() == []
+    with pytest.raises(TypeError):
+        range_join(spark.createDataFrame([(1.5,)], "x double"), "x", s, "a", "b")
+
+
+# --- moving frames -------------------------------------------------------------
+
+def _log(spark):
+    at = lambda secs: F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(secs=secs.cast("decimal(18,6)"))
+    money = (F.col("id") % 97 / 4).cast("decimal(18,2)").alias("v")
+    hot = spark.range(3000).select(F.lit(1).alias("k"), at(F.xxhash64("id") % 1800 + 1800).alias("ts"), "id", money)        # within one hour
+    burst = spark.range(800).select(F.lit(1).alias("k"), at(F.lit(9000) + F.col("id") * 0), "id", money)                  # one instant
+    thin = spark.range(400).select(F.lit(2).alias("k"), at(F.col("id") * 1300), "id", money)
+    rest = spark.range(700).select((F.col("id") % 30 + 3).cast("int").alias("k"), at(F.xxhash64("id", F.lit(2)) % 50_000), "id", money)
+    rows = hot.union(burst).union(thin).union(rest)
+    return rows.select("k", "ts", F.monotonically_increasing_id().alias("row"), F.when(F.col("id") % 11 > 0, F.col("v")).alias("v"))
+
+
+@pytest.mark.parametrize("slices", [1, 7, 33])
+@pytest.mark.parametrize("seconds", [3600, 20, 0, 10 ** 7])
+def test_moving_sums_equal_a_plain_window(spark, slices, seconds):
+    log = _log(spark)
+    w = Window.partitionBy("k").orderBy("us").rangeBetween(-seconds * 1_000_000, 0)
+    plain = log.withColumn("us", ntz_micros("ts")).select("row", F.count(F.lit(1)).over(w), F.coalesce(F.sum("v").over(w), F.lit(Decimal(0))))
+    got = moving_sums(log, ["k"], "ts", seconds * 1_000_000, "v", "n", "s", slices=slices).select("row", "n", "s")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in plain.collect())
+
+
+def test_halos_stay_linear(spark):
+    from tidelink.operators import moving
+    from tidelink.operators.sequence import slice_rows
+    rows = spark.range(6000).select(F.lit(1).alias("k"), F.col("id").alias("_us"), F.lit(1).cast("long").alias("_n"), F.lit(0).cast("decimal(38,0)").alias("_v"))
+    cut = slice_rows(rows, ["k"], "_us", slices=30)
+    halos = moving._halos(cut, ["k"], 4000)  # a frame holds two thirds of all rows, some twenty slices
+    assert halos.filter("_first <= _last").agg(F.sum(F.col("_last") - F.col("_first") + 1)).first()[0] <= 2 * 30
+
+
+def test_moving_sums_without_key_time_or_exact_type(spark):
+    kind = "k int, ts timestamp_ntz, v long"
+    rows = [(None, T0, 1), (1, None, 2), (1, T0, 3), (1, T0, 3), (1, T0 + timedelta(seconds=5), None)]
+    got = moving_sums(spark.createDataFrame(rows, kind), ["k"], "ts", 5_000_000, "v")
+    assert sorted((r.ts, r.n_moving, int(r.sum_moving)) for r in got.collect()) == [(T0, 2, 6), (T0, 2, 6), (T0 + timedelta(seconds=5), 3, 6)]
+    assert moving_sums(spark.createDataFrame([], kind), ["k"], "ts", 1, "v").collect() == []
+    with pytest.raises(TypeError):
+        moving_sums(spark.createDataFrame([], "k int, ts timestamp_ntz, v double"), ["k"], "ts", 1, "v")

@@ -227,6 +227,21 @@ SELECT event_id AS row_index,
        CASE WHEN event_type = 'purchase' THEN 'Unknown target' END AS error
 FROM events""",
 
+    "group_percentiles": """
+SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n_rows, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50,
+       round(quantile_cont(l_extendedprice, 0.95), 4) AS p95
+FROM lineitem GROUP BY l_returnflag""",
+
+    "range_join": """
+SELECT e.event_id AS error_id, p.event_id AS purchase_id, round((epoch_us(p.ts) - epoch_us(e.ts)) / 1000000.0, 6) AS after_s
+FROM (SELECT event_id, ts, ts + to_minutes(event_id % 5 + 1) AS closed FROM events WHERE event_type = 'error') e
+JOIN (SELECT event_id, ts FROM events WHERE event_type = 'purchase') p ON p.ts >= e.ts AND p.ts <= e.closed""",
+
+    "moving_window": """
+SELECT event_id, user_id, CAST(count(*) OVER w AS BIGINT) AS n_hour,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS value_hour
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)""",
+
     "protocol_lookup": f"""
 WITH c AS (SELECT event_id, {d.PORT_EXPR} AS port FROM events)
 SELECT event_id, port,

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from tidelink.functions import codec
 from tidelink.functions.statements import READ_PREFIXES_AGENT, log_head, statement_kind
 from tidelink.functions.numeric import MONEY, exact_sum
-from tidelink.functions.temporal import iso_text, ntz_literal
-from tidelink.operators import inventory, keyed, relational
+from tidelink.functions.temporal import iso_text, ntz_literal, seconds_between
+from tidelink.operators import inventory, keyed, moving, percentiles, relational
+from tidelink.operators.range_join import range_join
 from tidelink.operators.requests import parse_requests, run_requests
 from tidelink.plans import derived
 from tidelink.session import shared_dir
@@ -83,6 +84,32 @@ def q_federated_below_avg(spark, sf_dir):
                       F.round("group_avg", 2).alias("segment_avg"))
 
 
+# --- percentiles, ranges, moving frames --------------------------------------
+
+def q_group_percentiles(spark, sf_dir):
+    """Median and 95th percentile of the line price by return flag."""
+    found = percentiles.group_percentiles(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p95": 0.95})
+    return found.select("l_returnflag", F.col("n_rows").cast("long").alias("n_rows"), F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
+
+
+def q_range_join(spark, sf_dir):
+    """Purchases inside the window that an error opens (one to five minutes, by its id)."""
+    ev = _t(spark, sf_dir, "events")
+    windows = ev.filter("event_type = 'error'").select(
+        F.col("event_id").alias("error_id"), F.col("ts").alias("opened"),
+        (F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 5 + 1).cast("int"))).alias("closed"))
+    bought = ev.filter("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "ts")
+    return range_join(bought, "ts", windows, "opened", "closed").select(
+        "error_id", "purchase_id", F.round(seconds_between(F.col("opened"), F.col("ts")), 6).alias("after_s"))
+
+
+def q_moving_window(spark, sf_dir):
+    """Every event with its user's events and value of the last hour."""
+    ev = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("value").cast(MONEY).alias("value"))
+    found = moving.moving_sums(ev, ["user_id"], "ts", 3_600_000_000, "value", "n_hour", "value_hour")
+    return found.select("event_id", "user_id", F.col("n_hour").cast("long").alias("n_hour"), F.col("value_hour").cast("double").alias("value_hour"))
+
+
 # --- remote sources (JDBC, embedded Derby as the remote engine) ------------
 
 def _stage_orders(spark, sf_dir, table: str, frame: DataFrame | None = None, mode="overwrite"):
@@ -434,6 +461,9 @@ QUERIES = {
     "order_listing": q_order_listing,
     "table_counts": q_table_counts,
     "bound_params": q_bound_params,
+    "group_percentiles": q_group_percentiles,
+    "range_join": q_range_join,
+    "moving_window": q_moving_window,
     "federated_below_avg": q_federated_below_avg,
     "remote_query": q_remote_query,
     "remote_append": q_remote_append,
