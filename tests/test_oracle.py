@@ -8,6 +8,9 @@ from tests.oracle_check import duck, frame_rows
 
 SF = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
+#: Text operators that SQL cannot express; their own tests hold them against brute force or held-out rows.
+BEYOND_SQL = {"op2_html_extract", "op3_decontamination", "op4_language_id", "op5_packing", "op6_nearest", "op7_jaccard_join",
+              "op9_toxicity", "op10_quality_classifier", "op12_whitening", "op13_simhash", "pipeline"}
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +27,7 @@ def test_query_matches_oracle(spark, con, key):
 
 
 def test_every_query_has_oracle():
-    own = {k for k in entry.queries() if k != "pipeline" and not k.startswith("op")}  # text operators have their own tests
-    assert own - set(SQL) == set()
+    assert set(entry.queries()) - set(SQL) <= BEYOND_SQL
     assert all(k in entry.queries() for k in SQL)
 
 

@@ -340,3 +340,39 @@ def test_marker_session_stream_with_text_keys_and_without_link(spark):
                                           "kind", "create", {"close": "closed"}, "10 minutes", f"{out}/d", f"{out}/c", max_files=1)
     assert sorted((r.who, r.epoch, r.segment, r.n_data, r.end_reason, r.session_end) for r in got.collect()) == [
         ("a", 0, 1, 1, "closed", at(9)), ("b", 0, 1, 0, "recreated", at(95_000))]
+
+
+def _failures(spark, rows):
+    line = F.concat_ws(" - ", F.date_format("ts", logs.ASCTIME), F.lit("agent"), F.lit("ERROR"),
+                       F.concat(F.when(F.col("ok"), F.lit("frame in for peer ")).otherwise(F.lit("Authentication failed for peer ")), F.col("peer")))
+    return spark.createDataFrame(rows, "ts timestamp_ntz, peer string, ok boolean").select(line.alias("line"))
+
+
+def test_auth_bursts_batch_and_stream(spark):
+    at = lambda m, s=0: T0 + timedelta(minutes=m, seconds=s)
+    early = [(at(0, 5), "a", False), (at(0, 50), "a", False), (at(3), "a", False), (at(4, 59), "a", False), (at(5), "a", False),
+             (at(1), "b", False), (at(9), "b", False), (at(2), "c", True), (at(2, 1), "c", True), (at(2, 2), "c", True)]
+    hot = [(at(20 + i % 7, i % 60), "hot", False) for i in range(2000)]
+    rest = [(at(40), "a", False), (at(60), "quiet", True), (at(59, 30), "late", False)]
+    want = {("a", at(3), 3), ("a", at(4), 4), ("a", at(5), 3)}
+    per = [sum(1 for i in range(2000) if i % 7 == m) for m in range(7)]
+    want |= {("hot", at(20 + m), sum(per[max(0, m - 4):m + 1])) for m in range(7)}
+    for slices in (1, 8):
+        got = logs.auth_bursts(logs.parse_lines(_failures(spark, early + hot + rest)), 5, 3, slices)
+        assert {tuple(r) for r in got.collect()} == want
+    src, out = shared_dir(spark, "test_auth_src"), shared_dir(spark, "test_auth_out")
+    for part in (hot[::2], early[::-1], hot[1::2], rest):  # a file that is late by less than the delay
+        _failures(spark, part).coalesce(1).write.mode("append").parquet(src)
+    lines = spark.readStream.schema("line string").option("maxFilesPerTrigger", 1).parquet(src)
+    got = logs.auth_bursts_stream(spark, lines, 5, 3, f"{out}/d", f"{out}/c", watermark="30 minutes")
+    assert {tuple(r) for r in got.collect()} == {w for w in want if w[1] + timedelta(minutes=1) <= at(30)}
+    left = {r.minute for r in state.open_state(spark, f"{out}/c", variable="minutes").select("key.*", "user_map_key.*").collect()}
+    assert min(left) * 60 >= (at(26) - datetime(1970, 1, 1)).total_seconds()  # nothing that no later minute looks back to
+
+
+def test_message_route_stream_without_rows(spark):
+    src, out = shared_dir(spark, "test_route_empty"), shared_dir(spark, "test_route_out")
+    empty = spark.createDataFrame([], "event_id long, msg_type string")
+    empty.write.parquet(src)
+    got = messages.route_stream(spark, src, "*.parquet", empty.schema, lambda d: d, f"{out}/d", f"{out}/c")
+    assert got.collect() == [] and {"event_id", "msg_type", "route"} <= set(got.columns)

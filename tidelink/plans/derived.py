@@ -80,6 +80,14 @@ ROWS_TEXT_EXPR = """CASE
   WHEN event_type = 'purchase' THEN 'SELECT raise_error(''stop'') AS y'
   ELSE 'SELECT TIMESTAMP_NTZ ''2024-01-01 00:00:00'' AS at' END"""
 
+# Requests with results longer than a page, in an order of their own.
+PAGED_TEXT_EXPR = """CASE
+  WHEN event_type = 'view' THEN 'SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey % 8 = '
+    || CAST(event_id % 8 AS STRING) || ' ORDER BY o_orderkey DESC'
+  WHEN event_type = 'click' THEN 'SELECT o_orderkey FROM orders WHERE o_orderkey < 0'
+  WHEN event_type = 'purchase' THEN 'SELECT c_custkey FROM customer ORDER BY c_custkey'
+  ELSE 'SELECT * FROM missing_table' END"""
+
 # Session markers, and link reconnects, from events.
 MARKER_EXPR = """CASE
   WHEN event_type = 'signup' THEN 'create'

@@ -105,6 +105,18 @@ SELECT o_orderstatus, count(*) AS n_orders,
        CAST(sum(o_orderkey) AS BIGINT) AS key_sum, count(DISTINCT o_orderkey) AS n_keys
 FROM orders GROUP BY o_orderstatus""",
 
+    "ingest_changes": """
+WITH f AS (SELECT o_orderkey AS k FROM orders)
+SELECT o_orderstatus AS name, CAST(count(*) AS BIGINT) AS n_rows, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS total_price
+FROM orders GROUP BY o_orderstatus
+UNION ALL SELECT 'run 1 inserted', count(*) FILTER (k % 10 <> 3) + count(*) FILTER (k % 11 = 0 AND k > 0), NULL FROM f
+UNION ALL SELECT 'run 1 updated', 0, NULL
+UNION ALL SELECT 'run 1 deleted', 0, NULL
+UNION ALL SELECT 'run 2 inserted', count(*) FILTER (k % 10 = 3), NULL FROM f
+UNION ALL SELECT 'run 2 updated', count(*) FILTER (k % 10 <> 3 AND k % 7 = 0), NULL FROM f
+UNION ALL SELECT 'run 2 deleted', count(*) FILTER (k % 11 = 0 AND k > 0), NULL FROM f
+UNION ALL SELECT 'run 3 ' || n, 0, NULL FROM (SELECT unnest(['inserted', 'updated', 'deleted', 'rewritten']) AS n)""",
+
     "copy_reconcile": """
 SELECT 'source' AS side, CAST(count(*) AS BIGINT) AS n_rows, CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS DOUBLE) AS total_amount,
        true AS match FROM orders
@@ -216,6 +228,18 @@ SELECT * FROM (SELECT DISTINCT input FROM t WHERE event_type = 'click'),
 UNION ALL
 SELECT DISTINCT input, '{{"at":"2024-01-01T00:00:00"}}' FROM t WHERE event_type IN ('signup', 'error')""",
 
+    "request_pages": f"""
+WITH t AS (SELECT DISTINCT event_type, event_id % 8 AS k, {d.PAGED_TEXT_EXPR} AS input FROM events),
+r AS (
+  SELECT t.input, row_number() OVER (PARTITION BY t.input ORDER BY o.o_orderkey DESC) AS rn,
+         '{{"o_orderkey":' || o.o_orderkey || ',"o_orderstatus":"' || o.o_orderstatus || '"}}' AS row_json
+  FROM t JOIN orders o ON o.o_custkey % 8 = t.k WHERE t.event_type = 'view'
+  UNION ALL
+  SELECT i.input, row_number() OVER (PARTITION BY i.input ORDER BY c_custkey), '{{"c_custkey":' || c_custkey || '}}'
+  FROM (SELECT DISTINCT input FROM t WHERE event_type = 'purchase') i, customer)
+SELECT input, (rn - 1) // 500 AS page, count(*) AS n_rows, '[' || string_agg(row_json, ',' ORDER BY rn) || ']' AS rows_json
+FROM r GROUP BY ALL""",
+
     "request_routing": """
 SELECT event_id AS row_index,
        event_type <> 'purchase' AS success,
@@ -463,3 +487,13 @@ GROUP BY minute, level""",
 ORACLE_SQL["session_markers_stream"] = f"""
 SELECT * FROM ({ORACLE_SQL["session_markers"]})
 WHERE session_end < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"""
+ORACLE_SQL["auth_bursts"] = f"""
+WITH f AS (SELECT CAST(user_id AS VARCHAR) AS peer, date_trunc('minute', ts) AS minute, count(*) AS n
+           FROM events WHERE event_type = 'error' GROUP BY ALL),
+w AS (SELECT peer, minute, CAST(sum(n) OVER (PARTITION BY peer ORDER BY minute
+        RANGE BETWEEN INTERVAL 59 MINUTE PRECEDING AND CURRENT ROW) AS BIGINT) AS n_failed FROM f)
+SELECT * FROM w WHERE n_failed >= 2"""
+# The same alerts, of the minutes that the final watermark (latest log time minus 2 minutes) has closed.
+ORACLE_SQL["auth_bursts_stream"] = f"""
+SELECT * FROM ({ORACLE_SQL["auth_bursts"]})
+WHERE minute + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 MINUTE FROM events)"""

@@ -18,7 +18,7 @@ from tidelink.functions.numeric import MONEY, exact_sum
 from tidelink.functions.temporal import iso_text, ntz_literal, seconds_between
 from tidelink.operators import inventory, keyed, moving, percentiles, relational
 from tidelink.operators.range_join import range_join
-from tidelink.operators.requests import parse_requests, run_requests
+from tidelink.operators.requests import parse_requests, result_pages, run_requests
 from tidelink.plans import derived
 from tidelink.session import shared_dir
 from tidelink.sources.registry import SourceCatalog
@@ -32,6 +32,8 @@ RESPONSE_WITHIN = "1 hour"
 STREAM_DELAY = "10 minutes"
 LOG_DELAY = "2 minutes"
 DERBY = "tidelink"
+PAGE_ROWS = 500
+BURST_MINUTES, BURST_LEAST = 60, 2
 
 
 def _t(spark, sf_dir, name) -> DataFrame:
@@ -255,6 +257,23 @@ def q_ingest_incremental(spark, sf_dir):
                  F.sum("o_orderkey").cast("long").alias("key_sum"), F.count_distinct("o_orderkey").alias("n_keys")))
 
 
+def q_ingest_changes(spark, sf_dir):
+    """A lake table after three runs over a changing source: the second brings
+    new orders (keys 3 mod 10), changed prices (0 mod 7) and deletions (the
+    orders of negative keys), the third nothing."""
+    path = shared_dir(spark, "ingest_changes")
+    orders = _t(spark, sf_dir, "orders")
+    first = orders.filter(F.col("o_orderkey") % 10 != 3).withColumn(
+        "o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 7 == 0, 1.0).otherwise(0.0))
+    first = first.unionByName(orders.filter((F.col("o_orderkey") % 11 == 0) & (F.col("o_orderkey") > 0)).withColumn("o_orderkey", -F.col("o_orderkey")))
+    runs = [lake.ingest_changes(spark, source, path, ["o_orderkey"], buckets=64) for source in (first, orders, orders)]
+    report = spark.createDataFrame(
+        [(f"run {r.version} {name}", getattr(r, name)) for r in runs for name in ("inserted", "updated", "deleted")]
+        + [("run 3 rewritten", len(runs[2].rewritten))], "name string, n_rows long").withColumn("total_price", F.lit(None).cast("double"))
+    return _status_from(lake.read_snapshot(spark, path)).select(
+        F.col("o_orderstatus").alias("name"), F.col("n_orders").alias("n_rows"), "total_price").unionByName(report)
+
+
 def q_copy_reconcile(spark, sf_dir):
     path = shared_dir(spark, "copy_reconcile")
     return lake.copy_reconcile(spark, _t(spark, sf_dir, "orders"), path, "o_totalprice")
@@ -326,6 +345,16 @@ def q_request_rows(spark, sf_dir):
     return asked.join(results, "result_id").select("input", "row_json")
 
 
+def q_request_pages(spark, sf_dir):
+    """Every distinct request's result in pages of at most 500 rows, a page's rows as one JSON array."""
+    register_views(spark, sf_dir, ("customer", "orders"))
+    req = derived.request_table(_t(spark, sf_dir, "events"), derived.PAGED_TEXT_EXPR)
+    envelopes, results = run_requests(spark, req)
+    asked = envelopes.filter("success").join(req, "row_index").select("result_id", "input").distinct()
+    return asked.join(result_pages(results, PAGE_ROWS), "result_id").select(
+        "input", "page", "n_rows", F.concat(F.lit("["), F.concat_ws(",", "rows"), F.lit("]")).alias("rows_json"))
+
+
 def q_request_routing(spark, sf_dir):
     """Requests routed by their target: ``remote-db`` (with or without port)
     resolves to the remote database, no target to the default source, an
@@ -456,6 +485,19 @@ def q_log_rate_stream(spark, sf_dir):
                                 watermark=LOG_DELAY, partitions=_state_partitions(spark))
 
 
+def q_auth_bursts(spark, sf_dir):
+    return logs.auth_bursts(logs.parse_lines(derived.service_log(_t(spark, sf_dir, "events"))), BURST_MINUTES, BURST_LEAST)
+
+
+def q_auth_bursts_stream(spark, sf_dir):
+    schema = _t(spark, sf_dir, "events").schema
+    out = shared_dir(spark, "auth_bursts_stream")
+    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    return logs.auth_bursts_stream(spark, derived.service_log(events), BURST_MINUTES, BURST_LEAST, f"{out}/data", f"{out}/checkpoint",
+                                   watermark=LOG_DELAY, partitions=_state_partitions(spark))
+
+
 QUERIES = {
     "user_orders": q_user_orders,
     "order_listing": q_order_listing,
@@ -476,6 +518,7 @@ QUERIES = {
     "constraint_report": q_constraint_report,
     "ingest_full": q_ingest_full,
     "ingest_incremental": q_ingest_incremental,
+    "ingest_changes": q_ingest_changes,
     "copy_reconcile": q_copy_reconcile,
     "catalog_read": q_catalog_read,
     "encode_roundtrip": q_encode_roundtrip,
@@ -485,6 +528,7 @@ QUERIES = {
     "request_parse": q_request_parse,
     "request_batch": q_request_batch,
     "request_rows": q_request_rows,
+    "request_pages": q_request_pages,
     "request_routing": q_request_routing,
     "protocol_lookup": q_protocol_lookup,
     "connection_inventory": q_connection_inventory,
@@ -503,4 +547,6 @@ QUERIES = {
     "log_parse": q_log_parse,
     "log_rate": q_log_rate,
     "log_rate_stream": q_log_rate_stream,
+    "auth_bursts": q_auth_bursts,
+    "auth_bursts_stream": q_auth_bursts_stream,
 }

@@ -1,4 +1,4 @@
-"""Service log monitoring: format, parse, per-minute rates, auth alerts.
+"""Service log monitoring: format, parse, per-minute rates, bursts of failed logins.
 
 Line format ``<asctime> - <logger> - <LEVEL> - <message>`` with
 ``asctime`` = ``yyyy-MM-dd HH:mm:ss,SSS``; the message may itself contain
@@ -7,12 +7,15 @@ Line format ``<asctime> - <logger> - <LEVEL> - <message>`` with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from tidelink.session import state_partitions
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tidelink.functions.temporal import instant_to_ntz, ntz_to_instant, tumbling_start
+from tidelink.operators.moving import moving_sums
+from tidelink.session import state_partitions
+from tidelink.streaming.waiting import timed
 
 ASCTIME = "yyyy-MM-dd HH:mm:ss,SSS"
 ASCTIME_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}$"
@@ -20,6 +23,7 @@ LEVEL_PATTERN = r"^[A-Z]+$"
 # Log messages that mark authentication outcomes.
 READY_MARKER = "authenticated and ready"
 AUTH_FAILED_MARKER = "Authentication failed"
+_MINUTE_US, _MINUTE_MS = 60_000_000, 60_000
 
 
 def format_line(ts, logger, level, message):
@@ -73,3 +77,77 @@ def log_rate_stream(spark: SparkSession, lines: DataFrame, out_dir: str, checkpo
              .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(out_dir)
+
+
+def failed_peer() -> Column:
+    """The peer that a failed login names; null for other messages."""
+    peer = F.regexp_extract("message", AUTH_FAILED_MARKER + r".*\bpeer (\S+)", 1)
+    return F.when(F.col("message").contains(AUTH_FAILED_MARKER) & (peer != ""), peer)
+
+
+def auth_bursts(parsed: DataFrame, minutes: int, least: int, slices: int | None = None) -> DataFrame:
+    """``peer, minute, n_failed``: minutes with a failed login of a peer in which it had ``least`` or more
+    in this minute and the ``minutes - 1`` before.  A peer with very many failures is cut into slices."""
+    failed = parsed.select(failed_peer().alias("peer"), tumbling_start("log_ts", "1 minute").alias("minute")).dropna()
+    counts = failed.groupBy("peer", "minute").agg(F.count(F.lit(1)).alias("_failed"))
+    moved = moving_sums(counts, ["peer"], "minute", (minutes - 1) * _MINUTE_US, "_failed", "_minutes", "n_failed", slices)
+    return moved.filter(F.col("n_failed") >= least).select("peer", "minute", F.col("n_failed").cast("long").alias("n_failed"))
+
+
+class _Ring(StatefulProcessor):
+    """Failed logins of one peer by minute, for as many minutes as an alert looks back."""
+
+    def __init__(self, minutes: int, least: int):
+        self.minutes, self.least = minutes, least
+
+    def init(self, handle):
+        self.handle = handle
+        self.counts = handle.getMapState("minutes", "minute long", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        new: dict[int, int] = {}
+        for pdf in rows:
+            for minute in (pdf["us"].to_numpy("int64") // _MINUTE_US).tolist():
+                new[minute] = new.get(minute, 0) + 1
+        for minute, n in new.items():
+            known = self.counts.getValue((minute,))
+            self.counts.updateValue((minute,), (n + (known[0] if known else 0),))
+            if not known:
+                self.handle.registerTimer((minute + 1) * _MINUTE_MS)             # the minute is closed
+                self.handle.registerTimer((minute + self.minutes) * _MINUTE_MS)  # no later minute looks back to it
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs() // _MINUTE_MS
+        counts = {minute: n for (minute,), (n,) in self.counts.iterator()}
+        alerts = []
+        if now - 1 in counts:
+            n = sum(v for minute, v in counts.items() if now - self.minutes <= minute < now)
+            if n >= self.least:
+                alerts.append((key[0], (now - 1) * _MINUTE_US, n))
+        if now - self.minutes in counts:
+            self.counts.removeKey((now - self.minutes,))
+        return iter([pd.DataFrame(alerts, columns=["peer", "us", "n_failed"])] if alerts else [])
+
+    def close(self):
+        pass
+
+
+def auth_bursts_stream(spark: SparkSession, lines: DataFrame, minutes: int, least: int, out_dir: str, checkpoint_dir: str,
+                       watermark: str = "2 minutes", partitions: int | None = None) -> DataFrame:
+    """Streaming twin of ``auth_bursts`` (``transformWithState``): alerts of the minutes that the watermark has closed.
+
+    State per peer is a ring of minute counts; every line of the log moves the watermark.
+    """
+    parsed = parse_lines(lines)
+    rows = timed(parsed.withColumn("peer", failed_peer()), "log_ts", watermark, "peer")
+    # Names the instant, so that the filter stays above the watermark.
+    rows = rows.filter(F.when(F.col("instant").isNotNull(), F.col("peer").isNotNull()))
+    found = rows.groupBy("peer").transformWithStateInPandas(_Ring(minutes, least), "peer string, us long, n_failed long", "append", "eventTime")
+    out = found.select("peer", instant_to_ntz(F.timestamp_micros("us")).alias("minute"), "n_failed")
+    with state_partitions(spark, partitions, rocksdb=True):
+        q = (out.writeStream.format("parquet").option("path", out_dir)
+             .option("checkpointLocation", checkpoint_dir).outputMode("append")
+             .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(out_dir)

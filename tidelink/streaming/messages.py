@@ -64,7 +64,11 @@ def route_stream(spark, source_dir: str, file_glob: str, schema, derive, out_dir
     read back from the sink."""
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
               .option("maxFilesPerTrigger", max_files).parquet(source_dir))
+    routed = with_route(derive(stream))
+    schema = routed.schema.add("batch", "long")
+    # The sink exists from the start, so a stream without rows reads back as an empty table.
+    spark.createDataFrame([], routed.drop("route").schema).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch=-1/route={DEAD_LETTER}")
     q = (derive(stream).writeStream.foreachBatch(fan_out_writer(out_dir))
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return spark.read.schema(schema).parquet(out_dir)
