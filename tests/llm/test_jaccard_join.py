@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidelink.llm import jaccard_join as J
 from tidelink.llm.jaccard_join import PartEnum, WordHashes, jaccard_components, keep_one_per_component, shingle_set
 
 
@@ -77,18 +80,49 @@ def test_chains_of_edits_and_hot_copies(spark):
     assert sorted((r[0], r[1], r[2]) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
 
 
-def test_linked_sets_share_a_signature():
+@pytest.mark.parametrize("num", [90, 80])
+def test_linked_sets_share_the_signatures_that_neither_leaves_out(num):
     rng = random.Random(1)
-    scheme, known = PartEnum(), WordHashes()
+    scheme, known, mask, linked, spared = PartEnum(num, 100), WordHashes(), (1 << J._DROP_BITS) - 1, 0, 0
     for size in [9, 10, 11, 13, 19, 20, 21, 50, 90, 91, 200, 700]:
         for _ in range(30):
             words = [b"%d" % rng.randrange(10 ** 9) for _ in range(size + 2)]
             a = shingle_set(b" ".join(words), known)
-            k = max(1, size // 19)
+            k = max(1, size // rng.choice((19, 25, 40)) if num == 90 else size // rng.choice((9, 11, 20)))
             b = shingle_set(b" ".join(words[k:] if rng.random() < 0.5 else words + [b"z%d" % i for i in range(k)]), known)
             inter = len(set(a.tolist()) & set(b.tolist()))
-            if 100 * inter >= 90 * (len(a) + len(b) - inter) and inter < max(len(a), len(b)):
-                assert set(scheme.signatures(a).tolist()) & set(scheme.signatures(b).tolist())
+            if 100 * inter >= num * (len(a) + len(b) - inter) and inter < max(len(a), len(b)):
+                (sa, ta), (sb, tb) = scheme.sign(a), scheme.sign(b)
+                common = set(sa.tolist()) & set(sb.tolist())
+                assert common
+                drops = [t >> J._DROP_BITS & mask if s & 1 == t >> 2 * J._DROP_BITS & 1 else t & mask
+                         for s in common for t in (ta, tb)]
+                assert len(common) > max(drops)  # in the band that they share
+                linked, spared = linked + 1, spared + (max(drops) > 0)
+    assert linked > 50 and spared > 20
+
+
+def test_subsets_are_enumerated_for_every_size():
+    scheme, rng = PartEnum(80, 100), random.Random(2)
+    for size in (5, 31, 32, 200, 5000):
+        items = np.array(sorted(rng.getrandbits(63) for _ in range(size)), dtype=np.uint64)
+        band = int(np.searchsorted(scheme.lows, size, side="right")) - 1
+        own = scheme._sign(items, band)[0]
+        assert scheme.parts(band) < len(own) <= 3 * scheme.parts(band)
+
+
+def test_passage_that_many_texts_hold(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(150)) + f" {passage} " + " ".join(
+        f"w{rng.randrange(10 ** 6)}" for _ in range(150))) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " more words") for i in range(0, 150, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard_components(docs, n=5, num=80, den=100)
+    want = {i: i for i in range(150)} | {200 + i: i for i in range(0, 150, 3)}
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+    pairs = J._hub_pairs(J._signatures(docs.select("doc_id", F.col("text").cast("binary").alias("text")), PartEnum(80, 100), 5))
+    assert pairs.count() < 100  # 50 links; the passage alone would name nearly every text
 
 
 def test_empty_table_and_extra_columns(spark):

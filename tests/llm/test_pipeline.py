@@ -3,6 +3,7 @@
 import corpus_pipeline as P
 from tests.llm.test_decontamination import brute as brute_leaks
 from tests.llm.test_jaccard_join import brute as brute_components
+from tests.llm.test_near_duplicate_stage import brute_kept
 from tests.llm.test_packing import check_packing
 from tidelink.llm import decontamination, jaccard_join, packing
 from tidelink.llm.common import read_docs
@@ -23,8 +24,7 @@ def test_stages(spark):
         given = {r["doc_id"] for r in docs.collect()}
         assert kept <= given
         if stage is P.near_duplicate_stage:
-            least = brute_components([r for r in rows_of(docs)])
-            assert kept == {doc for doc, _, first in least if doc == first}
+            assert kept == brute_kept(rows_of(docs))
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert P.ORACLE_SQL is None and 4 <= len(P.STAGES) <= 5
 

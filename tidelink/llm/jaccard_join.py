@@ -6,25 +6,30 @@ n words has one element, its whole word sequence; a text without words, and a
 null text, has none).  Two sets link when ``den * |A & B| >= num * |A | B|``
 (0.9 is 90/100).
 
-1. *Classes.*  Equal sets (size and 64-bit digest) form a class, found by a
-   partial aggregation; one representative goes on.
+1. *Classes.*  Equal sets (128-bit digest) form a class, found by a partial
+   aggregation; one representative goes on.
 2. *Signatures.*  Sizes are cut into bands.  A linked pair of sizes a, b has
    symmetric difference at most (a+b)(1-g)/(1+g); for the bands of a pair this
    bounds the distance by k.  The hashed feature domain is split into first-
-   level parts, of which at least one holds at most k2 of the differences, and
-   each of those into n2 second-level parts; every subset of n2-k2 of them
-   gives one signature (the sum of its mixed features).  Linked sets share a
-   signature.  A set signs for its own band and, near the band's upper end,
-   for the next one.
-3. *Hubs.*  In every signature group the member met most often over all groups
+   level parts, of which all but k / 2 hold at most one of the differences, and
+   each of those into three second-level parts; every subset of two of them
+   gives one signature (the sum of its mixed features).  A set signs for its
+   own band and, near the band's upper end, for the next one.
+   A subset that holds no feature is signed only by sets that have too few
+   parts without such a subset: the parts are so many that a few may be missing.
+3. *Rare signatures.*  So linked sets share not one signature but at least a
+   number r that each of them knows: its parts without an empty subset, less
+   k / 2.  Both may leave out their r - 1 most frequent signatures and still
+   share the least frequent common one.  Signatures of a passage that very many
+   texts hold are the frequent ones, and go.
+4. *Hubs.*  In every signature group the member met most often over all groups
    is the hub.  Only pairs (member, hub) are compared, so a group of m sets
    costs m rows, not m*m.
-4. *The rest, exactly.*  Members x, y of one group with hub p are at distance
-   |dx| + |dy| - 2|dx & dy|, where dx is the difference of x and p.  If both
-   link to p they are in one component already.  Otherwise a link needs a
-   common element within short prefixes of dx and dy (elements that the hub
-   lacks come first), which an equi-join finds; these pairs are compared too.
-   No component loses a link, and no group is paired with itself.
+   *The rest, exactly.*  Two members of one group that both link to its hub are in
+   one component already.  Other linked members have a common element within
+   short prefixes of their sets, elements that the hub lacks first, which an
+   equi-join on (hub, element) finds; these pairs are compared too.  No
+   component loses a link, and no group is paired with itself.
 5. *Components* of the links by star contraction; classes carry their members.
 6. *Link counts.*  Two members that both link to p are compared by their whole
    differences, in blocks of about ``BLOCK`` members, of which every two meet
@@ -39,11 +44,13 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from math import ceil, exp, sqrt
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelink.llm.common import in_parts, map_rows, materialise, text_bytes
@@ -51,11 +58,15 @@ from tidelink.llm.connected import component_roots
 
 WORDS = 3                # shingle length
 NUM, DEN = 90, 100       # similarity of a link, as a fraction
-BAND_STEPS = 3           # a band's sizes span this many factors 1/threshold
-SMALL_DISTANCE = 8       # up to here a first-level part may hold one difference (n2 = 3, k2 = 1)
+BAND_STEPS = 1           # a band's sizes span this many factors 1/threshold
+SECOND = 3               # second-level parts of a first-level part, of which one may differ
+SPARE = 0.05             # share of first-level parts beyond those needed, for signatures that may be left out
+_DROP_BITS = 10          # a class carries how many signatures it may leave out, up to 1023, for both bands
+_TAIL_BITS = 2 * _DROP_BITS + 1
 BITMAP_BITS = 1 << 24    # fixed size of the row prefilter below (2 MB)
 REMEMBER = 200_000       # word hashes kept by a task
 BLOCK = 512              # members of one hub in a block of the link counts, about
+SALTS = 32               # tasks that the members of one hub spread over before they are dealt to blocks
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -101,32 +112,63 @@ class PartEnum:
             self.bands.append((low, high))
             low = high + 1
         self.lows = np.array([b[0] for b in self.bands], dtype=np.int64)
+        self._parts: dict[int, int] = {}
 
     def distance(self, total: int) -> int:
         """Largest symmetric difference of linked sets whose sizes sum to ``total``."""
         return total * (self.den - self.num) // (self.den + self.num)
 
-    def signatures(self, items: np.ndarray) -> np.ndarray:
+    def parts(self, band: int) -> int:
+        """First-level parts of a band: as many as the distance needs, some spare ones, and about as
+        many as have an empty subset in the band's smallest sets (loads are close to Poisson ones)."""
+        if band not in self._parts:
+            low, high = self.bands[band]
+            least = self.distance(2 * high) // 2 + 1
+            sure, more = least + ceil(least * SPARE), 0
+            while more <= least:
+                empty = exp(-low / (sure + more) / SECOND)
+                light = (sure + more) * (3 * empty ** 2 * (1 - empty) + empty ** 3)
+                want = ceil(light + 2 * sqrt(light))
+                if want <= more:
+                    break
+                more = want
+            self._parts[band] = sure + (more if more <= least else 0)
+        return self._parts[band]
+
+    def sign(self, items: np.ndarray) -> tuple[np.ndarray, int]:
+        """A set's signatures, and a number of ``_TAIL_BITS`` bits: its band's parity, and how many
+        signatures it may leave out in its own band and in the next one.  A signature's last bit is
+        its band's parity."""
         n = len(items)
         if n * self.den // self.num == n:  # no other size and no difference can link
-            return np.empty(0, dtype=np.uint64)
+            return np.empty(0, dtype=np.uint64), 0
         band = int(np.searchsorted(self.lows, n, side="right")) - 1
-        own = [band]
+        own, drop = self._sign(items, band)
+        after, drop_after = np.empty(0, dtype=np.uint64), 0
         if band + 1 < len(self.bands) and n * self.den >= self.num * self.bands[band + 1][0]:
-            own.append(band + 1)
-        return np.concatenate([self._sign(items, b) for b in own])
+            after, drop_after = self._sign(items, band + 1)
+        return np.concatenate([own, after]), ((band & 1) << 2 * _DROP_BITS) | (drop << _DROP_BITS) | drop_after
+
+    def signatures(self, items: np.ndarray) -> np.ndarray:
+        return self.sign(items)[0]
 
-    def _sign(self, items: np.ndarray, band: int) -> np.ndarray:
-        k = self.distance(2 * self.bands[band][1])
-        first, second = ((k + 2) // 2, 3) if k <= SMALL_DISTANCE else (k + 1, 1)
+    def _sign(self, items: np.ndarray, band: int) -> tuple[np.ndarray, int]:
+        n1 = self.parts(band)
         seed = _mix(np.array([band + 1], dtype=np.uint64) * _M1)[0]
-        part = (_mix(items ^ seed) >> np.uint64(33)) % np.uint64(first * second)
-        sums = np.zeros(first * second, dtype=np.uint64)
-        np.add.at(sums, part.astype(np.int64), _mix(items + seed))
-        if second > 1:  # leave out one second-level part at a time
-            by_first = sums.reshape(first, second)
-            sums = (by_first.sum(axis=1, dtype=np.uint64)[:, None] - by_first).ravel()
-        return _mix(_mix(sums + seed) + np.arange(len(sums), dtype=np.uint64) * _M1)
+        part = ((_mix(items ^ seed) >> np.uint64(33)) % np.uint64(n1 * SECOND)).astype(np.int64)
+        sums = np.zeros(n1 * SECOND, dtype=np.uint64)
+        np.add.at(sums, part, _mix(items + seed))
+        sums = sums.reshape(n1, SECOND)
+        load = np.bincount(part, minlength=n1 * SECOND).reshape(n1, SECOND)
+        # Every subset leaves out one second-level part.
+        subsets = (sums.sum(axis=1, dtype=np.uint64)[:, None] - sums).ravel()
+        filled = (load.sum(axis=1)[:, None] - load) > 0
+        shared = int(filled.all(axis=1).sum()) - self.distance(2 * self.bands[band][1]) // 2
+        signed = _mix(_mix(subsets + seed) + np.arange(len(subsets), dtype=np.uint64) * _M1)
+        signed = (signed & ~np.uint64(1)) | np.uint64(band & 1)
+        if shared < 1:
+            return signed, 0
+        return signed[filled.ravel()], min(shared - 1, (1 << _DROP_BITS) - 1)
 
 
 def _longs(a: np.ndarray) -> np.ndarray:
@@ -155,46 +197,77 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
 
 
-def _sign_docs(docs: DataFrame, scheme: PartEnum, n: int) -> DataFrame:
-    """``doc_id, n_shingles, key, sigs`` per row; a task signs each class once."""
+def _digest(items: np.ndarray) -> bytes | None:
+    """The class of a set; a set without elements has none."""
+    return xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None
+
+
+def _route(digest: bytes | None) -> int | None:
+    """The first bits of a class, by which signature rows name it; classes that share them are compared all."""
+    return None if digest is None else int.from_bytes(digest[:8], "big") >> _TAIL_BITS
+
+
+def _size_docs(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, n_shingles, key, route`` per row; ``key`` is the class."""
+
+    def run(batches):
+        known = WordHashes()
+        for batch in in_parts(batches):
+            sets = [shingle_set(text, known, n) for text in batch.column(1).to_pylist()]
+            keys = [_digest(items) for items in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(items) for items in sets], pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array([_route(k) for k in keys], pa.int64())], names=["doc_id", "n_shingles", "key", "route"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, key binary, route long")
+
+
+def _signatures(docs: DataFrame, scheme: PartEnum, n: int) -> DataFrame:
+    """``sig, name``: a row per signature; a name is a class's route and its ``sign`` number.  A task signs a class once."""
 
     def run(batches):
         known, signed = WordHashes(), set()
         for batch in in_parts(batches):
-            sizes, keys, sigs = [], [], []
+            sigs, names = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
             for text in batch.column(1).to_pylist():
                 items = shingle_set(text, known, n)
-                key = xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63) if len(items) else None
-                sizes.append(len(items))
-                keys.append(key)
+                key = _digest(items)
                 if key is None or key in signed:
-                    sigs.append(np.empty(0, dtype=np.int64))
                     continue
                 if len(signed) >= REMEMBER:
                     signed.clear()
                 signed.add(key)
-                sigs.append(_longs(scheme.signatures(items)))
+                found, tail = scheme.sign(items)
+                sigs.append(found)
+                name = (_route(key) << _TAIL_BITS) | tail
+                names.append(np.full(len(found), name - (1 << 64) if name >> 63 else name, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), _lists(sigs)],
-                names=["doc_id", "n_shingles", "key", "sigs"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, key long, sigs array<long>")
-
-
-def _hub_edges(signed: DataFrame) -> DataFrame:
-    """Distinct ``x, p``: member and hub of every signature group of two or more classes."""
-    sigs = signed.select("key", F.explode("sigs").alias("sig"))
-    # A count is a short buffer to shuffle; it also meets classes signed by several tasks, which "m" tells apart.
-    shared = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
-    found = materialise(sigs.join(shared, "sig").distinct(), "jaccard-members")
-    sizes = found.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = found.join(sizes, "sig")
-    rank = members.groupBy("key").agg(F.sum("m").alias("met"))
-    ranked = members.join(rank, "key")
-    hubs = ranked.groupBy("sig").agg(F.max(F.struct("met", "key")).alias("top")).select(
-        "sig", F.col("top.key").alias("p"))
-    return (members.join(hubs, "sig").filter("key <> p").select(F.col("key").alias("x"), "p").distinct())
+                [pa.array(_longs(np.concatenate(sigs)), pa.int64()), pa.array(np.concatenate(names), pa.int64())], names=["sig", "name"])
+
+    return docs.mapInArrow(run, "sig long, name long")
+
+
+def _hub_pairs(signatures: DataFrame) -> DataFrame:
+    """Routes of member and hub (``rx``, ``rp``) of every group of two or more classes that share a
+    signature; ``others``: whether such a group has a third member."""
+    group = Window.partitionBy("sig")
+    met = signatures.select("sig", "name", F.min("name").over(group).alias("low"), F.max("name").over(group).alias("high"),
+                            F.count(F.lit(1)).over(group).alias("m"))  # one shuffle, fixed-width rows
+    members = materialise(met.filter("low <> high").select("sig", "name", "m").distinct(), "jaccard-members")
+    # Of a class's signatures in a band, the most frequent ones go, as many as it may leave out.
+    mask = (1 << _DROP_BITS) - 1
+    parity = F.col("sig").bitwiseAND(F.lit(1))
+    own = parity == F.shiftright("name", 2 * _DROP_BITS).bitwiseAND(F.lit(1))
+    drop = F.when(own, F.shiftright("name", _DROP_BITS)).otherwise(F.col("name")).bitwiseAND(F.lit(mask))
+    rank = F.row_number().over(Window.partitionBy("name", parity).orderBy(F.desc("m"), "sig"))
+    kept = members.select("sig", "name", drop.alias("drop"), rank.alias("rank")).filter("rank > drop").select("sig", "name")
+    # The member met most often over all groups is the hub of its groups, so that a class has few hubs.
+    often = members.groupBy("name").agg(F.sum("m").alias("met"))
+    grouped = kept.join(often, "name").select("name", F.max(F.struct("met", "name")).over(group)["name"].alias("hub"),
+                                              F.count(F.lit(1)).over(group).alias("m")).filter("name <> hub")
+    route = lambda c: F.shiftrightunsigned(c, _TAIL_BITS)
+    return grouped.groupBy(route("name").alias("rx"), route("hub").alias("rp")).agg(F.max(F.col("m") > 2).alias("others"))
 
 
 def _bitmap(ids: DataFrame) -> bytes:
@@ -225,32 +298,31 @@ def _sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
                             & np.uint32(1)).astype(bool) for t in tables)
             take = np.flatnonzero(member | hub)
             sets = [shingle_set(t, known, n) for t in batch.column(1).take(pa.array(take)).to_pylist()]
-            keys = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([_packed(s) for s in sets], pa.binary()),
+                [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_packed(s) for s in sets], pa.binary()),
                  pa.array(member[take], pa.bool_()), pa.array(hub[take], pa.bool_())],
                 names=["key", "items", "as_member", "as_hub"])
 
     hashed = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)))
-    return hashed.mapInArrow(run, "key long, items binary, as_member boolean, as_hub boolean")
+    return hashed.mapInArrow(run, "key binary, items binary, as_member boolean, as_hub boolean")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, prefixes: bool) -> DataFrame:
-    """Exact comparison of ``x, p`` pairs.
+    """Exact comparison of pairs of classes ``x, p`` (their digests: ``xk, pk``).
 
     Without ``prefixes``: ``x, p, linked``.  With them also ``elements`` (the
-    prefix of x's difference to the hub), ``n_half`` (how many of them bind
-    partners that do not link to the hub), ``n_x`` (size of x), ``d_x`` (size
-    of the whole difference) and ``diff`` (the difference, if x links).
+    prefix of x, of which every set that links with x holds one), ``n_x``
+    (size of x), ``d_x`` (size of the difference of x and p), ``diff`` (the
+    difference, if x links) and ``parity``, two longs of 128 parity bits of x:
+    they differ in no more bits than two sets in elements.
     """
-    left = (sets.filter("as_member") if prefixes else sets).select(F.col("key").alias("x"), F.col("items").alias("xi"))
-    right = (sets.filter("as_hub") if prefixes else sets).select(F.col("key").alias("p"), F.col("items").alias("pi"))
-    both = pairs.select("x", "p").join(left, "x").join(right, "p").select("x", "p", "xi", "pi")
+    left = (sets.filter("as_member") if prefixes else sets).select(F.col("key").alias("xk"), F.col("items").alias("xi"))
+    right = (sets.filter("as_hub") if prefixes else sets).select(F.col("key").alias("pk"), F.col("items").alias("pi"))
+    both = pairs.select("x", "p", "xk", "pk").join(left, "xk").join(right, "pk").select("x", "p", "xi", "pi")
     num, den = scheme.num, scheme.den
-    slack = (den - num) / (den + num)
 
     def batch_fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        linked, elements, halves, own, apart, diffs = [], [], [], [], [], []
+        linked, elements, own, apart, diffs, parities = [], [], [], [], [], []
         for xi, pi in zip(batch.column(2), batch.column(3)):
             a, p = _unpacked(xi), _unpacked(pi)
             extra = np.setdiff1d(a, p, assume_unique=True)
@@ -260,48 +332,52 @@ def _compare(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, prefixes: bool
             if not prefixes:
                 continue
             missing = np.setdiff1d(p, a, assume_unique=True)
-            size = len(extra) + len(missing)
-            # Overlap of differences that a partner not linked to the hub needs at least.
-            need = int((size + (len(p) - len(a)) * slack - 1e-6) // 2) + 1
-            half = min(size, max(0, size - max(need, 1) + 1))
-            # Whatever the partner, differences overlap in at least size - k elements.
-            full = half if link else max(half, min(size, scheme.distance(len(a) + len(a) * den // num) + 1))
-            diff = np.concatenate([extra, missing])
-            elements.append(_longs(diff[:full]))
-            diffs.append(_packed(diff) if link else None)
-            halves.append(half)
+            prefix = len(a) - (num * len(a) + den - 1) // den + 1
+            ordered = np.concatenate([extra, np.setdiff1d(a, extra, assume_unique=True)])  # both in the order of the hashes
+            elements.append(_longs(ordered[:prefix]))
+            diffs.append(_packed(np.concatenate([extra, missing])) if link else None)
             own.append(len(a))
-            apart.append(size)
+            apart.append(len(extra) + len(missing))
+            odd = np.bincount((a & np.uint64(127)).astype(np.int64), minlength=128) & 1
+            parities.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
         columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())]
         names = ["x", "p", "linked"]
         if prefixes:
-            columns += [_lists(elements), *(pa.array(v, pa.int32()) for v in (halves, own, apart)), pa.array(diffs, pa.binary())]
-            names += ["elements", "n_half", "n_x", "d_x", "diff"]
+            columns += [_lists(elements), *(pa.array(v, pa.int32()) for v in (own, apart)), pa.array(diffs, pa.binary()), _lists(parities)]
+            names += ["elements", "n_x", "d_x", "diff", "parity"]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "x long, p long, linked boolean"
     if prefixes:
-        schema += ", elements array<long>, n_half int, n_x int, d_x int, diff binary"
+        schema += ", elements array<long>, n_x int, d_x int, diff binary, parity array<long>"
     return map_rows(both, batch_fn, schema)
 
 
 def _remaining_pairs(compared: DataFrame, scheme: PartEnum) -> DataFrame:
     """Pairs of one hub's members that may link although not both link to the hub.
 
-    At a common element at places i, j of the two ordered differences, at most
-    min(d_x - i, d_y - j) elements are common from there on; a link needs
-    (d_x + d_y - k) / 2 in all.
+    At the first common element, at places i, j of the two ordered sets, at most
+    min(n_x - i, n_y - j) elements are common; a link needs the share
+    num / (num + den) of both sizes.
     """
-    spread = compared.select("x", "p", "linked", "n_half", "n_x", "d_x", F.posexplode("elements").alias("pos", "e"))
-    own = spread.filter(~F.col("linked")).select(
-        "x", "p", "e", "n_x", F.col("d_x"), F.col("pos").alias("i"), (F.col("pos") < F.col("n_half")).alias("in_half"))
-    other = spread.filter(F.col("pos") < F.col("n_half")).select(
-        F.col("x").alias("y"), "p", "e", F.col("n_x").alias("n_y"), F.col("d_x").alias("d_y"), F.col("pos").alias("j"),
-        (~F.col("linked")).alias("y_apart"))
-    within = F.expr(f"((n_x + n_y) * {scheme.den - scheme.num}) div {scheme.den + scheme.num}")
-    met = own.join(other, ["p", "e"]).filter(
-        F.when(F.col("y_apart"), F.col("in_half") & (F.col("x") < F.col("y"))).otherwise(F.col("x") != F.col("y"))
-        & (2 * F.least(F.col("d_x") - F.col("i"), F.col("d_y") - F.col("j")) >= F.col("d_x") + F.col("d_y") - within))
+    num, den = scheme.num, scheme.den
+    # Narrow rows: hub and element as one hash, place and distance in one number.
+    spread = compared.select("x", "p", "linked", F.col("n_x").cast("long").alias("n"), "d_x", F.col("parity")[0].alias("s"),
+                             F.col("parity")[1].alias("t"), F.posexplode("elements").alias("pos", "e"))
+    spread = spread.select("x", F.xxhash64("p", "e").alias("pe"), "n", "s", "t", "linked",
+                           (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("d_x")).alias("at"))
+    own = spread.filter(~F.col("linked")).drop("linked")
+    other = spread.select("pe", F.col("linked").alias("near"), *[F.col(c).alias(f"{c}_y") for c in ("x", "n", "s", "t", "at")])
+    place, apart = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+    both = F.col("n") + F.col("n_y")
+    within = F.expr(f"((n + n_y) * {den - num}) div {den + num}")
+    bits = F.bit_count(F.col("s").bitwiseXOR(F.col("s_y"))) + F.bit_count(F.col("t").bitwiseXOR(F.col("t_y")))
+    met = own.join(other, (own["pe"] == other["pe"])
+                   & F.when(F.col("near"), F.col("x") != F.col("x_y")).otherwise(F.col("x") < F.col("x_y"))
+                   & (den * F.least("n", "n_y") >= num * F.greatest("n", "n_y")) & (bits <= within)
+                   & (F.abs(apart("at") - apart("at_y")) <= within)  # distances to the hub
+                   & ((den + num) * F.least(F.col("n") - place("at"), F.col("n_y") - place("at_y")) >= num * both))
+    met = met.withColumnRenamed("x_y", "y")
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("p")).distinct()
 
 
@@ -356,7 +432,9 @@ def _link_counts(compared: DataFrame, links: DataFrame, scheme: PartEnum) -> Dat
     hubs = materialise(own.groupBy("x").agg(F.sort_array(F.collect_set("p")).alias("hubs")), "jaccard-hubs-of")
     blocks = own.groupBy("p").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(
         "p", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("n_blocks"))
-    dealt = own.join(blocks, "p").join(hubs, "x").withColumn(
+    # The members of one hub are met in as many places as there are salts.
+    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = own.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(salted, ["p", "salt"]).drop("salt").join(hubs, "x").withColumn(
         "block", F.pmod(F.xxhash64(F.lit("block"), "x"), F.col("n_blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "p", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "x", "n_x", "d_x",
@@ -381,29 +459,40 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     scheme = PartEnum(num, den)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
-    signed = materialise(_sign_docs(rows, scheme, n), "jaccard-signed")
-    classes = (signed.filter("key is not null").groupBy("key")
-               .agg(F.min("doc_id").alias("first_id")))
-    hub_pairs = materialise(_hub_edges(signed), "jaccard-hubs")
-    touched = (hub_pairs.select(F.col("x").alias("key"), F.lit(1).alias("m"), F.lit(0).alias("h"))
-               .unionByName(hub_pairs.select(F.col("p").alias("key"), F.lit(0).alias("m"), F.lit(1).alias("h")))
-               .groupBy("key").agg((F.max("m") == 1).alias("as_member"), (F.max("h") == 1).alias("as_hub")))
-    needed = materialise(classes.join(touched, "key").select(F.col("first_id").alias("doc_id"), "as_member", "as_hub"),
-                         "jaccard-needed")
+    sized = materialise(_size_docs(rows, n), "jaccard-sizes")
+    # Written with a number of its own, which the steps below call the class by.
+    classes = materialise(sized.filter("key is not null").groupBy("key", "route").agg(F.min("doc_id").alias("first_id"))
+                          .withColumn("id", F.monotonically_increasing_id()), "jaccard-class-numbers")
+    hub_pairs = materialise(_hub_pairs(_signatures(rows, scheme, n)), "jaccard-hubs")
+    touched = (hub_pairs.select(F.col("rx").alias("route"), F.lit(1).alias("m"), F.lit(0).alias("h"))
+               .unionByName(hub_pairs.select(F.col("rp").alias("route"), F.lit(0).alias("m"), F.lit(1).alias("h")))
+               .groupBy("route").agg((F.max("m") == 1).alias("as_member"), (F.max("h") == 1).alias("as_hub")))
+    needed = materialise(classes.join(touched, "route").select("key", "id", "route", F.col("first_id").alias("doc_id"), "as_member",
+                                                               "as_hub"), "jaccard-needed")
     sets = materialise(_sets_of(rows, needed, n), "jaccard-sets")
-    compared = materialise(_compare(hub_pairs, sets, scheme, prefixes=True), "jaccard-compared")
-    rest = _compare(_remaining_pairs(compared, scheme), sets, scheme, prefixes=False).filter("linked")
+
+    def named(by: str, names: tuple[str, str], pairs: DataFrame) -> DataFrame:
+        """Numbers and digests of both sides of pairs that name classes by ``by``."""
+        for column, (number, digest) in zip(names, (("x", "xk"), ("p", "pk"))):
+            side = needed.select(F.col(by).alias(column), F.col("id").alias(f"_{number}"), F.col("key").alias(digest))
+            pairs = pairs.join(side, column)
+        return pairs.withColumns({"x": F.col("_x"), "p": F.col("_p")}).filter("x <> p").drop("_x", "_p")
+
+    met = materialise(named("route", ("rx", "rp"), hub_pairs).select("x", "p", "xk", "pk", "others"), "jaccard-pairs")
+    compared = materialise(_compare(met, sets, scheme, prefixes=True), "jaccard-compared")
+    crowded = compared.join(met.filter("others").select("x", "p"), ["x", "p"], "left_semi")  # in a group of two nothing is left
+    rest = _compare(named("id", ("x", "p"), _remaining_pairs(crowded, scheme)), sets, scheme, prefixes=False).filter("linked")
     links = materialise(compared.filter("linked").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
                         .unionByName(rest.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")))
                         .distinct(), "jaccard-links")
-    roots = component_roots(links, "a", "b").select(F.col("node").alias("key"), "root")
-    placed = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    roots = component_roots(links, "a", "b").select(F.col("node").alias("id"), "root")
+    placed = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = placed.join(names, "root").select("key", "component_id")
+    of_class = placed.join(names, "root").select("id", "key", "component_id")
     if counts:
-        of_class = of_class.join(_link_counts(compared, links, scheme), "key", "left")
-    of_class = materialise(of_class, "jaccard-classes")
-    plain = signed.select("doc_id", "n_shingles", "key")
+        of_class = of_class.join(_link_counts(compared, links, scheme).withColumnRenamed("key", "id"), "id", "left")
+    of_class = materialise(of_class.drop("id"), "jaccard-classes")
+    plain = sized.select("doc_id", "n_shingles", "key")
     with_words = plain.filter("key is not null").join(of_class, "key")
     without = plain.filter("key is null").withColumn("component_id", F.col("doc_id"))
     out = ["doc_id", "n_shingles", "component_id"]
