@@ -65,7 +65,7 @@ def test_article_text():
         H.main_text(H.read_page(odd), frozenset())
 
 
-def test_template_constants_are_removed(spark):
+def test_text_that_all_pages_share_stays_inside_the_article(spark):
     page = ("<html><body><article><h1>Story %d</h1><p>Our daily offer</p><p>Body text %d of page</p>"
             "<p>Read on tomorrow</p><p>Thanks for reading</p></article></body></html>")
     rows = [(i, f"http://h.org/{i}", page % (i, i)) for i in range(40)]
@@ -73,7 +73,7 @@ def test_template_constants_are_removed(spark):
              (5, "http://h.org/5", page % (5, 5))]
     frame = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, constants string")
     got = {r["page_id"]: r for r in H.extract(frame.repartition(3)).collect()}
-    assert got[3]["text"] == "Story 3\n\nBody text 3 of page" and got[3]["n_chars"] == len(got[3]["text"])
+    assert got[3]["text"] == "Story 3\n\nOur daily offer\n\nBody text 3 of page\n\nRead on tomorrow\n\nThanks for reading" and got[3]["n_chars"] == len(got[3]["text"])
     assert got[100]["text"].count("\n\n") == 4
     assert (got[101]["text"], got[101]["n_chars"], got[102]["text"]) == ("", 0, "")
     assert H.extract(frame).count() == len(rows)
