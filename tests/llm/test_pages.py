@@ -123,3 +123,39 @@ def test_arc_versions_parse_alike():
         found = list(W.parse_arc(data))
         assert [(r["version"], r["url"], r["block"]) for r in found] == [(version, "http://x%20y/", block), (version, "-", b"")]
         assert data[found[0]["offset"]:].startswith(b"http://x%20y/")
+
+
+def text_of(page, template=frozenset()):
+    return H.main_text(H.read_page(page), template)
+
+
+def test_classes_around_an_article_do_not_remove_it():
+    for name in ("layout with-sidebar", "has-comments", "no-ads", "page sidebar", "content overflow-hidden"):
+        assert text_of(f'<div class="{name}"><article><h1>A</h1><p>Body</p></article></div>') == "A\n\nBody", name
+    assert text_of('<article><p class="teaser">Lead</p><p>Body</p></article>') == "Lead\n\nBody"
+    page = '<article><p>Long body of the page</p></article><div class="sidebar"><article><p>Card %s</p></article></div>'
+    assert text_of(page % "") == text_of(page % ("x" * 99)) == "Long body of the page"
+    assert text_of('<div><p>A page without one</p></div><div class="comments"><article>Me</article></div>') == "A page without one"
+    assert text_of('<article class="ad"><p>Buy all of this now</p></article><article><p>Body</p></article>') == "Body"
+
+
+def test_region_is_chosen_by_its_text():
+    body = "Body of the page. " * 5
+    assert text_of(f"<main><h1>Title</h1><article><p>{body}</p></article></main>") == f"Title\n\n{body.strip()}"
+    assert text_of(f"<main><h1>T</h1><p>{body}</p><article><p>Other story</p></article></main>") == f"T\n\n{body.strip()}"
+    assert text_of(f"<article><p>{body}</p><article><p>I agree</p></article></article>") == body.strip()
+    assert text_of(f"<article><p>{body}</p></article><article><p>{body}</p></article>") == "\n\n".join([body.strip()] * 2)
+    # A template tells that the text outside the card is the page's own.
+    page = f"<body><p>Banner</p><p>{body}</p><article><p>Card</p></article></body>"
+    banner = frozenset(x.token for x in H.read_page(page) if x.text == "Banner")
+    assert text_of(page, banner) == body.strip()
+
+
+def test_broken_pages_take_linear_time():
+    import time
+    n = 50_000
+    for page in ("<b>" * n + "</i>" * n, "<a " * n + '"', "<a '" * n + '"', "<div><p>" + "<b>" * n + "<address>" * n,
+                 "<li><b>" * n, "<p><div>" * n, "<td><tr>" * n, "<!-- " * n, "</x" * n, "<article>" * n + "x"):
+        start = time.time()
+        text_of(page)
+        assert time.time() - start < 4, page[:20]

@@ -7,11 +7,21 @@ are equal form an equivalence class.  A class is valid if it is frequent
 (in at least ``SUPPORT`` of the host's pages, and the host has ``MIN_PAGES``)
 and has several tokens; valid classes are ordered by mean place and nested by
 span to the host's template.  In a page, text between template tokens fills
-slots: the slots' text is kept, constant text of the template is not.  An
-article or main element is a slot as a whole: its text is kept even where all
-pages of the host share it (copies of one article, repeated headings).
+slots: the slots' text is kept, constant text of the template is not.
+
+Every article and main element is a region, all text outside them one more.
+The slots tell which region holds the page's own text: the one with most slot
+text is chosen, an article before the rest unless the rest's slots hold
+``REST`` times all its text (a page with teaser cards only).  The chosen
+region is a slot as a whole: its text is kept even where all pages of the host
+share it (copies of one article, repeated headings).  With it go regions beside
+it with at least half its text, an article in the main element likewise, and
+the slots that the elements around it hold before it (a title).  An article in
+an article is a reader comment or a card, unless it holds most text itself.
 Elements that HTML, an ARIA role or a class or id name marks as menu, header,
-footer, sidebar, notice, advert, form, comment, script or style are left out.
+footer, sidebar, notice, advert, form, comment, script or style are left out;
+a class that marks an element around an article (``layout with-sidebar``) only
+makes that article second to unmarked regions.
 
 Occurrence vectors are never gathered: a page adds (count, place, xor of a
 hash of page and count) for each token, which Spark sums per (host, token) -
@@ -21,7 +31,7 @@ page has) meet their pages in one join; the pages' side is only shuffled where
 the templates are too large to broadcast by Spark's own size check.
 
 Defined results: null html is an empty page; a page without article text gives
-an empty text and 0; a page without article or main element that holds nothing
+an empty text and 0; a page without text in an article or main element that holds nothing
 but constant text is judged by its elements alone; repeated rows are extracted each; hosts with few pages
 have no template and are judged by their elements alone; a null url is host
 ''; broken markup is read as far as it goes; an empty table gives an empty
@@ -32,6 +42,7 @@ from __future__ import annotations
 
 import html as html_codec
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -46,9 +57,10 @@ from tidelink.llm.url_templates import host_and_path
 SUPPORT = 0.9
 MIN_PAGES = 10
 MIN_CLASS = 3            # tokens of a valid class
+REST = 4
 
 _SCAN = re.compile(
-    r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|([^<]+|<)""",
+    r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)[^>]*+(?:>|\Z)|([^<]+|<)""",
     re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 #: Elements without content.
@@ -76,33 +88,66 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 SCOPE = frozenset("ul ol dl table article section main div body html td th".split())
 
 
-def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
+#: Elements whose number of open ones decides implied ends, as bits.
+BIT = {tag: 1 << i for i, tag in enumerate(sorted({"p"}.union(*IMPLIED.values())))}
+#: First words that make a class name tell of another element.
+ABOUT = frozenset("with without has have no non not is".split())
+#: Marks that name a part of an article inside one, or nothing outside a whole name.
+LEAD, WHOLE = frozenset(("teaser",)), frozenset(("hidden",))
+
+
+def _marked(tag: str, value: str, in_article: bool) -> bool:
+    """Whether a class or id value names another part of a page."""
+    if tag in ("html", "body"):
+        return False
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        if not words or words[0] in ABOUT and len(words) > 1:
+            continue
+        found = MARKS.intersection(words) - (LEAD if in_article else frozenset())
+        if found - WHOLE or found and len(words) == 1:
+            return True
+    return False
+
+
+def _left_out(tag: str, attrs: str, in_article: bool) -> int:
+    """2 for an element that is never article text, 1 for one that only its class or id marks so, else 0."""
     if tag in OUTSIDE or (tag == "header" and not in_article):
-        return True
+        return 2
     if not attrs.strip():
-        return False
+        return 0
+    out = 0
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if tag not in ("html", "body") and MARKS.intersection(re.split(r"[^a-z0-9]+", value)):
-                return True
+            if _marked(tag, value, in_article):
+                out = 1
         elif name == "role":
             if value in ROLES:
-                return True
+                return 2
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return 2
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return 2
+    return out
+
+
+class Region:
+    """An article or main element: the region around it, and whether a class marks an element around it."""
+
+    __slots__ = ("around", "article", "marked")
+
+    def __init__(self, around: Region | None, article: bool, marked: bool):
+        self.around, self.article, self.marked = around, article, marked
 
 
 class Node:
     """A text node or tag in page order."""
 
-    __slots__ = ("token", "text", "block", "inside", "kept")
+    __slots__ = ("token", "text", "block", "region", "kept")
 
-    def __init__(self, token: int, text: str | None, block: bool, inside: int, kept: bool):
-        self.token, self.text, self.block, self.inside, self.kept = token, text, block, inside, kept
+    def __init__(self, token: int, text: str | None, block: bool, region: Region | None, kept: bool):
+        self.token, self.text, self.block, self.region, self.kept = token, text, block, region, kept
 
 
 def _token(path: int, value: str) -> int:
@@ -110,19 +155,28 @@ def _token(path: int, value: str) -> int:
 
 
 def read_page(source: str | None) -> list[Node]:
-    """Tokens of a page; ``inside`` is 2 in an article, 1 in a main element, else 0."""
+    """Tokens of a page, in time linear in its length however its markup is broken."""
     out: list[Node] = []
     if not source:
         return out
-    stack: list[tuple[str, int, int, bool]] = []  # tag, path, inside, kept
-    path, inside, kept = 0, 0, True
+    # tag, and what holds around it: path, region, left out (0 to 2), bits of BIT open in its scope
+    stack: list[tuple[str, int, Region | None, int, int]] = []
+    opened: Counter[str] = Counter()
+    path, region, left, bits = 0, None, 0, 0
     at, n = 0, len(source)
 
     def close(to: int) -> None:
-        nonlocal path, inside, kept
-        tag, path, inside, kept = stack[to]
+        nonlocal path, region, left, bits
+        _, path, region, left, bits = stack[to]
+        for entry in stack[to:]:
+            opened[entry[0]] -= 1
         del stack[to:]
 
+    def close_first(ends: frozenset[str] | set[str]) -> None:
+        """Close the innermost open element of ``ends`` within the scope, if ``bits`` tells of one."""
+        if any(bits & BIT[tag] for tag in ends):
+            close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ends))
+
     while at < n:
         m = _SCAN.match(source, at)
         if not m:
@@ -132,43 +186,35 @@ def read_page(source: str | None) -> list[Node]:
             text = " ".join(html_codec.unescape(m[4]).split())
             spaced = m[4][0].isspace() * " " + text + (" " if text and m[4][-1].isspace() else "")
             if text:
-                out.append(Node(_token(path, text), spaced, False, inside, kept))
+                out.append(Node(_token(path, text), spaced, False, region, not left))
             elif out:
-                out.append(Node(0, " ", False, inside, kept))
+                out.append(Node(0, " ", False, region, not left))
             continue
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            out.append(Node(_token(path, "/" + tag), None, tag in BLOCK, inside, kept))
-            if found is not None:
-                close(found)
+            out.append(Node(_token(path, "/" + tag), None, tag in BLOCK, region, not left))
+            if opened[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in BLOCK:  # a block ends an open paragraph
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in SCOPE:
-                    break
-        ends = IMPLIED.get(tag, ())
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in ends:
-                close(i)
-                break
-            if stack[i][0] in SCOPE and stack[i][0] not in ends:
-                break
-        out.append(Node(_token(path, tag), " " if tag == "br" else None, tag in BLOCK, inside, kept))
+            close_first({"p"})
+        close_first(IMPLIED.get(tag, frozenset()))
+        out.append(Node(_token(path, tag), " " if tag == "br" else None, tag in BLOCK, region, not left))
         attrs = m[3] or ""
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK | RAW:
             continue
-        stack.append((tag, path, inside, kept))
-        kept = kept and not _left_out(tag, attrs, inside == 2)
-        if tag == "article":
-            inside = 2
-        elif tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", attrs):
-            inside = max(inside, 1)
+        stack.append((tag, path, region, left, bits))
+        opened[tag] += 1
+        bits = BIT.get(tag, 0) | (0 if tag in SCOPE else bits)
+        own = _left_out(tag, attrs, region is not None and region.article)
+        if tag == "article" or tag == "main" or re.search(r"""\brole\s*=\s*["']?main\b""", attrs):
+            # A class around a region does not remove it; one of its own does.
+            region = Region(region, tag == "article", left == 1 or region is not None and region.marked)
+            left = 2 if left == 2 else own
+        else:
+            left = max(left, own)
         path = xxhash.xxh3_64_intdigest(tag.encode(), path)
         if tag in RAW:
             stop = re.compile(r"</" + re.escape(tag) + r"(?=[\s/>])", re.I).search(source, at)
@@ -176,11 +222,39 @@ def read_page(source: str | None) -> list[Node]:
     return out
 
 
+def _chosen(nodes: list[Node], template: frozenset[int]) -> tuple[set[Region], Region | None]:
+    """The regions whose text is kept whole, and the first of them by size; none where the rest is the page's text."""
+    sizes: dict[Region | None, list[int]] = {None: [0, 0]}  # slot text, all text
+    for x in nodes:
+        if x.kept and x.text and x.token:
+            size = sizes.setdefault(x.region, [0, 0])
+            length = len(x.text.strip())
+            size[0] += length * (x.token not in template)
+            size[1] += length
+    rest = sizes.pop(None)[0]
+    plain = [r for r in sizes if not r.marked]
+    found = plain or [r for r in sizes if sizes[r][0] >= rest]  # ties: the first in the page
+    if not found:
+        return set(), None
+    best = max(found, key=lambda r: sizes[r])
+    if template and rest >= REST * sizes[best][1]:
+        return set(), None
+
+    def beside(r: Region) -> bool:
+        return (2 * sizes[r][1] >= sizes[best][1]
+                and (r.around is best.around or r.around is best and not best.article))
+
+    return {best, *(r for r in found if beside(r))}, best
+
+
 def main_text(nodes: list[Node], template: frozenset[int]) -> str:
-    """Text of the article, or of the template's slots in a page without one: blocks joined by a blank line."""
-    level = max((x.inside for x in nodes if x.kept and x.text and not x.text.isspace()), default=0)
-    if level:  # the element is the slot
-        template = frozenset()
+    """Text of the chosen regions, or of the template's slots in a page without one: blocks joined by a blank line."""
+    whole, best = _chosen(nodes, template)
+    around = set()
+    outer = best.around if best else None
+    while outer is not None:
+        around.add(outer)
+        outer = outer.around
     blocks: list[str] = []
     held: list[str] = []
 
@@ -190,10 +264,16 @@ def main_text(nodes: list[Node], template: frozenset[int]) -> str:
             blocks.append(text)
         held.clear()
 
+    before = True
     for x in nodes:
         if x.block:
             flush()
-        if x.text is not None and x.kept and x.inside == level and (x.token not in template or x.text == " "):
+        if x.text is None or not x.kept:
+            continue
+        if x.region in whole:
+            before = before and x.region is not best
+            held.append(x.text)
+        elif (x.region in around and before or not whole and x.region is None) and x.token not in template:
             held.append(x.text)
     flush()
     if template and not blocks:  # no slot is filled: the page tells nothing apart
