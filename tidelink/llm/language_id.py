@@ -40,7 +40,8 @@ SAMPLE_DOCS = 400
 EM_ROUNDS = 4
 SMOOTH = 0.02            # pseudo-count of every piece in every language
 UNKNOWN = 1e-7           # probability of a character that no piece holds
-LONGEST = 40             # words up to here share vectorised steps; longer ones go in scaled parts
+LONGEST = 40             # words up to here share vectorised steps; longer ones are summed in logarithms or rescaled
+LEAST = 1e-250           # a word whose sum falls below goes that way too, before numbers underflow
 REMEMBER_CELLS = 4_000_000
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -83,7 +84,8 @@ class Vocabulary:
 def forward(words: list[str], vocabulary: Vocabulary, probs: np.ndarray) -> np.ndarray:
     """log probability of each word under each language: (words, languages).
 
-    ``probs`` is (pieces + 1, languages).  Words of up to LONGEST characters.
+    ``probs`` is (pieces + 1, languages).  Words of up to LONGEST characters
+    share the steps; a word with a sum below LEAST is summed again, rescaled.
     """
     size = max(map(len, words), default=0) + 2
     alpha = np.zeros((size, len(words), probs.shape[1]))
@@ -91,7 +93,11 @@ def forward(words: list[str], vocabulary: Vocabulary, probs: np.ndarray) -> np.n
     for (end, length), (w, piece) in vocabulary.lattice(words).items():
         alpha[end, w] += alpha[end - length, w] * probs[piece]
     lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
-    return np.log(alpha[lengths, np.arange(len(words))])
+    total = alpha[lengths, np.arange(len(words))]
+    out = np.log(np.maximum(total, LEAST))
+    for i in np.flatnonzero((total < LEAST).any(axis=1)):
+        out[i] = forward_long(words[i], vocabulary, probs)
+    return out
 
 
 def forward_long(word: str, vocabulary: Vocabulary, probs: np.ndarray) -> np.ndarray:
@@ -115,16 +121,43 @@ def forward_long(word: str, vocabulary: Vocabulary, probs: np.ndarray) -> np.nda
     return log_scale
 
 
+def long_edges(word: str, vocabulary: Vocabulary) -> list[list[tuple[int, int]]]:
+    """For every end in a word: (start, piece number) of the pieces that end there."""
+    text, get = MARK + word, vocabulary.number.get
+    out: list[list[tuple[int, int]]] = [[]]
+    for end in range(1, len(text) + 1):
+        found = [(start, get(text[start:end])) for start in range(max(0, end - vocabulary.longest), end)]
+        out.append([(s, vocabulary.size if p is None else p) for s, p in found if p is not None or s == end - 1])
+    return out
+
+
+def add_long(edges: list[list[tuple[int, int]]], log_probs: np.ndarray, weight: float, expected: np.ndarray) -> None:
+    """Add one word's expected piece counts, with forward and backward sums in logarithms."""
+    n = len(edges)
+    a, b = np.full(n, -np.inf), np.full(n, -np.inf)
+    a[0] = b[n - 1] = 0.0
+    for end in range(1, n):
+        for start, piece in edges[end]:
+            a[end] = np.logaddexp(a[end], a[start] + log_probs[piece])
+    for end in range(n - 1, 0, -1):
+        for start, piece in edges[end]:
+            b[start] = np.logaddexp(b[start], b[end] + log_probs[piece])
+    for end in range(1, n):
+        for start, piece in edges[end]:
+            expected[piece] += weight * np.exp(a[start] + log_probs[piece] + b[end] - a[n - 1])
+
+
 def em_counts(counts: dict[str, int], vocabulary: Vocabulary, rounds: int = EM_ROUNDS) -> np.ndarray:
     """Expected piece counts of one language's words after ``rounds`` of EM."""
     words = sorted(w for w in counts if len(w) <= LONGEST)
+    slow = {w: long_edges(w, vocabulary) for w in sorted(counts) if len(w) > LONGEST}
     weight = np.array([counts[w] for w in words], dtype=np.float64)
     lattice = vocabulary.lattice(words)
     lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
     size = int(lengths.max(initial=0)) + 1
     probs = np.full(vocabulary.size + 1, 1.0 / (vocabulary.size + 1))
     expected = np.zeros(vocabulary.size + 1)
-    for _ in range(rounds if words else 0):
+    for _ in range(rounds if counts else 0):
         alpha, beta = np.zeros((size, len(words))), np.zeros((size, len(words)))
         alpha[0] = 1.0
         beta[lengths, np.arange(len(words))] = 1.0
@@ -133,10 +166,17 @@ def em_counts(counts: dict[str, int], vocabulary: Vocabulary, rounds: int = EM_R
         for (end, length), (w, piece) in sorted(lattice.items(), key=lambda x: -x[0][0]):
             beta[end - length, w] += beta[end, w] * probs[piece]
         total = alpha[lengths, np.arange(len(words))]
+        for i in np.flatnonzero(total < LEAST):
+            slow.setdefault(words[i], long_edges(words[i], vocabulary))
+            weight[i] = 0.0
+        use_of = weight / np.maximum(total, LEAST)
         expected = np.zeros(vocabulary.size + 1)
         for (end, length), (w, piece) in lattice.items():
-            use = weight[w] * alpha[end - length, w] * probs[piece] * beta[end, w] / total[w]
+            use = use_of[w] * alpha[end - length, w] * probs[piece] * beta[end, w]
             expected += np.bincount(piece, use, minlength=vocabulary.size + 1)
+        log_probs = np.log(probs)
+        for word, edges in slow.items():
+            add_long(edges, log_probs, counts[word], expected)
         probs = np.maximum((expected + SMOOTH) / (expected.sum() + SMOOTH * len(expected)), 1e-12)
     return expected
 
