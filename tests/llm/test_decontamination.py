@@ -22,7 +22,10 @@ def brute(docs, items, rate):
         norm = D.normalise(text)
         for item, it in items:
             p = D.normalise(it)
-            if len(p) >= D.MIN_ITEM and norm:
+            if len(p) < D.SHORT_ITEM:
+                if p and f" {p} " in f" {norm} ":
+                    out.add((doc, item, 0))
+            elif norm:
                 d, k = plain_distance(p, norm), int(len(p) * rate)
                 if d <= k:
                     out.add((doc, item, d))
@@ -60,6 +63,20 @@ def test_find_leaks_equals_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - leaked
 
 
+def test_short_items_match_whole_words_and_ids_are_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "Well: what is the CAPITAL of France?"), ("b", "what is the capital of Frances"),
+                                  ("c", "unrabbit rabbits"), ("d", "a rabbit."), ("e", "dog rabbit dog")],
+                                 "doc_id string, text string")
+    items = [(1, "What is the capital of France?"), (2, "Rabbit"), (3, "?!")]
+    for kind in ("int", "string", "short", "decimal(9,0)"):
+        bench = spark.createDataFrame(items, "item_id int, text string").selectExpr(f"cast(item_id as {kind}) item_id", "text")
+        got = D.find_leaks(docs, bench)
+        assert got.schema["item_id"].dataType == bench.schema["item_id"].dataType
+        rows = {(r["doc_id"], int(r["item_id"]), r["distance"], r["start"]) for r in got.collect()}
+        assert rows == {("a", 1, 0, 5), ("d", 2, 0, 2), ("e", 2, 0, 4)}
+        assert {r["doc_id"] for r in D.drop_leaks(docs, bench).collect()} == {"b", "c"}
+
+
 def test_slices_cover_all_items(spark, monkeypatch):
     docs, items = make()
     frame = spark.createDataFrame(docs, "doc_id long, text string")

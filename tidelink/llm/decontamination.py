@@ -8,17 +8,18 @@ exact piece hits (one Aho-Corasick pass over the whole document) locate all
 candidates; each candidate window is verified with Myers' bit-parallel
 distance, run on the window only.
 
-The benchmark is the small side: it is collected to build the automaton only
-after its size is checked against ``MAX_BENCH_BYTES``; beyond that it is
-worked through in slices of at most that size, each against all documents.
+An item of under ``SHORT_ITEM`` normalised characters may occur inside other
+words by chance: it is found without edits and between word borders only.
+
+The benchmark is the small side, read through the driver in slices of at most
+``MAX_BENCH_BYTES`` (an item is never cut), each against all documents.
 Documents are never shuffled or collected; texts are read whole.
 
-Defined results: null and empty texts and items match nothing; items shorter
-than ``MIN_ITEM`` normalised characters are not matched (a few letters occur
-anywhere); a document holding an item several times gives one row with the
+Defined results: null and empty texts and items match nothing, nor do items
+without letters and digits; a document holding an item several times gives one row with the
 best occurrence (ties: the earliest); repeated rows of documents give repeated
 rows; repeated items each count; empty tables give an empty result; extra
-columns are ignored, whatever their names.
+columns are ignored, whatever their names; ids are of any type.
 """
 
 from __future__ import annotations
@@ -30,11 +31,12 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidelink.llm.common import in_parts
 
 ERROR_RATE = 0.05
-MIN_ITEM = 30
+SHORT_ITEM = 30
 MAX_BENCH_BYTES = 8 << 20
 _OTHER = re.compile(r"[\W_]+")
 
@@ -43,6 +45,11 @@ def normalise(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
+def edits_of(item: str, error_rate: float) -> int:
+    """Edits that a normalised item may occur with."""
+    return int(len(item) * error_rate) if len(item) >= SHORT_ITEM else 0
+
+
 def pieces_of(item: str, k: int) -> list[tuple[int, str]]:
     """k + 1 contiguous pieces (start, piece) that cover the item."""
     cuts = [len(item) * j // (k + 1) for j in range(k + 2)]
@@ -87,9 +94,9 @@ class Matcher:
         by_piece: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             norm = normalise(text)
-            if len(norm) < MIN_ITEM:
+            if not norm:
                 continue
-            k = int(len(norm) * error_rate)
+            k = edits_of(norm, error_rate)
             masks: dict[str, int] = {}
             for i, ch in enumerate(norm):
                 masks[ch] = masks.get(ch, 0) | 1 << i
@@ -116,6 +123,12 @@ class Matcher:
         for number, where in sorted(starts.items()):
             item_id, item, k, masks = self.items[number]
             best = None
+            if len(item) < SHORT_ITEM:  # the piece is the item: only its borders are left to check
+                around = " " + norm + " "
+                first = min((s for s in where if around[s] == around[s + len(item) + 1] == " "), default=None)
+                if first is not None:
+                    found.append((item_id, 0, first, first + len(item)))
+                continue
             for begin, end in self._windows(sorted(where), len(item), k, len(norm)):
                 exact = norm.find(item, begin, end)
                 if exact >= 0:
@@ -166,9 +179,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     doc_kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = (f"doc_id {doc_kind}, item_id {item_kind}, distance int, max_distance int, "
               "`start` int, `end` int")
-    parts = [_match_slice(rows, part, schema, error_rate) for part in _slices(benchmark, item_col, item_text)]
+    parts = [_match_slice(rows, part, item_type, schema, error_rate) for part in _slices(benchmark, item_col, item_text)]
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
     out = parts[0]
@@ -177,12 +191,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     return out
 
 
-def _match_slice(rows: DataFrame, items: list[tuple[int, str]], schema: str, error_rate: float) -> DataFrame:
+def _match_slice(rows: DataFrame, items: list[tuple[object, str]], item_type: pa.DataType, schema: str,
+                 error_rate: float) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
         matcher = Matcher(shared.value, error_rate)
-        budget = {item_id: int(len(norm) * error_rate) for item_id, norm, _, _ in matcher.items}
+        budget = {item_id: k for item_id, _, k, _ in matcher.items}
         for batch in in_parts(batches):
             at, items_, dist, most, start, end = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -195,7 +210,7 @@ def _match_slice(rows: DataFrame, items: list[tuple[int, str]], schema: str, err
                     end.append(b)
             ids = batch.column(0).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(items_, pa.int64()), *(pa.array(v, pa.int32()) for v in (dist, most, start, end))],
+                [ids, pa.array(items_, item_type), *(pa.array(v, pa.int32()) for v in (dist, most, start, end))],
                 names=["doc_id", "item_id", "distance", "max_distance", "start", "end"])
 
     return rows.mapInArrow(run, schema)
