@@ -125,3 +125,86 @@ def test_forward_sums_all_segmentations():
     for w, logs in zip(words, got):
         assert np.allclose(np.exp(logs), brute(language_id.MARK + w), rtol=1e-9)
         assert np.allclose(language_id.forward_long(w, vocabulary, probs), logs)
+
+
+def test_rare_long_words_do_not_underflow(spark):
+    vocabulary = language_id.Vocabulary(language_id.VOCABULARY)
+    probs = np.full((vocabulary.size + 1, 2), 1e-9)
+    probs[:, 1] /= 2
+    word = "qxzjvwkq" * 5
+    logs = language_id.forward(["the", word], vocabulary, probs)
+    assert np.isfinite(logs).all()
+    assert np.allclose(logs[1], language_id.forward_long(word, vocabulary, probs))
+    model = language_id.Model(["aa", "bb"], probs, language_id.VOCABULARY)
+    docs = spark.createDataFrame([(1, word), (2, word * 30)], "doc_id long, text string")
+    assert all(r["lang_pred"] == "aa" and 0.5 < r["score"] <= 1 for r in language_id.predict(docs, model).collect())
+
+
+def test_long_words_are_learned_and_counts_equal_brute_force(monkeypatch):
+    vocabulary = language_id.Vocabulary(language_id.VOCABULARY)
+    counts = {"the": 5, "there": 2, "chat": 3, "zürich": 1}
+    start = np.full(vocabulary.size + 1, 1.0 / (vocabulary.size + 1))
+
+    def cuts(text):
+        if not text:
+            yield ()
+        for end in range(1, len(text) + 1):
+            piece = vocabulary.number.get(text[:end], vocabulary.size if end == 1 else None)
+            if piece is not None:
+                yield from ((piece, *rest) for rest in cuts(text[end:]))
+
+    want = np.zeros(vocabulary.size + 1)
+    for word, n in counts.items():
+        ways = list(cuts(language_id.MARK + word))
+        odds = np.array([np.prod(start[list(way)]) for way in ways])
+        for way, share in zip(ways, odds / odds.sum()):
+            np.add.at(want, list(way), n * share)
+    assert np.allclose(language_id.em_counts(counts, vocabulary, rounds=1), want)
+    usual = language_id.em_counts(counts, vocabulary)
+    monkeypatch.setattr(language_id, "LONGEST", 3)  # the same words through logarithms
+    assert np.allclose(language_id.em_counts(counts, vocabulary), usual)
+    monkeypatch.undo()
+    assert language_id.em_counts({"donaudampfschiff" * 9: 2}, vocabulary).sum() > 18
+    assert language_id.em_counts({}, vocabulary).sum() == 0
+
+
+def test_sample_takes_one_row_an_id_whatever_its_rows(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(40_000).select(F.when(F.col("id") < 30_000, 0).otherwise(F.col("id")).alias("doc"),
+                                      F.lit("g").alias("lang"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    from tidelink.llm.common import bounded_sample
+    got = bounded_sample(rows, "lang", 2_000, "doc").collect()
+    assert 1_700 < len(got) < 2_300 and len({r["doc"] for r in got}) == len(got)
+    again = bounded_sample(rows.repartition(7), "lang", 2_000, "doc").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    assert {r["text"] for r in got if r["doc"] == 0} <= {"t0"}
+
+
+def test_toxicity_is_repeatable(spark, tables, toxicity_model):
+    docs, labels = tables
+    again = toxicity.train(docs.repartition(5), labels.repartition(3))
+    scores = [sorted((r["doc_id"], r["score"]) for r in toxicity.score(docs, m).select("doc_id", "score").collect())
+              for m in (toxicity_model, again)]
+    assert scores[0] == scores[1]
+
+
+def test_obfuscated_tokens_equal_a_plain_reading():
+    def plain(text):
+        out = []
+        for token in text.split():
+            sign = [i for i, c in enumerate(token) if c in "0123456789@$!*._-"]
+            if (len(token) >= 3 and any(c.isalpha() for c in token)
+                    and any(c.isalnum() for i in sign for c in token[i + 1:])):
+                out.append(token)
+        return out
+
+    rng = np.random.default_rng(3)
+    text = " ".join("".join(rng.choice(list("aB1!@_.é"), rng.integers(1, 8))) for _ in range(3000))
+    assert toxicity.obfuscated(text) == plain(text) and plain(text)
+    calm = "A long and calm text. " * 400
+    features = dict(zip(toxicity.FEATURES, toxicity.Featurizer({"idiot": 3.0})(calm + "you 1d!ot")))
+    assert features["obfuscated_hits"] > 0  # whatever the share of signs in the text
+    import time
+    start = time.time()
+    toxicity.Featurizer({})("a" + "!" * 1_000_000)
+    assert time.time() - start < 2

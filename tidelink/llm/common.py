@@ -53,20 +53,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_sample(df: DataFrame, group: str, max_rows: int, id_col: str) -> DataFrame:
-    """About ``max_rows`` rows of each ``group`` value (all, where it has fewer).
+def one_row(df: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of ``keys``: the least by the other columns, in their order."""
+    rest = [c for c in df.columns if c not in keys]
+    least = F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("_least")
+    return df.groupBy(*keys).agg(least).select(*keys, *(f"_least.`{c}`" for c in rest))
+
 
-    One counting pass over the group column gives each group's fraction; a row
-    stays if the hash of its id lies below it, so the choice depends on the
-    ids alone, not on partitioning.  The groups' counts go through a join that
-    Spark broadcasts where they are small, as with labels and languages.
+def bounded_sample(df: DataFrame, group: str, max_rows: int, id_col: str) -> DataFrame:
+    """About ``max_rows`` ids of each ``group`` value (all, where it has fewer), one row each.
+
+    One counting pass gives each group's number of different ids, to some per
+    cent, and so its fraction; an id stays if its 64-bit hash lies below it, so
+    the choice depends on the ids alone, not on partitioning, and is as small
+    at any size of the table.  Of an id's rows in a group the least is taken
+    (before the shuffle, so that an id with most rows is a few there).  The
+    groups' counts go through a join that Spark broadcasts where they are
+    small, as with labels and languages.
     """
     # Written, so that the planner knows its size before it plans the join: a small table
     # is broadcast and the rows are filtered where they lie, not shuffled by group first.
-    counts = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("_group_rows")), "sample-counts")
-    unit = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    keep = unit * F.col("_group_rows") < F.lit(float(max_rows))
-    return df.join(counts, group).filter(keep).drop("_group_rows")
+    counts = materialise(df.groupBy(group).agg(F.approx_count_distinct(id_col, 0.02).alias("_group_ids")),
+                         "sample-counts")
+    unit = F.xxhash64(F.lit("sample"), F.col(id_col)).cast("double") / F.lit(2.0 ** 64) + F.lit(0.5)
+    keep = unit * F.col("_group_ids") < F.lit(float(max_rows))
+    return one_row(df.join(counts, group).filter(keep).drop("_group_ids"), group, id_col)
 
 
 #: Rows of a batch that a task turns into Python objects at a time.

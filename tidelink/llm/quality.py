@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelink.llm.common import bounded_sample, in_fold, map_rows, text_bytes
+from tidelink.llm.common import bounded_sample, in_fold, map_rows, one_row, text_bytes
 
 BITS = 18
 MAX_GRAM = 4
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", *, id_col:
     # About 2 * sample_rows rows, whatever the input: small enough to send to every task.
     chosen = F.broadcast(bounded_sample(known, "label", sample_rows, "doc"))
     texts = docs.select(F.col(id_col).alias("doc"), text_bytes(text_col).alias("text"))
-    rows = (texts.join(chosen, "doc")
+    rows = (one_row(texts.join(chosen, "doc"), "doc")
             .withColumn("tune", F.pmod(F.xxhash64(F.lit("tune"), "doc"), F.lit(5)) == 0)
             .select("doc", "text", "label", "tune"))
 

@@ -32,7 +32,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelink.llm.common import bounded_sample, in_fold, in_parts, map_rows, materialise
+from tidelink.llm.common import bounded_sample, in_fold, in_parts, map_rows, materialise, one_row
 
 SAMPLE_ROWS = 3_000
 LEXICON_SIZE = 600
@@ -51,7 +51,7 @@ SECOND_PERSON = frozenset(("you", "your", "yours", "yourself", "tu", "toi", "vou
 LOOK_ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s",
                             "!": "i", "*": None, ".": None, "-": None, "_": None})
 WORD = re.compile(r"\w+")
-OBFUSCATED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[0-9@$!*._\-]\S*[^\W_])\S{3,40}")
+SYMBOL, LETTER, ALNUM = re.compile(r"[0-9@$!*._\-]"), re.compile(r"[^\W\d_]"), re.compile(r"[^\W_]")
 FEATURES = ("hit_rate", "strong_rate", "weight_rate", "max_weight", "distinct_hits", "log_hits", "log_strong",
             "near_second_person", "second_person_rate", "capital_share", "caps_word_share", "punct_share",
             "exclaim_rate", "digit_share", "obfuscated_rate", "obfuscated_hits", "log_words")
@@ -67,6 +67,17 @@ def lexicon_weight(word: str, lexicon: dict[str, float]) -> float:
     return max((lexicon.get(k, 0.0) for k in word_keys(word)), default=0.0)
 
 
+def obfuscated(text: str) -> list[str]:
+    """Tokens of at least 3 characters that hold a letter, and a digit or sign before another letter or digit."""
+    out = []
+    for token in text.split():
+        if len(token) >= 3 and not token.isalpha():
+            at = SYMBOL.search(token)
+            if at and LETTER.search(token) and ALNUM.search(token, at.end()):
+                out.append(token)
+    return out
+
+
 class Featurizer:
     """Text to feature vector; remembers word weights up to a fixed count."""
 
@@ -105,7 +116,7 @@ class Featurizer:
         counts = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
         capitals, digits = int(counts[65:91].sum()), int(counts[48:58].sum())
         punct = int(counts[33:48].sum() + counts[58:65].sum() + counts[91:97].sum() + counts[123:127].sum())
-        hidden = OBFUSCATED.findall(text) if digits or punct > n * 0.02 else []
+        hidden = obfuscated(text)
         hidden_hits = sum(self.weight(w.lower().translate(LOOK_ALIKE)) > 0 for w in hidden)
         return [len(hits) / n, strong / n, sum(weights) / n, max(weights, default=0.0),
                 float(len({lower[i] for i in hits})), math.log1p(len(hits)), math.log1p(strong),
@@ -195,9 +206,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, id_col: s
     # About 2 * sample_rows rows, whatever the input: small enough to send to every task.
     chosen = F.broadcast(bounded_sample(known, "label", sample_rows, "doc"))
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    sample = materialise(texts.join(chosen, "doc")
+    sample = materialise(one_row(texts.join(chosen, "doc"), "doc")
                          .withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc"), F.lit(5)).cast("int"))
-                         .select("text", "label", "part"), "toxicity-sample")
+                         .select("text", "label", "part", "doc"), "toxicity-sample")
     shares = {(r["part"] < 2, r["part"] < 4, r["label"]): r["n"] for r in sample
               .groupBy(F.when(F.col("part") < 2, 0).when(F.col("part") < 4, 2).otherwise(4).alias("part"), "label")
               .agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -207,8 +218,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, id_col: s
         return Model({w: STRONG for w in SEED}, constant=(n1 + 1) / (total + 2) if total else 0.5)
     split = len(shares) == 6 and min(shares.values()) >= 10
     lexicon = learn_lexicon(sample.filter("part < 2") if split else sample)
-    featured = materialise(featurize(sample.select("text", "label", "part"), lexicon).repartition(4),
-                           "toxicity-features").withColumn("_x", array_to_vector("features"))
+    # A few thousand vectors in one partition and one order: sums of floats, and so two runs' trees, are equal.
+    featured = materialise(featurize(sample, lexicon).repartition(1).sortWithinPartitions("doc"),
+                           "toxicity-features").coalesce(1).withColumn("_x", array_to_vector("features"))
     weight = F.when(F.col("label") == 1, F.lit(0.5 * total / n1)).otherwise(F.lit(0.5 * total / (total - n1)))
     featured = featured.withColumn("label", F.col("label").cast("double")).withColumn("_w", weight)
     grower = GBTClassifier(featuresCol="_x", labelCol="label", weightCol="_w", maxIter=TREES,
