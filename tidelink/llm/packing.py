@@ -133,15 +133,17 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that any packing needs: the best of a family of dual-feasible functions.
+    """Bins that any packing of these lengths needs."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity) if len(lengths) else 0
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """Bins that any packing of ``count[x]`` items of each length x needs: the best of a family of dual-feasible functions.
 
     For a threshold t <= capacity/2: items over capacity - t count as a whole
     bin, items under t as nothing, the others by their length; and the rounded
     functions that count items by how many of their kind a bin can hold.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
     total = int((count * size).sum())
     best = -(-total // capacity)
@@ -254,8 +256,9 @@ def _meets_bound(open_rows: DataFrame, bins: int, capacity: int) -> bool:
     The bound needs only how often each length occurs: at most ``capacity`` rows.
     """
     rows = open_rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    lengths = np.repeat(rows["length"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64))
-    return bins <= lower_bound(lengths, capacity)
+    count = np.zeros(capacity + 1, dtype=np.int64)
+    count[rows["length"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return bins <= bound_of_counts(count, capacity)
 
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:
