@@ -11,8 +11,9 @@ distance, run on the window only.
 An item of under ``SHORT_ITEM`` normalised characters may occur inside other
 words by chance: it is found without edits and between word borders only.
 
-The benchmark is the small side, read through the driver in slices of at most
-``MAX_BENCH_BYTES`` (an item is never cut), each against all documents.
+The benchmark is the small side: slices of at most ``MAX_BENCH_BYTES`` (an item
+is never cut) pass through the driver one after the other, each broadcast and
+matched against all documents.
 Documents are never shuffled or collected; texts are read whole.
 
 Defined results: null and empty texts and items match nothing, nor do items
@@ -25,7 +26,7 @@ columns are ignored, whatever their names; ids are of any type.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -154,20 +155,25 @@ class Matcher:
         return [(a, b) for a, b in out]
 
 
-def _slices(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """Benchmark items in slices of at most ``MAX_BENCH_BYTES`` (an item is never cut)."""
+def _slices(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
+    """Benchmark items in slices of at most ``MAX_BENCH_BYTES`` (an item is never cut), one at a time.
+
+    Partitions of the sorted items are fetched as they are reached, and a slice is
+    let go when it has been sent out: the driver never holds the whole benchmark.
+    """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).filter(
         "text is not null")
-    out: list[list[tuple[int, str]]] = []
-    room = 0
+    part: list[tuple[object, str]] = []
+    room = MAX_BENCH_BYTES
     for row in items.orderBy("item_id", "text").toLocalIterator():
-        size = len(row["text"].encode())
-        if not out or (size > room and out[-1]):
-            out.append([])
-            room = MAX_BENCH_BYTES
-        out[-1].append((row["item_id"], row["text"]))
+        size = len(row["text"].encode("utf-8", "surrogatepass"))
+        if part and size > room:
+            yield part
+            part, room = [], MAX_BENCH_BYTES
+        part.append((row["item_id"], row["text"]))
         room -= size
-    return out
+    if part:
+        yield part
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",

@@ -26,7 +26,7 @@ makes that article second to unmarked regions.
 Occurrence vectors are never gathered: a page adds (count, place, xor of a
 hash of page and count) for each token, which Spark sums per (host, token) -
 partially before the shuffle, so one host with a third of all pages is a few
-rows.  Templates (tokens in nearly all pages of a host, so no more than one
+rows.  Equal pages of a host count as one.  Templates (tokens in nearly all pages of a host, so no more than one
 page has) meet their pages in one join; the pages' side is only shuffled where
 the templates are too large to broadcast by Spark's own size check.
 
@@ -52,6 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelink.llm.common import materialise
+from tidelink.llm.jaccard_join import BITMAP_BITS, _bitmap
 from tidelink.llm.url_templates import host_and_path
 
 SUPPORT = 0.9
@@ -339,8 +340,32 @@ def _template(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "constants": [tokens]})
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """``host, page, html`` with one row of every host's equal pages: copies of a page support no class.
+
+    Contents are counted by hash.  A fixed-size bitmap of those met more than
+    once lets all other pages past the shuffle; the rest, and the few whose bit
+    is set by chance, lose their copies in an aggregation that begins before it.
+    """
+    marked = pages.select("host", "page", "html", F.xxhash64("host", "html").alias("doc_id"))
+    repeated = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    table = pages.sparkSession.sparkContext.broadcast(_bitmap(repeated))
+
+    @F.pandas_udf("boolean")
+    def listed(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy(dtype=np.int64)
+        words = np.frombuffer(table.value, dtype=np.uint32)
+        return pd.Series(((words[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1)).astype(bool))
+
+    marked = marked.withColumn("listed", listed(F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))))
+    out = ["host", "page", "html"]
+    return marked.filter("not listed").select(*out).unionByName(
+        marked.filter("listed").dropDuplicates(["host", "doc_id"]).select(*out))
+
+
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """``host, constants``: token numbers of the text that a host's template holds."""
+    pages = distinct_pages(pages)
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     frequent = (_token_counts(pages).filter(F.col("pages") >= MIN_PAGES).join(hosts, "host")
                 .filter(F.col("pages") >= F.col("host_pages") * SUPPORT)
