@@ -4,7 +4,7 @@ streaming twins compared with their batch twins."""
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import Window
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from tidelink.operators import sequence
@@ -370,6 +370,76 @@ def test_auth_bursts_batch_and_stream(spark):
     assert min(left) * 60 >= (at(26) - datetime(1970, 1, 1)).total_seconds()  # nothing that no later minute looks back to
 
 
+def test_auth_bursts_stream_over_many_micro_batches(spark):
+    rows = [(T0 + timedelta(seconds=37 * i + i * i % 101), f"p{i * i % 5}", i % 4 == 0) for i in range(600)]
+    src, out = shared_dir(spark, "test_auth_many_src"), shared_dir(spark, "test_auth_many_out")
+    for k in range(0, 600, 75):
+        _failures(spark, rows[k:k + 75]).coalesce(1).write.mode("append").parquet(src)
+    lines = spark.readStream.schema("line string").option("maxFilesPerTrigger", 1).parquet(src)
+    got = logs.auth_bursts_stream(spark, lines, 20, 4, f"{out}/d", f"{out}/c", partitions=2)
+    batch = logs.auth_bursts(logs.parse_lines(spark.read.schema("line string").parquet(src)), 20, 4)
+    end = max(r[0] for r in rows) - timedelta(minutes=2)
+    want = sorted(tuple(r) for r in batch.collect() if r.minute + timedelta(minutes=1) <= end)
+    assert len(want) > 100 and sorted(tuple(r) for r in got.collect()) == want
+    held = state.open_state(spark, f"{out}/c", variable="minutes").select("user_map_key.*").collect()
+    assert held and min(r.minute for r in held) > (end - timedelta(minutes=20) - datetime(1970, 1, 1)).total_seconds() // 60
+
+
+def test_auth_bursts_state_calls_do_not_grow_with_the_log():
+    class Handle:
+        """A map state and timers that count what is asked of them."""
+
+        def __init__(self):
+            self.calls, self.held, self.timers = 0, {}, set()
+
+        def getMapState(self, *_):  # noqa: N802
+            return self
+
+        def _counted(self, found=None):
+            self.calls += 1
+            return found
+
+        def iterator(self):
+            return self._counted(iter(list(self.held.items())))
+
+        def getValue(self, key):  # noqa: N802
+            return self._counted(self.held.get(key))
+
+        def updateValue(self, key, value):  # noqa: N802
+            self._counted(self.held.update({key: value}))
+
+        def removeKey(self, key):  # noqa: N802
+            self._counted(self.held.pop(key))
+
+        def registerTimer(self, at):  # noqa: N802
+            self._counted(self.timers.add(at))
+
+    class Clock:
+        def __init__(self, minute):
+            self.minute = minute
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.minute * 60_000
+
+    def closed(n):
+        """A peer that fails twice in each of ``n`` minutes, closed at once."""
+        handle, ring = Handle(), logs._Ring(5, 7)
+        ring.init(handle)
+        first = list(ring.handleInputRows(("a",), iter([Row(minute=m, n=2) for m in range(n)]), Clock(n)))
+        more = list(ring.handleInputRows(("a",), iter([Row(minute=n + 1, n=1)]), Clock(n + 2)))
+        calls = handle.calls
+        assert [(r.us // 60_000_000, r.n_failed) for r in first] == [(m, min(2 * m + 2, 10)) for m in range(3, n)]
+        assert [(r.us // 60_000_000, r.n_failed) for r in more] == [(n + 1, 7)]
+        assert sorted(m for m, in handle.held) == [n - 2, n - 1, n + 1] and min(t for t in handle.timers if t > (n + 2) * 60_000) == (n + 3) * 60_000
+        for minute in range(n + 3, n + 8):
+            if minute * 60_000 in handle.timers:
+                assert list(ring.handleExpiredTimer(("a",), Clock(minute), None)) == []
+        assert not handle.held
+        return calls
+
+    assert closed(40) == closed(4000) < 40
+
+
 def test_message_route_stream_without_rows(spark):
     src, out = shared_dir(spark, "test_route_empty"), shared_dir(spark, "test_route_out")
     empty = spark.createDataFrame([], "event_id long, msg_type string")

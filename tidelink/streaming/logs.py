@@ -7,8 +7,9 @@ Line format ``<asctime> - <logger> - <LEVEL> - <message>`` with
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections import deque
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -95,7 +96,11 @@ def auth_bursts(parsed: DataFrame, minutes: int, least: int, slices: int | None
 
 
 class _Ring(StatefulProcessor):
-    """Failed logins of one peer by minute, for as many minutes as an alert looks back."""
+    """Failed logins of one peer in its last closed minutes, for as many minutes as an alert looks back.
+
+    A micro-batch brings the counts of the minutes that it closes.  They are
+    summed in one pass; only those that a later minute looks back to are kept.
+    """
 
     def __init__(self, minutes: int, least: int):
         self.minutes, self.least = minutes, least
@@ -104,30 +109,38 @@ class _Ring(StatefulProcessor):
         self.handle = handle
         self.counts = handle.getMapState("minutes", "minute long", "n long")
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        new: dict[int, int] = {}
-        for pdf in rows:
-            for minute in (pdf["us"].to_numpy("int64") // _MINUTE_US).tolist():
-                new[minute] = new.get(minute, 0) + 1
+    def _keep(self, known, new, timerValues):  # noqa: N803
+        """Write what a minute that is still open looks back to, and wake when the first of it is of no more use."""
+        oldest = timerValues.getCurrentWatermarkInMs() // _MINUTE_MS - self.minutes + 1
+        for minute in known:
+            if minute < oldest:
+                self.counts.removeKey((minute,))
         for minute, n in new.items():
-            known = self.counts.getValue((minute,))
-            self.counts.updateValue((minute,), (n + (known[0] if known else 0),))
-            if not known:
-                self.handle.registerTimer((minute + 1) * _MINUTE_MS)             # the minute is closed
-                self.handle.registerTimer((minute + self.minutes) * _MINUTE_MS)  # no later minute looks back to it
-        return iter(())
+            if minute >= oldest:
+                self.counts.updateValue((minute,), (n,))
+        first = min((minute for minute in (*known, *new) if minute >= oldest), default=None)
+        if first is not None:
+            self.handle.registerTimer((first + self.minutes) * _MINUTE_MS)
+
+    def _known(self):
+        return {minute: n for (minute,), (n,) in self.counts.iterator()}
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        known, new = self._known(), {r["minute"]: r["n"] for r in rows}
+        frame, total, alerts = deque(), 0, []
+        for minute, n in sorted((known | new).items()):
+            frame.append((minute, n))
+            total += n
+            while frame[0][0] <= minute - self.minutes:
+                total -= frame.popleft()[1]
+            if minute in new and total >= self.least:
+                alerts.append(Row(peer=key[0], us=minute * _MINUTE_US, n_failed=total))
+        self._keep(known, new, timerValues)
+        return iter(alerts)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() // _MINUTE_MS
-        counts = {minute: n for (minute,), (n,) in self.counts.iterator()}
-        alerts = []
-        if now - 1 in counts:
-            n = sum(v for minute, v in counts.items() if now - self.minutes <= minute < now)
-            if n >= self.least:
-                alerts.append((key[0], (now - 1) * _MINUTE_US, n))
-        if now - self.minutes in counts:
-            self.counts.removeKey((now - self.minutes,))
-        return iter([pd.DataFrame(alerts, columns=["peer", "us", "n_failed"])] if alerts else [])
+        self._keep(self._known(), {}, timerValues)
+        return iter(())
 
     def close(self):
         pass
@@ -137,13 +150,16 @@ def auth_bursts_stream(spark: SparkSession, lines: DataFrame, minutes: int, leas
                        watermark: str = "2 minutes", partitions: int | None = None) -> DataFrame:
     """Streaming twin of ``auth_bursts`` (``transformWithState``): alerts of the minutes that the watermark has closed.
 
-    State per peer is a ring of minute counts; every line of the log moves the watermark.
+    Failed logins are counted by peer and minute (a windowed aggregation); the counts of closed minutes go on to a
+    ring per peer.  Every line of the log moves the watermark.
     """
     parsed = parse_lines(lines)
     rows = timed(parsed.withColumn("peer", failed_peer()), "log_ts", watermark, "peer")
     # Names the instant, so that the filter stays above the watermark.
     rows = rows.filter(F.when(F.col("instant").isNotNull(), F.col("peer").isNotNull()))
-    found = rows.groupBy("peer").transformWithStateInPandas(_Ring(minutes, least), "peer string, us long, n_failed long", "append", "eventTime")
+    counts = rows.groupBy("peer", F.window("instant", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    closed = counts.select("peer", F.window_time("w").alias("instant"), F.expr(f"unix_micros(w.start) div {_MINUTE_US}").alias("minute"), "n")
+    found = closed.groupBy("peer").transformWithState(_Ring(minutes, least), "peer string, us long, n_failed long", "append", "eventTime")
     out = found.select("peer", instant_to_ntz(F.timestamp_micros("us")).alias("minute"), "n_failed")
     with state_partitions(spark, partitions, rocksdb=True):
         q = (out.writeStream.format("parquet").option("path", out_dir)
