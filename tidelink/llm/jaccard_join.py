@@ -26,15 +26,18 @@ null text, has none).  Two sets link when ``den * |A & B| >= num * |A | B|``
    is the hub.  Only pairs (member, hub) are compared, so a group of m sets
    costs m rows, not m*m.
    *The rest, exactly.*  Two members of one group that both link to its hub are in
-   one component already.  Other linked members have a common element within
-   short prefixes of their sets, elements that the hub lacks first, which an
-   equi-join on (hub, element) finds; these pairs are compared too.  No
-   component loses a link, and no group is paired with itself.
+   one component already.  A member is near its hub if it links to it, or if the
+   triangle inequality leaves room for a set that links to both.  Near members are
+   compared by their differences from the hub, which are all that the distance of
+   two of them needs, in blocks of about ``BLOCK`` members, of which every two meet
+   in one task; a task gives a forest of the links, at most one row a member, no
+   pairs.  A member that is not near links to members only that are not linked to
+   the hub.  Such two have a common element within short prefixes of their sets,
+   elements that the hub lacks first, which an equi-join on (hub, element) finds;
+   these pairs are compared by their whole sets.  No component loses a link.
 5. *Components* of the links by star contraction; classes carry their members.
-6. *Link counts.*  Two members that both link to p are compared by their whole
-   differences, in blocks of about ``BLOCK`` members, of which every two meet
-   in one task; a task gives one count for each member, no pairs.  A pair that
-   links to several hubs in common counts at the smallest of them.
+6. *Link counts.*  The same blocks count the links of each member.  A pair that is
+   near several hubs in common counts at the smallest of them.
 
 Defined results: repeated rows are rows of one class; a text without words has
 ``n_shingles`` 0 and only itself as component; a null ``doc_id`` takes part but
@@ -44,7 +47,9 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, exp, sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -65,7 +70,8 @@ _DROP_BITS = 10          # a class carries how many signatures it may leave out,
 _TAIL_BITS = 2 * _DROP_BITS + 1
 BITMAP_BITS = 1 << 24    # fixed size of the row prefilter below (2 MB)
 REMEMBER = 200_000       # word hashes kept by a task
-BLOCK = 512              # members of one hub in a block of the link counts, about
+BLOCK = 512              # near members of one hub in a block, about
+VALUES = 4096            # values that two blocks share, compared at a time
 SALTS = 32               # tasks that the members of one hub spread over before they are dealt to blocks
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -135,6 +141,11 @@ class PartEnum:
             self._parts[band] = sure + (more if more <= least else 0)
         return self._parts[band]
 
+    def reach(self, a: int, b: int) -> int:
+        """Largest symmetric difference of sets of ``a`` and ``b`` elements with both of which a third one links."""
+        third = min(a, b) * self.den // self.num
+        return self.distance(a + third) + self.distance(b + third)
+
     def sign(self, items: np.ndarray) -> tuple[np.ndarray, int]:
         """A set's signatures, and a number of ``_TAIL_BITS`` bits: its band's parity, and how many
         signatures it may leave out in its own band and in the next one.  A signature's last bit is
@@ -282,79 +293,95 @@ def _bitmap(ids: DataFrame) -> bytes:
 
 
 def _sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """``key, items, as_member, as_hub`` of the needed classes, from their representatives' texts.
+    """``key, items, as_member, as_hub``: one row for each needed class, from its representative's text.
 
-    Rows whose id hashes to the same bit come along; a class that stands twice
-    repeats its comparisons, which later steps take as one.
+    Rows whose id hashes to the same bit come along as far as the shuffle.  Among them are copies of
+    the representative, the more the larger the class; each would repeat all comparisons of its class.
     """
-    context = docs.sparkSession.sparkContext
-    tables = [context.broadcast(_bitmap(needed.filter(role))) for role in ("as_member", "as_hub")]
+    table = docs.sparkSession.sparkContext.broadcast(_bitmap(needed))
 
     def run(batches):
-        known = WordHashes()
+        known, given = WordHashes(), set()
         for batch in in_parts(batches):
             bit = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            member, hub = (((np.frombuffer(t.value, dtype=np.uint32)[bit // 32] >> (bit % 32).astype(np.uint32))
-                            & np.uint32(1)).astype(bool) for t in tables)
-            take = np.flatnonzero(member | hub)
-            sets = [shingle_set(t, known, n) for t in batch.column(1).take(pa.array(take)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_packed(s) for s in sets], pa.binary()),
-                 pa.array(member[take], pa.bool_()), pa.array(hub[take], pa.bool_())],
-                names=["key", "items", "as_member", "as_hub"])
+            listed = ((np.frombuffer(table.value, dtype=np.uint32)[bit // 32] >> (bit % 32).astype(np.uint32)) & np.uint32(1)).astype(bool)
+            keys, items = [], []
+            for text in batch.column(1).take(pa.array(np.flatnonzero(listed))).to_pylist():
+                found = shingle_set(text, known, n)
+                key = _digest(found)
+                if key is None or key in given:
+                    continue
+                if len(given) >= REMEMBER:
+                    given.clear()
+                given.add(key)
+                keys.append(key)
+                items.append(_packed(found))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(items, pa.binary())], names=["key", "items"])
 
     hashed = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)))
-    return hashed.mapInArrow(run, "key binary, items binary, as_member boolean, as_hub boolean")
+    found = hashed.mapInArrow(run, "key binary, items binary").dropDuplicates(["key"])
+    return found.join(needed.select("key", "as_member", "as_hub"), "key")
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, prefixes: bool) -> DataFrame:
-    """Exact comparison of pairs of classes ``x, p`` (their digests: ``xk, pk``).
+def _compare(pairs: DataFrame, sets: DataFrame, scheme: PartEnum, members: bool) -> DataFrame:
+    """Exact comparison of pairs of classes ``x, p`` (their digests: ``xk, pk``): ``x, p, linked``.
 
-    Without ``prefixes``: ``x, p, linked``.  With them also ``elements`` (the
-    prefix of x, of which every set that links with x holds one), ``n_x``
-    (size of x), ``d_x`` (size of the difference of x and p), ``diff`` (the
-    difference, if x links) and ``parity``, two longs of 128 parity bits of x:
-    they differ in no more bits than two sets in elements.
+    With ``members`` the pairs are (member, hub, others) and the result has also
+    ``near`` (x links to p, or a third set may link to both and there are
+    others), ``n_x`` (size of x), ``d_x`` (size of the difference of x and p),
+    ``diff`` (the difference, if x is near), ``elements`` (if there are others
+    and x does not link: the prefix of x, of which every set that links with x
+    holds one) and ``parity``, two longs of 128 parity bits of x: they differ
+    in no more bits than two sets in elements.
     """
-    left = (sets.filter("as_member") if prefixes else sets).select(F.col("key").alias("xk"), F.col("items").alias("xi"))
-    right = (sets.filter("as_hub") if prefixes else sets).select(F.col("key").alias("pk"), F.col("items").alias("pi"))
-    both = pairs.select("x", "p", "xk", "pk").join(left, "xk").join(right, "pk").select("x", "p", "xi", "pi")
+    left = (sets.filter("as_member") if members else sets).select(F.col("key").alias("xk"), F.col("items").alias("xi"))
+    right = (sets.filter("as_hub") if members else sets).select(F.col("key").alias("pk"), F.col("items").alias("pi"))
+    carried = ["others"] if members else []
+    both = pairs.select("x", "p", "xk", "pk", *carried).join(left, "xk").join(right, "pk").select("x", "p", "xi", "pi", *carried)
     num, den = scheme.num, scheme.den
 
     def batch_fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        linked, elements, own, apart, diffs, parities = [], [], [], [], [], []
-        for xi, pi in zip(batch.column(2), batch.column(3)):
+        linked, near, elements, own, apart, diffs, parities = [], [], [], [], [], [], []
+        others = batch.column(4).to_pylist() if members else [False] * batch.num_rows
+        for xi, pi, more in zip(batch.column(2), batch.column(3), others):
             a, p = _unpacked(xi), _unpacked(pi)
             extra = np.setdiff1d(a, p, assume_unique=True)
             inter = len(a) - len(extra)
             link = den * inter >= num * (len(a) + len(p) - inter)
             linked.append(bool(link))
-            if not prefixes:
+            if not members:
                 continue
             missing = np.setdiff1d(p, a, assume_unique=True)
-            prefix = len(a) - (num * len(a) + den - 1) // den + 1
-            ordered = np.concatenate([extra, np.setdiff1d(a, extra, assume_unique=True)])  # both in the order of the hashes
-            elements.append(_longs(ordered[:prefix]))
-            diffs.append(_packed(np.concatenate([extra, missing])) if link else None)
+            distance = len(extra) + len(missing)
+            close = link or bool(more) and distance <= scheme.reach(len(a), len(p))
+            near.append(bool(close))
+            if link or not more:
+                elements.append(np.empty(0, dtype=np.int64))
+            else:
+                prefix = len(a) - (num * len(a) + den - 1) // den + 1
+                ordered = np.concatenate([extra, np.setdiff1d(a, extra, assume_unique=True)])  # both in the order of the hashes
+                elements.append(_longs(ordered[:prefix]))
+            diffs.append(_packed(np.concatenate([extra, missing])) if close else None)
             own.append(len(a))
-            apart.append(len(extra) + len(missing))
+            apart.append(distance)
             odd = np.bincount((a & np.uint64(127)).astype(np.int64), minlength=128) & 1
             parities.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
         columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())]
         names = ["x", "p", "linked"]
-        if prefixes:
-            columns += [_lists(elements), *(pa.array(v, pa.int32()) for v in (own, apart)), pa.array(diffs, pa.binary()), _lists(parities)]
-            names += ["elements", "n_x", "d_x", "diff", "parity"]
+        if members:
+            columns += [pa.array(near, pa.bool_()), _lists(elements), *(pa.array(v, pa.int32()) for v in (own, apart)),
+                        pa.array(diffs, pa.binary()), _lists(parities)]
+            names += ["near", "elements", "n_x", "d_x", "diff", "parity"]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "x long, p long, linked boolean"
-    if prefixes:
-        schema += ", elements array<long>, n_x int, d_x int, diff binary, parity array<long>"
+    if members:
+        schema += ", near boolean, elements array<long>, n_x int, d_x int, diff binary, parity array<long>"
     return map_rows(both, batch_fn, schema)
 
 
 def _remaining_pairs(compared: DataFrame, scheme: PartEnum) -> DataFrame:
-    """Pairs of one hub's members that may link although not both link to the hub.
+    """Pairs of one hub's members that may link although they are not both near the hub.
 
     At the first common element, at places i, j of the two ordered sets, at most
     min(n_x - i, n_y - j) elements are common; a link needs the share
@@ -362,12 +389,12 @@ def _remaining_pairs(compared: DataFrame, scheme: PartEnum) -> DataFrame:
     """
     num, den = scheme.num, scheme.den
     # Narrow rows: hub and element as one hash, place and distance in one number.
-    spread = compared.select("x", "p", "linked", F.col("n_x").cast("long").alias("n"), "d_x", F.col("parity")[0].alias("s"),
+    spread = compared.filter("not linked").select("x", "p", "near", F.col("n_x").cast("long").alias("n"), "d_x", F.col("parity")[0].alias("s"),
                              F.col("parity")[1].alias("t"), F.posexplode("elements").alias("pos", "e"))
-    spread = spread.select("x", F.xxhash64("p", "e").alias("pe"), "n", "s", "t", "linked",
+    spread = spread.select("x", F.xxhash64("p", "e").alias("pe"), "n", "s", "t", "near",
                            (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("d_x")).alias("at"))
-    own = spread.filter(~F.col("linked")).drop("linked")
-    other = spread.select("pe", F.col("linked").alias("near"), *[F.col(c).alias(f"{c}_y") for c in ("x", "n", "s", "t", "at")])
+    own = spread.filter("not near").drop("near")
+    other = spread.select("pe", "near", *[F.col(c).alias(f"{c}_y") for c in ("x", "n", "s", "t", "at")])
     place, apart = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
     both = F.col("n") + F.col("n_y")
     within = F.expr(f"((n + n_y) * {den - num}) div {den + num}")
@@ -381,73 +408,203 @@ def _remaining_pairs(compared: DataFrame, scheme: PartEnum) -> DataFrame:
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("p")).distinct()
 
 
-def _rows_by_value(values: np.ndarray, rows: np.ndarray) -> dict[int, np.ndarray]:
-    order = np.argsort(values, kind="stable")
-    found, starts = np.unique(values[order], return_index=True)
-    return dict(zip(found.tolist(), np.split(rows[order], starts[1:])))
-
-
-def _flat(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All values, and the number of the array that each stands in."""
-    sizes = [len(a) for a in arrays]
-    return (np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64)), np.repeat(np.arange(len(arrays)), sizes)
-
-
-def _block_counts(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Links between the two blocks of one hub (or within one, if they are the same): ``key, n``."""
-    hub, low, high = int(pdf["p"].iloc[0]), int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
-    sides = [pdf[pdf["block"] == low], pdf[pdf["block"] == high]]
-    keys = [s["x"].to_numpy(dtype=np.int64) for s in sides]
-    sizes = [s["n_x"].to_numpy(dtype=np.int64) for s in sides]
-    apart = [s["d_x"].to_numpy(dtype=np.int64) for s in sides]
-    hubs = [[np.asarray(h, dtype=np.int64) for h in s["hubs"]] for s in sides]
-    common = np.zeros((len(keys[0]), len(keys[1])), dtype=np.int64)
-    left, right = (_rows_by_value(*_flat([np.frombuffer(d, np.uint8).reshape(-1, 6) @ _PLACES for d in s["diff"]]))
-                   for s in sides)
-    for value in left.keys() & right.keys():
-        common[np.ix_(left[value], right[value])] += 1
-    distance = apart[0][:, None] + apart[1][None, :] - 2 * common
-    total = sizes[0][:, None] + sizes[1][None, :]
+class _Lists(NamedTuple):
+    """Lists of numbers: all values, and where each list begins (and the last one ends)."""
+
+    values: np.ndarray
+    starts: np.ndarray
+
+    def cut(self, first: int, end: int) -> _Lists:
+        return _Lists(self.values[self.starts[first]:self.starts[end]], self.starts[first:end + 1] - self.starts[first])
+
+    def rows(self) -> np.ndarray:
+        """The number of the list that each value stands in."""
+        return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+
+    def joined(self, other: _Lists) -> _Lists:
+        return _Lists(np.concatenate([self.values, other.values]), np.concatenate([self.starts, other.starts[1:] + self.starts[-1]]))
+
+
+class _Members(NamedTuple):
+    """Members of a hub, by block: number, whether linked to the hub, size, distance to the hub, difference, hubs."""
+
+    block: np.ndarray
+    x: np.ndarray
+    linked: np.ndarray
+    size: np.ndarray
+    apart: np.ndarray
+    diff: _Lists
+    hubs: _Lists
+
+    def cut(self, first: int, end: int) -> _Members:
+        return _Members(*(c.cut(first, end) if isinstance(c, _Lists) else c[first:end] for c in self))
+
+    def joined(self, other: _Members) -> _Members:
+        return _Members(*(c.joined(o) if isinstance(c, _Lists) else np.concatenate([c, o]) for c, o in zip(self, other)))
+
+
+def _members_of(batch: pa.RecordBatch) -> _Members:
+    column = lambda name: batch.column(batch.schema.get_field_index(name))
+    numbers = {name: column(name).to_numpy(zero_copy_only=False) for name in ("block", "x", "linked", "n_x", "d_x")}
+    raw = column("diff").to_pylist()
+    diff = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6) @ _PLACES
+    starts = np.cumsum([0, *map(len, raw)]) // 6
+    hubs = column("hubs") if "hubs" in batch.schema.names else pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
+    return _Members(numbers["block"], numbers["x"], numbers["linked"].astype(bool), numbers["n_x"].astype(np.int64),
+                    numbers["d_x"].astype(np.int64), _Lists(diff, starts),
+                    _Lists(hubs.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+                           np.cumsum([0, *hubs.value_lengths().to_pylist()])))
+
+
+def _common_values(left: _Lists, right: _Lists) -> np.ndarray:
+    """How many values every list on the left has in common with every one on the right."""
+    shape = len(left.starts) - 1, len(right.starts) - 1
+    common = np.zeros(shape, dtype=np.float32)  # whole numbers below 2 ** 24
+    shared = np.intersect1d(left.values, right.values)
+    placed = []
+    for side in (left, right) if len(shared) else ():
+        place = np.minimum(np.searchsorted(shared, side.values), len(shared) - 1)
+        hit = shared[place] == side.values
+        placed.append((place[hit], side.rows()[hit]))
+    for at in range(0, len(shared), VALUES):
+        held = []
+        for (place, rows), count in zip(placed, shape):
+            now = (place >= at) & (place < at + VALUES)
+            table = np.zeros((count, min(VALUES, len(shared) - at)), dtype=np.float32)
+            table[rows[now], place[now] - at] = 1
+            held.append(table)
+        common += held[0] @ held[1].T
+    return common.astype(np.int64)
+
+
+def _forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) that connect whatever all links connect, fewer than there are rows and columns."""
+    found, rows, columns = [], np.zeros(links.shape[0], dtype=bool), np.zeros(links.shape[1], dtype=bool)
+    for first in np.flatnonzero(links.any(axis=1)).tolist():
+        waiting = [] if rows[first] else [first]
+        rows[first] = True
+        while waiting:
+            i = waiting.pop()
+            for j in np.flatnonzero(links[i] & ~columns).tolist():
+                columns[j] = True
+                found.append((i, j))
+                more = np.flatnonzero(links[:, j] & ~rows).tolist()
+                rows[more] = True
+                found += [(k, j) for k in more]
+                waiting += more
+    return found
+
+
+def _block_links(hub: int, sides: list[_Members], num: int, den: int, counts: bool) -> tuple[np.ndarray, ...]:
+    """Links of two blocks of one hub (or, if there is one side, within it): pairs that connect what
+    links, as two arrays, and with ``counts`` the members and their links counted here, as two more."""
+    left, right = sides[0], sides[-1]
+    distance = left.apart[:, None] + right.apart[None, :] - 2 * _common_values(left.diff, right.diff)
+    total = left.size[:, None] + right.size[None, :]
     links = den * (total - distance) >= num * (total + distance)
-    # Counted elsewhere: pairs with a smaller hub in common, and links of a member to a hub.
-    left, right = (_rows_by_value(*_flat([h[h < hub] for h in of])) for of in hubs)
-    for value in left.keys() & right.keys():
-        links[np.ix_(left[value], right[value])] = False
-    for turned, mine, other in ((False, hubs[0], keys[1]), (True, hubs[1], keys[0])):
-        place = {k: i for i, k in enumerate(other.tolist())}
-        for i, of in enumerate(mine):
-            for j in (place[h] for h in of.tolist() if h in place):
-                links[(j, i) if turned else (i, j)] = False
-    if low == high:
+    if len(sides) == 1:
         np.fill_diagonal(links, False)
-        return pd.DataFrame({"key": keys[0], "n": links.sum(axis=1)})
-    return pd.DataFrame({"key": np.concatenate(keys), "n": np.concatenate([links.sum(axis=1), links.sum(axis=0)])})
+    # The hub connects those that link to it.
+    i, j = np.array(_forest(links & ~(left.linked[:, None] & right.linked[None, :])), dtype=np.int64).reshape(-1, 2).T
+    if not counts:
+        return left.x[i], right.x[j], np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    # Counted elsewhere: pairs with a smaller hub in common, and links of a member to a hub.
+    smaller = []
+    for side in sides:
+        less = side.hubs.values < hub
+        smaller.append(_Lists(side.hubs.values[less], np.concatenate([[0], np.cumsum(less)])[side.hubs.starts]))
+    links &= _common_values(smaller[0], smaller[-1]) == 0
+    for mine, other, those in ((left, right, links), (right, left, links.T)):
+        order = np.argsort(other.x)
+        place = order[np.minimum(np.searchsorted(other.x, mine.hubs.values, sorter=order), len(order) - 1)]
+        hit = other.x[place] == mine.hubs.values
+        those[mine.hubs.rows()[hit], place[hit]] = False
+    sums = [links.sum(axis=1), links.sum(axis=0)][:len(sides)]
+    return left.x[i], right.x[j], np.concatenate([side.x for side in sides]), np.concatenate(sums)
+
+
+def _links_of_blocks(batches: Iterator[pa.RecordBatch], num: int, den: int, counts: bool) -> Iterator[pa.RecordBatch]:
+    """``a, b`` and ``a, n`` rows of ``_block_links`` from rows in the order of ``p, low, high, block``."""
+    key, waiting = None, None
+
+    def ended() -> list[tuple[np.ndarray, ...]]:
+        if waiting is None:
+            return []
+        at = int(np.searchsorted(waiting.block, key[1], side="right"))
+        sides = [waiting] if key[1] == key[2] else [waiting.cut(0, at), waiting.cut(at, len(waiting.x))]
+        return [_block_links(key[0], sides, num, den, counts)] if all(len(side.x) for side in sides) else []
+
+    def given(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, b, key, n = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (zip(*found) if found else [[]] * 4))
+        some = n > 0
+        key, n = key[some], n[some]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([a, key])), pa.concat_arrays([pa.array(b), pa.nulls(len(n), pa.int64())]),
+             pa.concat_arrays([pa.nulls(len(b), pa.int64()), pa.array(n)])], names=["a", "b", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found, members = [], _members_of(batch)
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for first, end in zip(cuts, cuts[1:]):
+            now, part = tuple(keys[:, first].tolist()), members.cut(first, end)
+            if now == key:
+                waiting = waiting.joined(part)
+            else:
+                found += ended()
+                key, waiting = now, part
+        yield given(found)
+    yield given(ended())
+
+
+def _near_hubs(compared: DataFrame) -> DataFrame:
+    """``x, hubs``: the hubs that a class is near to, as many at most as a text has signatures."""
+    return compared.filter("near").groupBy("x").agg(F.sort_array(F.collect_set("p")).alias("hubs"))
+
+
+def _near_links(compared: DataFrame, scheme: PartEnum, hubs: DataFrame | None) -> DataFrame:
+    """``a, b, n`` of the blocks of near members (``_block_links``); ``hubs`` of a class only if links are counted.
+
+    Without counts only blocks meet of which one's members do not link to the hub.
+    """
+    num, den, counts = scheme.num, scheme.den, hubs is not None
+    near = compared.filter("near").select("x", "p", "linked", "n_x", "d_x", "diff")
+    of_hub = near.groupBy("p").agg(F.count_if("linked").alias("l"), F.count_if(~F.col("linked")).alias("u"))
+    # Of a hub with few members all are in one block, otherwise those that link to it have blocks of their own.
+    few = F.col("l") + F.col("u") <= F.lit(BLOCK)
+    blocks = of_hub.filter("l + u > 1" if counts else "l + u > 1 and u > 0").select(
+        "p", *(F.when(few, F.lit(of_few)).otherwise(F.ceil(F.col(c) / F.lit(BLOCK))).cast("int").alias(name)
+               for c, name, of_few in (("l", "n_linked", 0), ("u", "n_other", 1))))
+    # The members of one hub are met in as many places as there are salts.
+    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = near.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(salted, ["p", "salt"]).drop("salt")
+    at = lambda n: F.pmod(F.xxhash64(F.lit("block"), "x"), F.greatest(n, F.lit(1))).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("linked") & (F.col("n_linked") > 0), at(F.col("n_linked"))).otherwise(F.col("n_linked") + at(F.col("n_other"))))
+    columns = ["block", "x", "linked", "n_x", "d_x", "diff"]
+    if counts:
+        dealt, columns = dealt.join(hubs, "x"), [*columns, "hubs"]
+    first = F.lit(0) if counts else F.when(F.col("linked"), F.col("n_linked")).otherwise(F.lit(0))
+    met = dealt.withColumn("other", F.explode(F.sequence(first, F.col("n_linked") + F.col("n_other") - 1))).select(
+        "p", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *columns)
+    # A number of its own, as a task's work is not in the bytes that it reads, by which partitions are put together.
+    spread = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p", "low", "high")
+    return spread.sortWithinPartitions("p", "low", "high", "block").mapInArrow(
+        lambda batches: _links_of_blocks(batches, num, den, counts), "a long, b long, n long")
 
 
-def _link_counts(compared: DataFrame, links: DataFrame, scheme: PartEnum) -> DataFrame:
+def _link_counts(compared: DataFrame, inside: DataFrame, rest: DataFrame, hubs: DataFrame) -> DataFrame:
     """``key, n_links``: the number of other classes that a class links with."""
-    num, den = scheme.num, scheme.den
-    own = compared.filter("linked").select("x", "p", "n_x", "d_x", "diff").dropDuplicates(["x", "p"])
-    # As many hubs at most as a text has signatures.
-    hubs = materialise(own.groupBy("x").agg(F.sort_array(F.collect_set("p")).alias("hubs")), "jaccard-hubs-of")
-    blocks = own.groupBy("p").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(
-        "p", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("n_blocks"))
-    # The members of one hub are met in as many places as there are salts.
-    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = own.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(salted, ["p", "salt"]).drop("salt").join(hubs, "x").withColumn(
-        "block", F.pmod(F.xxhash64(F.lit("block"), "x"), F.col("n_blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "p", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "x", "n_x", "d_x",
-        "diff", "hubs")
-    inside = met.groupBy("p", "low", "high").applyInPandas(lambda pdf: _block_counts(pdf, num, den), "key long, n long")
-    # A remaining pair that links to a hub in common is counted there.
-    direct = own.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"), F.lit(True).alias("direct")).distinct()
-    named = (links.join(direct, ["a", "b"], "left")
+    # A remaining pair that is near a hub in common is counted there.
+    direct = compared.filter("linked").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
+    named = (rest.join(direct, ["a", "b"], "left_anti")
              .join(hubs.select(F.col("x").alias("a"), F.col("hubs").alias("of_a")), "a", "left")
              .join(hubs.select(F.col("x").alias("b"), F.col("hubs").alias("of_b")), "b", "left")
-             .filter(F.coalesce("direct", ~F.arrays_overlap("of_a", "of_b"), F.lit(True))))
-    single = named.select(F.explode(F.array("a", "b")).alias("key"), F.lit(1).cast("long").alias("n"))
-    return single.unionByName(inside).groupBy("key").agg(F.sum("n").alias("n_links"))
+             .filter(F.coalesce(~F.arrays_overlap("of_a", "of_b"), F.lit(True))).select("a", "b"))
+    single = direct.unionByName(named).select(F.explode(F.array("a", "b")).alias("key"), F.lit(1).cast("long").alias("n"))
+    counted = inside.filter("n is not null").select(F.col("a").alias("key"), "n")
+    return single.unionByName(counted).groupBy("key").agg(F.sum("n").alias("n_links"))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS,
@@ -479,18 +636,19 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return pairs.withColumns({"x": F.col("_x"), "p": F.col("_p")}).filter("x <> p").drop("_x", "_p")
 
     met = materialise(named("route", ("rx", "rp"), hub_pairs).select("x", "p", "xk", "pk", "others"), "jaccard-pairs")
-    compared = materialise(_compare(met, sets, scheme, prefixes=True), "jaccard-compared")
-    crowded = compared.join(met.filter("others").select("x", "p"), ["x", "p"], "left_semi")  # in a group of two nothing is left
-    rest = _compare(named("id", ("x", "p"), _remaining_pairs(crowded, scheme)), sets, scheme, prefixes=False).filter("linked")
-    links = materialise(compared.filter("linked").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
-                        .unionByName(rest.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")))
-                        .distinct(), "jaccard-links")
+    compared = materialise(_compare(met, sets, scheme, members=True), "jaccard-compared")
+    hubs = materialise(_near_hubs(compared), "jaccard-hubs-of") if counts else None
+    inside = materialise(_near_links(compared, scheme, hubs), "jaccard-inside")
+    ordered = lambda df: df.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
+    rest = materialise(ordered(_compare(named("id", ("x", "p"), _remaining_pairs(compared, scheme)), sets, scheme, members=False)
+                               .filter("linked")), "jaccard-rest")
+    links = ordered(compared.filter("linked")).unionByName(rest).unionByName(inside.filter("b is not null").select("a", "b"))
     roots = component_roots(links, "a", "b").select(F.col("node").alias("id"), "root")
     placed = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = placed.join(names, "root").select("id", "key", "component_id")
     if counts:
-        of_class = of_class.join(_link_counts(compared, links, scheme).withColumnRenamed("key", "id"), "id", "left")
+        of_class = of_class.join(_link_counts(compared, inside, rest, hubs).withColumnRenamed("key", "id"), "id", "left")
     of_class = materialise(of_class.drop("id"), "jaccard-classes")
     plain = sized.select("doc_id", "n_shingles", "key")
     with_words = plain.filter("key is not null").join(of_class, "key")
